@@ -1,0 +1 @@
+"""Part of the engine; see README.md."""
