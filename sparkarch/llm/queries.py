@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feistel, packing, tokens
+from . import feistel, fingerprints, packing, quality, tokens, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        warc.op1_segmented_warc,
+        urls.op3_host_words_bayes,
         feistel.op5_feistel_shards,
         packing.op6_sum_of_squares_packing,
+        fingerprints.op7_polynomial_exact_dedup,
+        quality.op8_fourier_quality,
         tokens.op9_length_histogram,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_segmented_warc": warc.OP1_SQL,
+    "op7_polynomial_exact_dedup": fingerprints.OP7_SQL,
+}
