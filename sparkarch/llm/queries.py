@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feistel, fingerprints, packing, quality, tokens, urls, warc
+from . import feistel, fingerprints, licenses, packing, quality, tokens, urls, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         warc.op1_segmented_warc,
+        licenses.op2_rare_word_licenses,
         urls.op3_host_words_bayes,
+        winnow.op4_winnowing_contamination,
         feistel.op5_feistel_shards,
         packing.op6_sum_of_squares_packing,
         fingerprints.op7_polynomial_exact_dedup,
@@ -22,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_segmented_warc": warc.OP1_SQL,
+    "op4_winnowing_contamination": winnow.OP4_SQL,
     "op7_polynomial_exact_dedup": fingerprints.OP7_SQL,
 }
