@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feistel, fingerprints, licenses, packing, quality, tokens, urls, warc, winnow
+from . import bottomk, feistel, fingerprints, licenses, packing, quality, tokens, urls, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fingerprints.op7_polynomial_exact_dedup,
         quality.op8_fourier_quality,
         tokens.op9_length_histogram,
+        bottomk.op10_bottom_k_near_duplicates,
     )
 }
 SQL: dict[str, str] = {
