@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: A word's ids are kept until a worker has this many words; then it starts anew.
+#: A worker keeps the ids of so many words, and of as many that it met before those.
 CACHE_WORDS = 400_000
-#: White space to Python's split(), ordinary characters to the tokenizer.
-_ODD_SPACES = "\x1c\x1d\x1e\x1f"
-_TAIL = re.compile(r"([^\W\d_]+)([.,;:!?*&%$#|)\"-]+)")
+#: Bytes of text, roughly, whose new words are worked out together.
+STEP = 2 << 20
+#: White space to Python's split() but ordinary characters to the tokenizer; and letters whose small form isn't one for one.
+_ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
+#: Punctuation that ends a word of letters; the tokenizer splits there too.
+_END = re.compile(r"(?<=[a-zß-öø-ÿ])[!-&(-/:-@\[-^`{-~]+(?!\S)")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -35,65 +38,102 @@ def load_tokenizer(spec: str):
     return Tokenizer.from_str(spec)
 
 
+class _Recent:
+    """A dictionary of at most 2 x size entries that forgets those not asked for lately."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that aren't known; the others are in ``new`` from now on."""
+        unknown = keys - self.new.keys()
+        if len(self.new) + len(unknown) > self.size:
+            self.old, self.new = self.new, {}
+            unknown = keys
+        back = self.old.keys() & unknown
+        self.new.update((k, self.old[k]) for k in back)
+        return list(unknown - back)
+
+
 class WordEncoder:
-    """Encodes texts word by word, for tokenizers that drop white space and never join what it separates.
+    """Encodes texts word by word, for tokenizers that take small letters only, drop white space and never join what it separates.
 
-    A new word of letters with closing punctuation is looked up in two parts, since the tokenizer splits there too; so case
-    and punctuation don't multiply the words that it must work out. Words are kept as the bytes of their ids (little-endian,
-    32 bits), and a text is their concatenation.
+    Texts are put into small letters and closing points and commas set apart, which changes no id, so that case and punctuation
+    don't multiply the words. New words of letters are encoded together, as one text: each ends with its only token of an end of
+    word. Words are kept as the bytes of their ids (little-endian, 32 bits), and a text is their concatenation.
     """
 
-    def __init__(self, spec: str) -> None:
-        self.tokenizer, self.words, self.parts = load_tokenizer(spec), {}, {}
-
-    def _learn(self, new: list[str]) -> None:
-        cuts = {}
-        for word in new:
-            m = _TAIL.fullmatch(word)
-            head, tail = m.groups() if m else (word, "")
-            # one code point per letter, and no letter whose small form depends on its place
-            low = head.lower() if head.isalpha() and "Σ" not in head and "İ" not in head else head
-            cuts[word] = (low, tail) if tail else (low,)
-        missing = [p for p in dict.fromkeys(p for c in cuts.values() for p in c) if p not in self.parts]
-        if len(self.parts) + len(missing) > CACHE_WORDS:
-            self.parts.clear()
-            missing = list(dict.fromkeys(p for c in cuts.values() for p in c))
-        for part, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(encoded.ids, dtype="<u4").tobytes()
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        for word, c in cuts.items():
-            self.words[word] = self.parts[c[0]] + (self.parts[c[1]] if len(c) > 1 else b"")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __init__(self, spec: str, size: int = CACHE_WORDS) -> None:
+        self.tokenizer, self.words = load_tokenizer(spec), _Recent(size)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        new = self.words.missing(words)
+        letters = [w for w in new if w.isalpha()]
+        ids = self._ids(" ".join(letters))
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        found = self.words.new
+        if len(stops) == len(letters) and (not len(stops) or stops[-1] == 4 * len(ids)):
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(letters, stops.tolist(), strict=True):
+                found[word] = data[at:stop]
+                at = stop
+        else:
+            found.update((w, self._ids(w).tobytes()) for w in letters)
+        if len(letters) < len(new):
+            others = [w for w in new if not w.isalpha()]
+            for word, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+                found[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        for text in texts:
-            if any(c in text for c in _ODD_SPACES):
-                yield self._ids(text)
-                continue
-            split = text.split()
-            try:
-                yield b"".join(map(self.words.__getitem__, split))
-            except KeyError:
-                out = []
-                for i in range(0, len(split), 100_000):  # a text may have more new words than the cache holds
-                    some = split[i : i + 100_000]
-                    self._learn([w for w in dict.fromkeys(some) if w not in self.words])
-                    missing = [w for w in dict.fromkeys(some) if w not in self.words]
-                    if missing:  # the cache was emptied meanwhile
-                        self._learn(list(dict.fromkeys(some)))
-                    out.append(b"".join(map(self.words.__getitem__, some)))
-                yield b"".join(out)
+        i = 0
+        while i < len(texts):
+            j, size, split = i, 0, []
+            while j < len(texts) and size < STEP:
+                size += len(texts[j])
+                split.append(None if _ODD.search(texts[j]) else _END.sub(r" \g<0>", texts[j].lower()).split())
+                j += 1
+            if j == i + 1 and split[0] and size > 2 * STEP:  # a long text, some of its words at a time
+                yield self._long(split[0])
+            else:
+                self._learn(set().union(*filter(None, split)))
+                get = self.words.new.__getitem__
+                for text, words in zip(texts[i:j], split, strict=True):
+                    yield self._ids(text).tobytes() if words is None else b"".join(map(get, words))
+            i = j
+
+    def _long(self, words: list[str], step: int = 100_000) -> bytes:
+        out = []
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            self._learn(set(some))
+            out.append(b"".join(map(self.words.new.__getitem__, some)))
+        return b"".join(out)
+
+
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def encoder(spec: str) -> WordEncoder:
+    """The worker's encoder for a tokenizer: its words outlive a task, for the next one in the same process."""
+    key = hash(spec)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(spec)
+    return _ENCODERS[key]
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Record batches with the ids of their texts; a null text is empty. At most a few MB of text are encoded at once."""
-    encoder = WordEncoder(spec)
+    """Record batches with the ids of their texts; a null text is empty."""
+    own = encoder(spec)
     for batch in batches:
-        yield batch, list(encoder.encode(["" if t is None else t for t in batch.column(column).to_pylist()]))
+        yield batch, list(own.encode(["" if t is None else t for t in batch.column(column).to_pylist()]))
 
 
 def length_histogram(docs: DataFrame, text: str = "text", spec: str | None = None, block: int = 4096) -> DataFrame:
