@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table, words
+from .common import BROADCAST_ROWS, cut, small, table, words
 
 K, WINDOW = 5, 6
 #: The place of a hash in its text takes the lower bits of a packed value, the hash the 32 above.
@@ -39,59 +39,96 @@ def _place(packed: str) -> Column:
     return F.col(packed).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", item_text: str = "text", k: int = K, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings), ``spans``.
+#: Up to so many item hashes stand in the plan itself, as a set; beyond, the documents' hashes are joined.
+SET_HASHES = 20_000
 
-    A hit is a word inside ``span`` consecutive words that some item holds too, or inside the whole of an item of fewer words.
-    ``spans`` has each stretch that a document shares with an item: (item_id, start, length) in words. ``k + window - 1`` is at
-    most ``span``, so no such stretch is missed; shorter items are looked up by all their words.
 
-    The documents are read once. Kept hashes meet the items' (broadcast if those are counted to be few, else by an exchange, and
-    the few documents with a hit are then read again for extension). One row per document and hit is exchanged. Null and empty
-    texts have no words and no hits, items without words match nothing, an empty benchmark leaves every document clean;
-    repeated rows give a row each, and rows that share a doc_id but not a text are told apart.
+def _item_prints(benchmark: DataFrame, span: int, item_text: str, k: int, window: int) -> tuple[DataFrame, list[int]]:
+    """Kept hashes of the items, kind 0, and the hash of every whole shorter item, its kind its number of words; those numbers."""
+    items = benchmark.select("item_id", words(F.col(item_text)).alias("item_words")).filter("size(item_words) > 0")
+    n = F.size("item_words")
+    short = sorted(r["n"] for r in items.filter(n < span).select(n.alias("n")).distinct().collect())  # under span numbers
+    prints = items.filter(n >= span).withColumn("w", F.col("item_words")).withColumn("g", F.expr(_packed(k))).select("item_id", "item_words", F.lit(0).alias("item_kind"), F.explode(F.expr(_winnowed(k, window))).alias("p"))
+    for size in short:
+        whole = items.filter(n == size).withColumn("w", F.col("item_words"))
+        prints = prints.unionByName(whole.select("item_id", "item_words", F.lit(size).alias("item_kind"), F.explode(F.expr(_packed(size))).alias("p")))
+    return cut(prints.select("item_id", "item_words", "item_kind", _hash("p").alias("item_hash"), _place("p").alias("item_place"))), short
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", item_text: str = "text", k: int = K, window: int = WINDOW, set_hashes: int = SET_HASHES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per document: ``doc_id``, ``d1`` and ``d2`` (hashes of its text), ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings), ``hits``.
+
+    A hit word lies inside ``span`` consecutive words that some item holds too, or inside the whole of an item of fewer words.
+    ``hits``: (item_id, shift, start, length) of stretches that document and item share, in words, each extended around a hash
+    as far as a shared window with that hash can reach; ``shift`` is the start in the document less that in the item, and those
+    of one item and shift that touch are parts of one shared passage. ``k + window - 1`` is at most ``span``, so no window is
+    missed; shorter items are looked up by all their words.
+
+    Where the items' hashes are counted to be few, the documents are read once and each is filtered by the set of hashes where
+    it is read: a document sends one row, and one of ``2 * span - k`` words for each hash that an item has too. Beyond that, the
+    hashes are joined (items broadcast if few, else by an exchange) and documents with a hash in common are read again.
+    Null and empty texts have no words and no hits, items without words match nothing, an empty benchmark leaves every document
+    clean; repeated rows give a row each, and rows that share a doc_id but not a text are told apart.
     """
     if k + window - 1 > span:
         raise ValueError("k + window - 1 must not be more than span")
-    items = benchmark.select(F.col("item_id"), words(F.col(item_text)).alias("w")).filter("size(w) > 0")
-    short = sorted(r["n"] for r in items.filter(F.size("w") < span).select(F.size("w").alias("n")).distinct().collect())  # under span numbers
-    prints = items.filter(F.size("w") >= span).withColumn("g", F.expr(_packed(k))).select("item_id", F.col("w").alias("item_words"), F.lit(0).alias("kind"), F.explode(F.expr(_winnowed(k, window))).alias("p"))
-    for n in short:
-        of_n = items.filter(F.size("w") == n).select("item_id", F.col("w").alias("item_words"), F.lit(n).alias("kind"), F.explode(F.expr(_packed(n))).alias("p"))
-        prints = prints.unionByName(of_n)
-    prints = prints.select("item_id", "item_words", F.col("kind").alias("item_kind"), _hash("p").alias("item_hash"), _place("p").alias("item_place"))
-    few = prints.select("item_hash").limit(broadcast_rows + 1).count() <= broadcast_rows
-
+    prints, short = _item_prints(benchmark, span, item_text, k, window)
+    n_prints = prints.count()
     body = F.col(text)
-    rows = docs.select("doc_id", F.xxhash64(body, F.lit(1)).alias("d1"), F.xxhash64(body, F.lit(2)).alias("d2"), words(body).alias("w"))
-    kept = rows.withColumn("g", F.expr(_packed(k))).withColumn("f", F.transform(F.expr(_winnowed(k, window)), lambda p: F.struct(F.lit(0).alias("kind"), p.alias("p")))).drop("g")
-    for n in short:
-        kept = kept.withColumn("f", F.concat("f", F.expr(f"transform({_packed(n)}, p -> struct({n} as kind, p as p))")))
-    # every document has one row of kind -1 besides, which no item has
-    kept = kept.withColumn("f", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("p"))), "f")))
-    carried = ["w"] if few else []
-    flat = kept.select("doc_id", "d1", "d2", F.size("w").cast("long").alias("n_words"), *carried, F.col("f.kind").alias("kind"), F.col("f.p").alias("p")).withColumn("hash", _hash("p"))
-    found = flat.join(F.broadcast(prints) if few else prints, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left").filter("kind = -1 or item_id is not null")
-    found = found.withColumn("shift", F.when(F.col("kind") >= 0, _place("p") - F.col("item_place")))
-    if not few:
-        found = cut(found.select("doc_id", "d1", "d2", "n_words", "kind", "item_id", "item_words", "shift", "p").dropDuplicates(["doc_id", "d1", "d2", "kind", "item_id", "shift", "p"]))
-        hit = found.filter("kind >= 0")
-        again = rows.select(F.col("doc_id").alias("i"), F.col("d1").alias("x"), F.col("d2").alias("y"), "w")
-        hit = hit.join(again.dropDuplicates(["i", "x", "y"]), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("d1") == F.col("x")) & (F.col("d2") == F.col("y"))).drop("i", "x", "y")
-        counted = rows.select("doc_id", "d1", "d2", F.size("w").cast("long").alias("n_words")).withColumns({"kind": F.lit(-1), "item_id": F.lit(None).cast(items.schema["item_id"].dataType), "item_words": F.lit(None).cast("array<string>"), "shift": F.lit(None).cast("int"), "p": F.lit(0).cast("long"), "w": F.lit(None).cast("array<string>")})
-        found = hit.unionByName(counted)
-    # the stretch around the hit where document and item agree
-    span_of = F.expr(
-        f"""CASE WHEN kind >= 0 THEN named_struct(
-          'first', coalesce(array_max(filter(sequence(greatest(0, shift), cast(p & {(1 << PLACE_BITS) - 1} as int)), i -> w[i] <> item_words[i - shift])), greatest(0, shift) - 1) + 1,
-          'last', coalesce(array_min(filter(sequence(cast(p & {(1 << PLACE_BITS) - 1} as int), least(size(w), size(item_words) + shift) - 1), i -> w[i] <> item_words[i - shift])), least(size(w), size(item_words) + shift)) - 1) END"""
+    rows = docs.select("doc_id", F.xxhash64(body, F.lit(1)).alias("d1"), F.xxhash64(body, F.lit(2)).alias("d2"), words(body).alias("w")).withColumn("g", F.expr(_packed(k)))
+    key = ["doc_id", "d1", "d2"]
+    kinds = [(0, _winnowed(k, window)), *((n, _packed(n)) for n in short)]
+    reach = span - k
+    # words that a shared window around the hash can reach, and where they begin
+    near = f"CASE WHEN kind = 0 THEN struct(kind, p, greatest(0, place - {reach}) as begin, slice(w, greatest(0, place - {reach}) + 1, place + {span} - greatest(0, place - {reach})) as s) ELSE struct(kind, p, place as begin, slice(w, place + 1, kind) as s) END"
+
+    def around(kind: str, p: str) -> str:
+        place = f"cast({p} & {(1 << PLACE_BITS) - 1} as int)"
+        return near.replace("place", place).replace("struct(kind, p,", f"struct({kind} as kind, {p} as p,").replace("kind = 0", f"{kind} = 0").replace(", kind)", f", {kind})")
+
+    none = "struct(-1 as kind, cast(0 as bigint) as p, 0 as begin, cast(array() as array<string>) as s)"  # every document has this one
+    if n_prints <= set_hashes:
+        held: dict[int, list[int]] = {}
+        for r in prints.select("item_kind", "item_hash").distinct().collect():
+            held.setdefault(r["item_kind"], []).append(r["item_hash"])
+        for i, (kind, kept) in enumerate(kinds):
+            listed = ", ".join(f"{h}L" for h in sorted(held.get(kind, [])))
+            rows = rows.withColumn(f"f{i}", F.expr(f"filter({kept}, p -> shiftright(p, {PLACE_BITS}) IN ({listed}))" if listed else "cast(array() as array<bigint>)"))
+        found = ", ".join(f"transform(f{i}, p -> {around(str(kind), 'p')})" for i, (kind, _) in enumerate(kinds))
+        flat = rows.select(*key, F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array({none}), {found})")).alias("f"))
+    else:
+        parts = ", ".join(f"transform({kept}, p -> struct({kind} as kind, p as p))" for kind, kept in kinds)
+        all_hashes = rows.select(*key, F.explode(F.expr(f"concat({parts})")).alias("f")).select(*key, "f.kind", "f.p").withColumn("hash", _hash("p"))
+        items = prints.select("item_hash", "item_kind").distinct()
+        common = all_hashes.join(F.broadcast(items) if n_prints <= broadcast_rows else items, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left_semi")
+        common = cut(common.groupBy(*key).agg(F.collect_set(F.struct("kind", "p")).alias("f")))
+        named = small(common.select(*[F.col(c).alias(f"__{c}") for c in key], "f"))
+        flat = rows.join(named, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
+        found = f"coalesce(transform(f, x -> {around('x.kind', 'x.p')}), cast(array() as array<struct<kind: int, p: bigint, begin: int, s: array<string>>>))"
+        flat = flat.select(*key, F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array({none}), {found})")).alias("f"))
+    flat = flat.select(*key, "n_words", "f.kind", "f.p", "f.begin", "f.s").withColumn("hash", _hash("p"))
+    met = flat.join(F.broadcast(prints) if n_prints <= broadcast_rows else prints, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left").filter("kind = -1 or item_id is not null or item_words is not null")
+    met = met.withColumn("place", _place("p")).withColumn("shift", F.col("place") - F.col("item_place"))
+    # the stretch around the hash where document and item agree
+    stretch = F.expr(
+        """CASE WHEN kind >= 0 THEN named_struct(
+          'first', coalesce(array_max(filter(sequence(greatest(begin, shift), place), i -> s[i - begin] <> item_words[i - shift])), greatest(begin, shift) - 1) + 1,
+          'last', coalesce(array_min(filter(sequence(place, least(begin + size(s), size(item_words) + shift) - 1), i -> s[i - begin] <> item_words[i - shift])), least(begin + size(s), size(item_words) + shift)) - 1) END"""
     )
-    spans = found.withColumn("s", span_of).filter(f"kind = -1 or s.last - s.first + 1 >= CASE WHEN kind = 0 THEN {span} ELSE kind END")
-    spans = spans.select("doc_id", "d1", "d2", "n_words", "kind", F.when(F.col("kind") >= 0, F.struct("item_id", F.col("s.first").alias("start"), (F.col("s.last") - F.col("s.first") + 1).alias("length"))).alias("span"))
-    one = spans.groupBy("doc_id", "d1", "d2").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("kind") == -1).alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"))
-    hit_words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
-    return one.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "n_words", hit_words.cast("long").alias("n_hit"), ids.alias("item_ids"), "spans").drop("copy")
+    met = met.withColumn("t", stretch).filter(f"kind = -1 or t.last - t.first + 1 >= CASE WHEN kind = 0 THEN {span} ELSE kind END")
+    hit = F.when(F.col("kind") >= 0, F.struct("item_id", "shift", F.col("t.first").alias("start"), (F.col("t.last") - F.col("t.first") + 1).alias("length")))
+    one = met.select(*key, "n_words", "kind", hit.alias("hit")).groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count_if(F.col("kind") == -1).alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"))
+    hit_words = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda s: s["item_id"].cast("string"))))
+    return one.select("doc_id", "d1", "d2", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "n_words", hit_words.cast("long").alias("n_hit"), ids.alias("item_ids"), "hits").drop("copy")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that have no hit."""
+    found = contamination(docs, benchmark, text=text).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"))
+    gone = small(cut(found.distinct()))
+    body = F.col(text)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(body, F.lit(1)) == F.col("__d1")) & (F.xxhash64(body, F.lit(2)) == F.col("__d2")), "left_anti")
 
 
 def op4_winnowing_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
