@@ -255,7 +255,8 @@ def cycles(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
                     node = path.pop()
                     del at[node]
                     done.add(node)
-        yield pd.DataFrame({"nodes": [list(c) for c in sorted(found)]})
+        if found:
+            yield pd.DataFrame({"nodes": [list(c) for c in sorted(found)]})
 
     return left.coalesce(1).mapInPandas(search, "nodes array<string>")
 

@@ -75,7 +75,7 @@ def clusters(items: DataFrame, least: float = MIN_JACCARD, min_size: int = MIN_C
                 group = sorted(sorted(group, key=lambda g: (-len(near[g]), g))[:max_size])
             values = [near[a][b] for i, a in enumerate(group) for b in group[i + 1 :]]
             rows.append((group, sum(values) / len(values)))
-        return pd.DataFrame(rows, columns=["modules", "mean"])
+        return pd.DataFrame({"modules": pd.Series([r[0] for r in rows], dtype=object), "mean": pd.Series([r[1] for r in rows], dtype=float)})
 
     found = cut(placed.groupBy("component").applyInPandas(greedy, "modules array<string>, mean double"))
     sets = items.select(F.col("owner").alias("m"), "item").distinct()
