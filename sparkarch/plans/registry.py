@@ -77,9 +77,10 @@ def inspection_targets(s, d):
     return hot.inspection_targets(hot.hotspots(fx.edges(s, d))).withColumn("signals", F.array_join("signals", ","))
 
 
-_RISK = f"""{fx.EDGES}, so AS (SELECT src, count(*) AS k FROM edges WHERE edge_type = 'soft' GROUP BY src),
+_RISK_ROWS = """so AS (SELECT src, count(*) AS k FROM edges WHERE edge_type = 'soft' GROUP BY src),
 n AS (SELECT id, in_degree, out_degree, coalesce(k, 0) AS soft FROM deg LEFT JOIN so ON src = id),
 risk AS (SELECT id AS module, round((in_degree / greatest(max(in_degree) OVER (), 1)) * 0.5 + (out_degree / greatest(max(out_degree) OVER (), 1)) * 0.3 + least(soft / greatest(max(soft) OVER (), 1), 1.0) * 0.2, 4) AS risk FROM n)"""
+_RISK = f"{fx.EDGES}, {_RISK_ROWS}"
 
 
 @query(f"WITH {_RISK} SELECT * FROM risk")
@@ -629,3 +630,5 @@ def registry_sync(s, d):
 def journal_windows(s, d):
     j = fx.journal(s, d)
     return j.groupBy(F.window("ts", "1 hour").start.alias("window_start"), "operation").agg(F.count("*").alias("events"))
+
+from . import more_queries  # noqa: E402, F401  registers its queries
