@@ -7,14 +7,16 @@ estimate, exact sets decide:
 2. Inverted lists: a class enters the lists of those of its retained values that are rarest in the corpus, as many as make two
    sets of the wanted similarity meet in at least one list.
 3. Each list proposes pairs with one member of its own, so that a list of any length proposes no more pairs than it has rows.
-   A 128-bit signature and then the union sketch estimate their similarity, and the exact sets confirm it.
-4. Links join classes to components. Only members of one list that are not in one component by then can still hide a link:
-   those in small components are compared in pairs; members outside a large component are compared with all of it, in blocks.
+   A 256-bit signature and then the union sketch estimate their similarity, and the exact sets confirm it. Links join classes to
+   components. Lists whose members aren't all in one component then propose pairs with another member.
+4. What is left may hide a link only between members of one list in different components that have a like one there. In short
+   lists those are compared in pairs; in long ones, members outside the largest component are compared with all, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import floor, sqrt
 
 import numpy as np
@@ -24,17 +26,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
-from .feistel import number_rows
+from .common import cut, drop_path, new_path, shuffles_released, slices, small, table, worker_cache
 
 SKETCH = 64
 #: Values whose number of lists' rows is worth ranking; those held by fewer classes rank first, by value. Bounds a broadcast.
 HEAVY_VALUES = 400_000
-#: Classes of a component up to which its members are compared in pairs, and the sides of a block beyond.
-SMALL_COMPONENT, BLOCK_OUTSIDE, BLOCK_INSIDE = 8, 64, 256
+#: Rounds in which lists propose pairs with one member each.
+STAR_ROUNDS = 2
+#: Links (16 bytes each) that one task joins.
+LINKS_IN_TASK = 500_000
+#: Members of a list up to which they are compared in pairs; beyond, shingles on either side of a block.
+SHORT_LIST, BLOCK_OUTSIDE, BLOCK_INSIDE = 32, 50_000, 200_000
 #: How many standard deviations an estimate may be off.
 DEVIATIONS = 5.5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 class _WordHashes(dict):
@@ -45,9 +50,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -63,7 +65,8 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     found = (text or "").encode().lower().split()
     if not found:
         return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
+    hashes = worker_cache("word hashes", _WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
     width = min(size, len(found))
     with np.errstate(over="ignore"):
         z = np.full(len(h) - width + 1, width, dtype=np.uint64)
@@ -72,18 +75,18 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(z >> np.uint64(1)).astype(np.int64)
 
 
-_BUCKETS = np.arange(128, dtype=np.int64) << 56
+_BUCKETS = np.arange(256, dtype=np.int64) << 55
+SIGNATURE = ("s1", "s2", "s3", "s4")
 
 
-def signature(values: np.ndarray) -> tuple[int, int]:
-    """A bit of the smallest hash in each 128th of the range; sets differ in about a bit for each pair of smallest hashes that does."""
+def signature(values: np.ndarray) -> list[int]:
+    """A bit of the smallest hash in each 256th of the range, as four numbers; each pair of smallest hashes that differs costs a bit in half of the cases."""
     at = np.searchsorted(values, _BUCKETS)
     ends = np.append(at[1:], len(values))
-    bits = np.zeros(128, dtype=np.uint8)
+    bits = np.zeros(256, dtype=np.uint8)
     held = at < ends
     bits[held] = values[at[held]] & 1
-    a, b = np.packbits(bits).view(">i8")
-    return int(a), int(b)
+    return np.packbits(bits).view(">i8").tolist()
 
 
 def overlap_bound(n: np.ndarray | int, k: int, percent: int) -> np.ndarray:
@@ -93,35 +96,37 @@ def overlap_bound(n: np.ndarray | int, k: int, percent: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str, size: int, k: int) -> DataFrame:
-    """``doc_id``, ``n``, ``digest`` of the whole set, ``sketch`` and signature ``s1``, ``s2`` of each document."""
+    """``doc_id``, ``n``, ``digest`` of the whole set, ``sketch`` and signature ``s1`` to ``s4`` of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, digest, kept, s1, s2 = [], [], [], [], []
+        for batch in slices(batches):
+            n, digest, kept, bits = [], [], [], []
             for t in batch.column("text").to_pylist():
                 values = shingle_set(t, size)
-                a, b = signature(values)
                 n.append(len(values))
                 digest.append(xxhash.xxh3_128_digest(values.tobytes()))
                 kept.append(values[:k])
-                s1.append(a)
-                s2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n", "digest", "sketch", "s1", "s2"])
+                bits.append(signature(values))
+            marks = [pa.array([b[i] for b in bits], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.list_(pa.int64())), *marks], ["doc_id", "n", "digest", "sketch", *SIGNATURE])
+
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>, s1 long, s2 long, s3 long, s4 long")
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>, s1 long, s2 long")
 
+def repeated_values(classes: DataFrame) -> DataFrame:
+    """``value``, ``n``: retained values that more than one class holds."""
+    return classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
 
-def list_rows(classes: DataFrame, k: int, percent: int, heavy_values: int = HEAVY_VALUES) -> DataFrame:
+
+def list_rows(classes: DataFrame, repeated: DataFrame, k: int, percent: int, heavy_values: int = HEAVY_VALUES) -> DataFrame:
     """``value``, ``cid``: the inverted lists. Values rank by the number of classes that retain them, rarest first.
 
     Two sets that share at least t retained values of m meet among the first m - t + 1 of each, whatever the order, if both use
     the same. So the order only keeps lists short; values held by few classes needn't be told apart.
     """
-    retained = classes.select(F.explode("sketch").alias("value"))
     least = max(16, -(-classes.count() * k // heavy_values))  # no more than heavy_values can occur so often
-    counted = retained.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toPandas()
-    counted = counted.sort_values("value")
+    counted = repeated.filter(F.col("n") >= least).toPandas().sort_values("value")
     sent = classes.sparkSession.sparkContext.broadcast((counted["value"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +151,13 @@ def list_rows(classes: DataFrame, k: int, percent: int, heavy_values: int = HEAV
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """What sizes and signatures allow of a pair: columns n, s1, s2 with the prefixes a and b."""
+    """What sizes and signatures allow of a pair: columns n, s1 to s4 with the prefixes a and b."""
     c = F.col
     off = (1 - percent / 100) / 2
-    most = floor(128 * off + 6 * sqrt(128 * off * (1 - off)))
-    sizes = (F.least(c(a + "n"), c(b + "n")) * 100 >= F.greatest(c(a + "n"), c(b + "n")) * percent)
-    return sizes & (F.bit_count(c(a + "s1").bitwiseXOR(c(b + "s1"))) + F.bit_count(c(a + "s2").bitwiseXOR(c(b + "s2"))) <= most)
+    most = floor(256 * off + 6 * sqrt(256 * off * (1 - off)))
+    sizes = F.least(c(a + "n"), c(b + "n")) * 100 >= F.greatest(c(a + "n"), c(b + "n")) * percent
+    differ = reduce(lambda x, y: x + y, [F.bit_count(c(a + s).bitwiseXOR(c(b + s))) for s in SIGNATURE])
+    return sizes & (differ <= most)
 
 
 def _with(pairs: DataFrame, side: str, info: DataFrame) -> DataFrame:
@@ -159,30 +165,33 @@ def _with(pairs: DataFrame, side: str, info: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` whose union sketch allows the similarity, with the estimate ``j``."""
-    info = classes.select("cid", "n", "s1", "s2")
+    """Pairs ``a``, ``b`` whose signatures and union sketch allow the similarity, with the estimate ``j``."""
+    info = classes.select("cid", "n", *SIGNATURE)
     near = _with(_with(pairs, "a", info), "b", info).filter(_alike("a_", "b_", percent)).select("a", "b")
-    both = _with(_with(near, "a", classes.select("cid", "sketch")), "b", classes.select("cid", "sketch"))
-    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
-    both = both.withColumn("u", union).withColumn("j", F.size(F.array_intersect("u", F.array_intersect("a_sketch", "b_sketch"))) / F.size("u"))
+    brief = classes.select("cid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("v"))
+    both = _with(_with(near, "a", brief), "b", brief)
+    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("a_v", "b_v")), 1, k)).withColumn("j", F.size(F.array_intersect("u", F.array_intersect("a_v", "b_v"))) / F.size("u"))
     t = percent / 100
     return both.filter(F.col("j") >= t - DEVIATIONS * sqrt(t * (1 - t) / k)).select("a", "b", "j")
 
 
 def sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
-    """``cid``, ``shingles``: whole sets of the classes in ``cids``, read again from one document each."""
-    wanted = classes.select("cid", "digest", "rep").join(small(cids), "cid", "left_semi")
+    """``cid``, ``shingles``: whole sets of the classes in ``cids``, read again from one document each.
+
+    Rows that agree in doc_id and text give a row each; links are made distinct later.
+    """
+    wanted = cut(classes.select("cid", "digest", "rep").join(small(cids), "cid", "left_semi"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
 
     reps = small(wanted.select("rep").distinct())
     texts = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(text).alias("text")).join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     found = texts.select("text").mapInArrow(run, "digest binary, shingles array<long>")
-    return found.join(small(wanted.select("cid", "digest")), "digest").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    return found.join(small(wanted.select("cid", "digest")), "digest").select("cid", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,13 +201,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for f in frames:
+        for u, v in zip(f["u"].tolist(), f["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    if root:
+        yield pd.DataFrame({"cid": list(root), "label": [find(x) for x in root]})
+
+
+def components(links: DataFrame, links_in_task: int = LINKS_IN_TASK) -> DataFrame:
     """``cid``, ``label`` of every class with a link: the smallest cid that links reach. Links: columns ``a``, ``b``.
 
-    Rounds of linking larger neighbours and then smaller ones to the least neighbour, until nothing changes; a round exchanges
-    the links and no node gathers its neighbours.
+    Links counted to be few are joined in one task. Beyond, rounds link larger neighbours and then smaller ones to the least
+    neighbour, until nothing changes; a round exchanges the links and no node gathers its neighbours.
     """
     edges, before = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    if edges.count() <= links_in_task:
+        return edges.coalesce(1).mapInPandas(_joined, "cid long, label long")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -213,33 +242,39 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
-def _blocks(outside: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between ``outside`` (``cid``, ``other``: a label) and the classes labelled so, compared block by block."""
-    spans = labelled.groupBy("label").agg((F.floor((F.count("*") - 1) / BLOCK_INSIDE) + 1).cast("int").alias("inside"))
-    counts = outside.groupBy("other").agg((F.floor((F.count("*") - 1) / BLOCK_OUTSIDE) + 1).cast("int").alias("outside"))
-    grid = spans.join(counts, F.col("label") == F.col("other")).select("label", "inside", "outside")
-    out = outside.join(grid, outside["other"] == grid["label"]).withColumn("y", F.pmod(F.xxhash64("cid"), F.col("outside").cast("long"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("inside") - 1)))
-    members = labelled.join(grid, "label").withColumn("x", F.pmod(F.xxhash64("cid"), F.col("inside").cast("long"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
-    rows = out.select("label", F.col("x").cast("long"), F.col("y").cast("long"), "cid", F.lit(True).alias("out")).unionByName(members.select("label", F.col("x").cast("long"), F.col("y").cast("long"), "cid", F.lit(False).alias("out")))
+def _blocks(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members of a group that are ``outside`` and all its members: ``members(gid, cid, label, outside)``.
+
+    ``sizes(cid, n)``. Blocks are cut by the number of shingles on either side, so a task holds a few MB of any group. A member
+    is linked to the label of each other component that it belongs with, not to all of that component.
+    """
+    parts = lambda x, most: (F.floor(F.sum(x) / most) + 1).cast("long")
+    held = members.join(sizes, "cid")
+    grid = cut(held.groupBy("gid").agg(parts(F.col("n"), BLOCK_INSIDE).alias("inside"), parts(F.when(F.col("outside"), F.col("n")).otherwise(0), BLOCK_OUTSIDE).alias("asked")))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    placed = members.join(grid, "gid")
+    rows = placed.filter("outside").select("gid", upto("inside").alias("x"), F.pmod(F.xxhash64("cid"), F.col("asked")).alias("y"), "cid", "label", F.lit(True).alias("out"))
+    rows = rows.unionByName(placed.select("gid", F.pmod(F.xxhash64("cid"), F.col("inside")).alias("x"), upto("asked").alias("y"), "cid", "label", F.lit(False).alias("out")))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         inside, asked = frame[~frame["out"]], frame[frame["out"]]
         found: list[tuple[int, int]] = []
         if len(inside) and len(asked):
-            sizes = np.array([len(s) for s in inside["shingles"]])
-            values, owner = np.concatenate(inside["shingles"].to_list()), np.repeat(np.arange(len(inside)), sizes)
-            cids = inside["cid"].to_numpy()
-            for cid, s in zip(asked["cid"], asked["shingles"], strict=True):
+            lengths = np.array([len(s) for s in inside["shingles"]])
+            values, owner = np.concatenate(inside["shingles"].to_list()), np.repeat(np.arange(len(inside)), lengths)
+            labels = inside["label"].to_numpy()
+            for cid, label, s in zip(asked["cid"], asked["label"], asked["shingles"], strict=True):
                 s = np.asarray(s)
                 at = np.minimum(np.searchsorted(s, values), len(s) - 1)
-                shared = np.bincount(owner[s[at] == values], minlength=len(sizes))
-                found += [(int(cid), int(c)) for c in cids[shared * 100 >= (sizes + len(s) - shared) * percent]]
+                shared = np.bincount(owner[s[at] == values], minlength=len(lengths))
+                near = np.unique(labels[shared * 100 >= (lengths + len(s) - shared) * percent])
+                found += [(int(cid), int(x)) for x in near if x != label]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.join(sets, "cid").groupBy("label", "x", "y").applyInPandas(compare, "a long, b long")
+    return rows.join(sets, "cid").groupBy("gid", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80, k: int = SKETCH, rounds: int = STAR_ROUNDS, short_list: int = SHORT_LIST) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked if 100 times the shingles in both are at least ``percent`` times the shingles in either;
@@ -248,54 +283,82 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = 5, percent: int
     doc_id but not a text are told apart, and of rows with the kept doc_id each is marked as kept. An empty table gives no rows.
 
     A pair is missed only if its sketches differ by more than 5.5 standard deviations from what its similarity lets expect.
+    Sketches are written once, as a table, and dropped when the result is stored.
     """
-    rows = cut(sketches(docs, text, size, k))
-    same = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    numbered, n_classes = number_rows(same, ["digest"])
-    classes = numbered.withColumnRenamed("row_number", "cid")
-    if n_classes >= 1 << 40:
-        raise ValueError("more than 2**40 distinct sets")
-
-    lists = list_rows(classes, k, percent)
-    packed = F.shiftleft(F.xxhash64("value", "cid").bitwiseAND(F.lit((1 << 23) - 1)), 40).bitwiseOR(F.col("cid"))
-    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(packed).alias("head")).filter("m > 1")
-    heads = heads.select("value", "m", F.col("head").bitwiseAND(F.lit((1 << 40) - 1)).alias("a"))
-    members = cut(lists.join(heads, "value").select("value", "m", "a", F.col("cid").alias("b")))
-    likely = cut(estimated(members.filter("a <> b").select("a", "b").distinct(), classes, k, percent))
-    ranked = likely.selectExpr("a", "b", "row_number() over (partition by b order by j desc, a) as r").filter("r <= 3")
-    star = cut(confirmed(ranked, sets_of(ranked.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs, text, size), percent))
-    labels = components(star)
-
-    # Lists of three or more whose members aren't all in one component yet.
-    open_rows = members.filter("m > 2").select("value", F.col("b").alias("cid")).join(labels, "cid", "left").select("value", "cid", F.coalesce("label", "cid").alias("label"))
-    unsettled = open_rows.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    rest = cut(open_rows.join(unsettled, "value").join(sizes, "label", "left").select("value", "cid", "label", F.coalesce("size", F.lit(1)).alias("size")))
-    # every component that others share a list with and that is not small, against members of smaller ones
-    large = rest.filter(f"size > {SMALL_COMPONENT}").select("value", F.col("label").alias("other"), F.col("size").alias("other_size")).distinct()
-    outside = rest.join(large, "value").filter("label <> other and (size < other_size or size = other_size and label < other)").select("cid", "other").distinct()
-    outside = cut(outside)
-    in_large = labels.join(outside.select(F.col("other").alias("label")).distinct(), "label", "left_semi").select("cid", "label")
-    # small components, in pairs; only those that sizes and signatures allow leave the join
-    little = rest.filter(f"size <= {SMALL_COMPONENT}").join(classes.select("cid", "n", "s1", "s2"), "cid").select("value", "cid", "label", "n", "s1", "s2")
-    left, right = (little.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "label", "n", "s1", "s2")]) for p in "ab")
-    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label")) & _alike("a_", "b_", percent)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
-    pairs = cut(estimated(pairs, classes, k, percent).select("a", "b"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(outside.select("cid")).unionByName(in_large.select("cid")).distinct()
-    more = cut(sets_of(needed, classes, docs, text, size))
-    links = star.unionByName(confirmed(pairs, more, percent)).unionByName(_blocks(outside, in_large, more, percent))
-    labels = components(links)
-
-    grouped = classes.select("cid", "digest", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    with shuffles_released(docs.sparkSession):
+        return _near_groups(docs, text, size, percent, k, rounds, short_list)
+
+
+def _near_groups(docs: DataFrame, text: str, size: int, percent: int, k: int, rounds: int, short_list: int) -> DataFrame:
+    spark = docs.sparkSession
+    path = new_path(spark, "sketches")
+    sketches(docs, text, size, k).withColumn("cid", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    groups = cut(rows.filter("n > 0").groupBy("digest").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    several = groups.filter("copies > 1").select("digest", F.col("cid").alias("first"))
+    copies = small(cut(rows.filter("n > 0").select("cid", "digest").join(small(several), "digest").filter("cid <> first").select("cid")))
+    classes = rows.filter("n > 0").drop("doc_id").join(copies, "cid", "left_anti")
+    named = groups.select("cid", "digest", "rep")
+    marks = ("n", *SIGNATURE)
+    info = classes.select("cid", *marks)
+
+    repeated = cut(repeated_values(classes))
+    lists = list_rows(classes, repeated, k, percent).join(repeated.select("value"), "value")
+    lists = cut(lists.withColumn("label", F.col("cid")))
+    labels, links = None, None
+    for r in range(rounds):
+        # a list proposes pairs with one member, another one each round
+        heads = lists.groupBy("value").agg(F.count("*").alias("m"), *[F.min_by(c, F.xxhash64("value", "cid", F.lit(r))).alias(n) for c, n in (("cid", "a"), ("label", "a_label"))])
+        heads = heads.filter("m > 1").drop("m")
+        star = lists.join(heads, "value").filter("label <> a_label").select("a", F.col("cid").alias("b")).distinct()
+        ranked = estimated(star, classes, k, percent).selectExpr("a", "b", "row_number() over (partition by b order by j desc, a) as r").filter("r <= 3")
+        ranked = cut(ranked.select("a", "b"))
+        sets = sets_of(ranked.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), named, docs, text, size)
+        found = cut(confirmed(ranked, sets, percent))
+        new = found.isEmpty()
+        if not new:
+            links = found if labels is None else found.unionByName(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")))
+            labels = cut(components(links))
+            lists = lists.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        # only members with a like one in another component in their list can have a link left
+        if not r:
+            lists = lists.join(info, "cid")
+        ends = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("value")
+        lists = lists.join(ends, "value")
+        mine = lists.select(F.col("value"), "cid", "label", *marks, *[F.col(c).alias(f"a_{c}") for c in marks])
+        other = lists.select(F.col("value").alias("o_value"), F.col("label").alias("o_label"), *[F.col(c).alias(f"b_{c}") for c in marks])
+        lists = cut(mine.join(other, (F.col("value") == F.col("o_value")) & (F.col("label") != F.col("o_label")) & _alike("a_", "b_", percent), "left_semi").select("value", "cid", "label", *marks))
+        if new or lists.isEmpty():
+            break
+
+    held = lists.groupBy("value").agg(F.count("*").alias("m"), F.min("cid").alias("first"))
+    top = lists.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("t"))
+    about = held.join(top, "value").select("value", "m", F.when(F.col("t.c") > 1, F.col("t.label")).otherwise(F.col("first")).alias("gid"), F.when(F.col("t.c") > 1, F.col("t.label")).alias("main"))
+    lists = cut(lists.join(about, "value"))
+    short, long = lists.filter(F.col("m") <= short_list), lists.filter(F.col("m") > short_list)
+    side = lambda p: short.select(F.col("value").alias(f"{p}_value"), *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "label", *marks)])
+    pairs = side("a").join(side("b"), (F.col("a_value") == F.col("b_value")) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label")) & _alike("a_", "b_", percent))
+    pairs = cut(estimated(pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), classes, k, percent).select("a", "b"))
+    members = cut(long.groupBy("gid", "cid", "label").agg(F.max(~F.col("label").eqNullSafe(F.col("main"))).alias("outside")))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(members.select("cid")).distinct()
+    sets = sets_of(needed, named, docs, text, size)
+    more = confirmed(pairs, sets, percent).unionByName(_blocks(members, info.select("cid", "n"), sets, percent))
+    if labels is not None:
+        more = more.unionByName(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")))
+    labels = cut(components(more))
+
+    grouped = named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = rows.select("doc_id", "n", "digest").join(grouped.join(least, "label").select("digest", "component_id"), "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = cut(found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")))
+    drop_path(spark, path)
+    return out
 
 
 def near_dedup(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without those that :func:`near_groups` doesn't keep."""
-    found = cut(near_groups(docs, text, size, percent))
+    found = near_groups(docs, text, size, percent)
     gone = small(found.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("__id")))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 

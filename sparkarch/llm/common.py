@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on any file system that Spark knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; it is removed when the Python driver ends."""
+    """A path of its own in the shared folder; what is left there goes when the Python driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            drop_path(spark, path)
         except Exception:  # the session has ended: the folder's owner clears it
             pass
 
@@ -56,6 +65,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark drops a query's shuffle files when the query ends, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def lower_az(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other letter left alone (``lower`` alone would change É too)."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -69,3 +90,25 @@ def words(text: Column) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows (counted), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_KEPT: dict[str, Any] = {}
+
+
+def worker_cache(name: str | None = None, make: Callable[[], Any] | None = None) -> Any:
+    """What a Python worker keeps for the next task of the same kind; it holds one such thing, so another name drops it.
+
+    Spark uses a worker process again for later tasks. Operators that keep nothing call this without a name.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        if name is not None:
+            _KEPT[name] = make()
+    return _KEPT.get(name)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most ``rows`` rows, without a copy: what is made of one is gone before the next."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
