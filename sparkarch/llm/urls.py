@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, cut, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words of the unigram model, by falling count; and buckets that tokens are hashed to. Both bound what is broadcast.
+#: Most words that the unigram model takes; and buckets that tokens are hashed to. Both bound what is broadcast.
 VOCABULARY, BUCKETS = 50_000, 1 << 16
 LONGEST = 20
 _RUNS = re.compile(r"[a-z]+|[0-9]+|[^a-z0-9.\-_]+")
@@ -46,11 +46,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def unigrams(pages: DataFrame, text: str = "html", size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of a-z over all pages; ties go to the smaller word."""
+    """Counts of the most frequent words of a-z over all pages: at most ``size``, all that occur more often than some number.
+
+    That number comes from a histogram of the counts in at most 1024 classes, so only the words themselves reach the driver.
+    """
     body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"<[^>]*>", " ")
     word = pages.select(F.explode(F.split(body, r"[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
-    counted = word.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return {r["word"]: r["n"] for r in counted.collect()}
+    counted = cut(word.groupBy("word").agg(F.count("*").alias("n")))
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, held = None, 0
+    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        held += r["k"]
+        if held > size:
+            break
+        least = r["level"]
+    if least is None:
+        return {}
+    return {r["word"]: r["n"] for r in counted.filter(level >= least).collect()}
 
 
 class Segmenter:
