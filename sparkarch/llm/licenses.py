@@ -107,3 +107,29 @@ def op2_rare_word_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).cast("long").alias("first_word"), F.array_max(start).cast("long").alias("last_word"),
         of(base).alias("base_labels"), of(F.col("matches")).alias("labels"), F.coalesce(F.array_max(F.transform("matches", lambda m: F.round(m["score"], 6))), F.lit(0.0)).alias("score"),
     )
+
+
+def _oracle() -> str:
+    found = templates()
+    quoted = lambda words: "[" + ", ".join(map(_sql, words)) + "]"
+    rows = ",\n  ".join(f"({n}, {_sql(t['label'])}, {str(t['base']).lower()}, {t['key_at']}, {quoted(t['key'])}, {quoted(t['words'])})" for n, t in enumerate(found))
+    return rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t(t, label, base, key_at, key, words) AS (VALUES
+  {rows}),
+tw AS (SELECT t, unnest(words) AS word, unnest(range(0, len(words))) AS j FROM t),
+df AS (SELECT word, count(*) AS k FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY word),
+ra AS (SELECT v.word, greatest(1, CAST(round(1000 * ln(((SELECT count(*) FROM d) + 1) / (coalesce(k, 0) + 1))) AS BIGINT)) AS r FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN df ON df.word = v.word),
+tot AS (SELECT t, sum(r) AS total FROM tw JOIN ra USING (word) GROUP BY t),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+cand AS (SELECT pos.doc_id, t.t, t.label, t.base, pos.p - t.key_at AS start FROM pos JOIN t ON pos.word = t.key[1] JOIN d ON d.doc_id = pos.doc_id WHERE list_slice(d.w, pos.p + 1, pos.p + len(t.key)) = t.key),
+sc AS (SELECT c.doc_id, c.t, c.label, c.base, c.start, sum(CASE WHEN pos.word = tw.word THEN r ELSE 0 END) AS got FROM cand c JOIN tw ON tw.t = c.t JOIN ra ON ra.word = tw.word LEFT JOIN pos ON pos.doc_id = c.doc_id AND pos.p = c.start + tw.j GROUP BY ALL),
+m AS (SELECT sc.*, CAST(got AS DOUBLE) / CAST(total AS DOUBLE) AS score FROM sc JOIN tot ON tot.t = sc.t WHERE CAST(got AS DOUBLE) / CAST(total AS DOUBLE) >= {LEAST_SCORE}),
+g AS (SELECT doc_id, count_if(base) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
+  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(round(score, 6)) AS score FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+OP2_SQL = _oracle()

@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_segmented_warc": warc.OP1_SQL,
+    "op2_rare_word_licenses": licenses.OP2_SQL,
     "op4_winnowing_contamination": winnow.OP4_SQL,
     "op7_polynomial_exact_dedup": fingerprints.OP7_SQL,
+    "op10_bottom_k_near_duplicates": bottomk.OP10_SQL,
 }
