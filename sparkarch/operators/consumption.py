@@ -114,8 +114,12 @@ def symbol_risk(found: DataFrame, exposed: str | None = None) -> DataFrame:
 
 
 def module_symbol_risk(risks: DataFrame, modules: DataFrame | None = None) -> DataFrame:
-    """``module_id``, ``risk``: mean of its symbols', 2 digits; 0.5 for a module without any."""
-    out = risks.groupBy("module_id").agg(F.round(F.avg("risk"), 2).alias("risk"))
+    """``module_id``, ``risk``: mean of its symbols', 2 digits, halves up; 0.5 for a module without any.
+
+    Risks are whole hundredths, so sums and halves are exact.
+    """
+    per = risks.groupBy("module_id").agg(F.sum(F.round(F.col("risk") * 100).cast("long")).alias("s"), F.count("risk").alias("n")).filter("n > 0")
+    out = per.select("module_id", (F.expr("(2 * s + n) div (2 * n)") / 100).alias("risk"))
     if modules is not None:
         out = modules.select("module_id").distinct().join(out, "module_id", "left").withColumn("risk", F.coalesce("risk", F.lit(DEFAULT_RISK)))
     return out

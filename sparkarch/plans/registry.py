@@ -381,7 +381,7 @@ def activity_summary(s, d):
     return con.activity_summary(con.activity(_evidence(s, d)))
 
 
-@query(f"WITH {_EVIDENCE_SQL} SELECT module_id, round(avg(risk), 2) AS risk FROM rk GROUP BY module_id")
+@query(f"WITH {_EVIDENCE_SQL} SELECT module_id, ((2 * sum(CAST(round(risk * 100) AS BIGINT)) + count(*)) // (2 * count(*))) / 100 AS risk FROM rk GROUP BY module_id")
 def module_symbol_risk(s, d):
     return con.module_symbol_risk(con.symbol_risk(con.activity(_evidence(s, d))))
 
