@@ -17,25 +17,40 @@ from sparkarch.llm import bottomk, fingerprints, packing, quality, winnow
 from sparkarch.llm.common import new_path, table
 
 
+#: Words whose ids a worker keeps: executors that have run the other stages have less memory to spare.
+CACHE_WORDS = 100_000
+
+
+def _small_steps(spark: SparkSession) -> None:
+    """Session settings for long chains of stages: small batches to Python, and no shuffle files beyond their query."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_steps(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_steps(spark)
     return fingerprints.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_steps(spark)
     return bottomk.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_steps(spark)
     return winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    _small_steps(spark)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, slices, small, table, worker_cache
 
 #: Moduli below 2**31 and the points of evaluation.
 PRIMES, POINTS = (2147483647, 2147483629), (1048583, 805306457)
@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, text: str = "text", primes: tuple[int, ...] =
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("tag"), body.alias("body"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache()
+        for batch in slices(batches):
             texts = batch.column("body").to_pylist()
             prints = [fingerprint(x, primes) for x in texts]
             yield pa.RecordBatch.from_arrays(
@@ -74,14 +75,14 @@ def fingerprints(docs: DataFrame, text: str = "text", primes: tuple[int, ...] =
             )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             texts = batch.column("body").to_pylist()
             prints = [fingerprint(x, primes) for x in texts]
             columns = [batch.column(c) for c in ("doc_id", "tag", "n_bytes", "text_sha256", "part")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in texts], pa.int64()), *(pa.array([p[i] for p in prints], pa.int64()) for i in range(2))], ["doc_id", "tag", "n_bytes", "text_sha256", "part", "part_bytes", "h1", "h2"])
 
     @F.udf("struct<h1: long, h2: long>")
-    def joined(found: list) -> tuple[int, int]:
+    def joined(found):
         out = (0, 0)
         for x in sorted(found, key=lambda x: x["part"]):
             out = combine(out, (x["h1"], x["h2"]), x["part_bytes"], primes)
@@ -128,7 +129,7 @@ def exact_groups(docs: DataFrame, text: str = "text", primes: tuple[int, ...] =
     key = KEY
     if not unequal.isEmpty():  # two different texts with one fingerprint
         marked = prints.join(unequal.withColumn("__split", F.lit(True)), KEY, "left")
-        prints = cut(marked.withColumn("part_of", F.when("__split", F.col("text_sha256")).otherwise("")).drop("__split"))
+        prints = cut(marked.withColumn("part_of", F.when(F.col("__split"), F.col("text_sha256")).otherwise("")).drop("__split"))
         key = [*KEY, "part_of"]
         groups = _groups(prints, key)
     out = prints.join(groups, key, "left")

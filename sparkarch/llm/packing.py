@@ -12,20 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .tokens import encoded_batches, tokenizer_file
+from .tokens import CACHE_WORDS, encoded_batches, tokenizer_file
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs. The rule wastes a few sequences a task, whatever their number.
 GROUP_PIECES = 16_384
 
 
-def pieces(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """The documents' ids, each followed by ``end_id``, cut into pieces of at most ``capacity``: one row per piece."""
     spec = spec or open(tokenizer_file()).read()
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, encoded in encoded_batches(batches, spec, "text"):
+        for batch, encoded in encoded_batches(batches, spec, "text", cache_words):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
@@ -87,15 +87,16 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return best
 
 
-def pack(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """All pieces of all documents with their ``sequence_id`` and ``offset``.
 
     The texts are read and encoded once; only the pieces' lengths travel. Full pieces are sequences of their own. The others
     are dealt evenly, by a hash of their place in the table, to tasks of about ``group_pieces`` pieces, each of which packs
-    its own by the rule of :func:`place`; so no key or text can fill one task. A null or empty text is a piece of one id; an
+    its own by the rule of :func:`place`; so no key or text can fill one task. ``cache_words``
+    bounds the words whose ids a worker keeps. A null or empty text is a piece of one id; an
     empty table gives no rows; repeated rows are packed each.
     """
-    stored = cut(pieces(docs, text, capacity, spec).withColumn("__row", F.monotonically_increasing_id()))
+    stored = cut(pieces(docs, text, capacity, spec, cache_words=cache_words).withColumn("__row", F.monotonically_increasing_id()))
     full = stored.filter(F.col("length") == capacity)
     rest = stored.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_pieces))

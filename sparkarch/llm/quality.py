@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table, worker_cache
 
 #: Labelled rows that a fit takes at most, those with the smallest hash of doc_id.
 FIT_ROWS = 20_000
@@ -86,7 +86,8 @@ def _stats_of(docs: DataFrame, keep: str, kind: str, text: str = "text") -> Data
     names = keep.split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache()
+        for batch in slices(batches):
             x = [stats(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
 
@@ -140,6 +141,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        worker_cache()
         return pd.Series(sent.value.score(np.array([stats(t) for t in texts]).reshape(-1, N_STATS)))
 
     out = docs.withColumn("score", scored(F.col(text)))

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table, worker_cache
 
 #: A worker keeps the ids of so many words, and of as many that it met before those.
 CACHE_WORDS = 400_000
 #: Bytes of text, roughly, whose new words are worked out together.
-STEP = 2 << 20
+STEP = 1 << 20
 #: White space to Python's split() but ordinary characters to the tokenizer; and letters whose small form isn't one for one.
 _ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
 #: Punctuation that ends a word of letters; the tokenizer splits there too.
@@ -74,21 +74,26 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         new = self.words.missing(words)
-        letters = [w for w in new if w.isalpha()]
-        ids = self._ids(" ".join(letters))
+        found, letters = self.words.new, [w for w in new if w.isalpha()]
+        for i in range(0, len(letters), 4000):
+            self._learn_letters(letters[i : i + 4000])
+        if len(letters) < len(new):
+            others = [w for w in new if not w.isalpha()]
+            for i in range(0, len(others), 1000):
+                some = others[i : i + 1000]
+                for word, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    found[word] = np.array(encoded.ids, dtype="<u4").tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        ids, found = self._ids(" ".join(words)), self.words.new
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        found = self.words.new
-        if len(stops) == len(letters) and (not len(stops) or stops[-1] == 4 * len(ids)):
+        if len(stops) == len(words) and stops[-1] == 4 * len(ids):
             data, at = ids.tobytes(), 0
-            for word, stop in zip(letters, stops.tolist(), strict=True):
+            for word, stop in zip(words, stops.tolist(), strict=True):
                 found[word] = data[at:stop]
                 at = stop
-        else:
-            found.update((w, self._ids(w).tobytes()) for w in letters)
-        if len(letters) < len(new):
-            others = [w for w in new if not w.isalpha()]
-            for word, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-                found[word] = np.array(encoded.ids, dtype="<u4").tobytes()
+        else:  # a letter that the tokenizer takes for something else
+            found.update((w, self._ids(w).tobytes()) for w in words)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
@@ -117,22 +122,10 @@ class WordEncoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
-def encoder(spec: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer: its words outlive a task, for the next one in the same process."""
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec)
-    return _ENCODERS[key]
-
-
-def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Record batches with the ids of their texts; a null text is empty."""
-    own = encoder(spec)
-    for batch in batches:
+def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, column: str, words: int = CACHE_WORDS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Record batches with the ids of their texts; a null text is empty. The worker's words outlive the task."""
+    own = worker_cache(f"words {hash(spec)} {words}", lambda: WordEncoder(spec, words))
+    for batch in slices(batches):
         yield batch, list(own.encode(["" if t is None else t for t in batch.column(column).to_pylist()]))
 
 
