@@ -16,8 +16,9 @@ from .common import cut, slices, table, worker_cache
 CACHE_WORDS = 400_000
 #: Bytes of text, roughly, whose new words are worked out together.
 STEP = 1 << 20
-#: White space to Python's split() but ordinary characters to the tokenizer; and letters whose small form isn't one for one.
-_ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
+#: White space to Python's split() but ordinary characters to the tokenizer; letters whose small form isn't one for one; and
+#: what a special token may begin with. Texts with any of these are encoded whole.
+_ODD = re.compile(r"[\x1c-\x1f\u03a3\u0130]|<\|")
 #: Punctuation that ends a word of letters; the tokenizer splits there too.
 _END = re.compile(r"(?<=[a-zß-öø-ÿ])[!-&(-/:-@\[-^`{-~]+(?!\S)")
 

@@ -145,6 +145,12 @@ def test_word_by_word_encoding_equals_the_tokenizer(texts):
     assert list(own.encode(texts)) == want
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "a<|startoftext|>.", "don't we'LL 'S", "ﬁ ﬂ. ŉ", "각 각", "e\u0301. E\u0301", "x" * 3000, "日本語 テキスト,", "\x1c\x1f a.", "***. ---", "a_b. _.", "½. a½,"])
+def test_odd_words(spec, text):
+    whole = tokens.load_tokenizer(spec)
+    assert list(tokens.WordEncoder(spec).encode([text, "", text * 400])) == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in (text, "", text * 400)]
+
+
 def lengths(rows, spec):
     t = tokens.load_tokenizer(spec)
     return [len(t.encode(x or "", add_special_tokens=False).ids) for _, x in rows]
