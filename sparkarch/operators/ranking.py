@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def percentile_rank(rows: DataFrame, value: str, key: str, name: str) -> DataFrame:
     """``rows`` with the place in the order (value, key) over n - 1, 4 digits; 1 for a single row. Ties get different places.
 
-    The place is the number of rows with a smaller value, from a running sum over one row per distinct value, plus the place
-    within the value. Degrees have few distinct values; within one of them rows are ranked in ranges of the key's hash-free
-    order, by a count per range and a window inside it.
+    The place is the number of rows with a smaller value, from a running sum over one row per distinct value (degrees have few),
+    plus the place within the value: rows of one value are ranked in ranges of the key, by its first characters, with a count
+    per range and a window inside it. So no task gets all rows of a value.
     """
     per_value = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
     before = Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,7 +51,7 @@ def refactor_plan(s, d):
 
 
 @query(f"""WITH {_HOT}, c2 AS (SELECT a.src, a.dst FROM hard a JOIN hard b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst), x AS (SELECT 3 * (SELECT count(*) FROM c2) AS cycle_penalty, (SELECT count(*) FROM edges WHERE edge_type = 'soft') AS soft_edges_count,
-  (SELECT count(*) FROM edges) AS edges_total, 0 AS cluster_penalty, (SELECT count(*) FROM hotspots WHERE type <> 'NORMAL' AND score >= 0.85) AS hotspot_penalty, 2 AS collision_count),
+  (SELECT count(*) FROM edges) AS edges_total, 0::BIGINT AS cluster_penalty, (SELECT count(*) FROM hotspots WHERE type <> 'NORMAL' AND score >= 0.85) AS hotspot_penalty, 2::BIGINT AS collision_count),
 y AS (SELECT *, cycle_penalty * 2.0 + soft_edges_count * 0.5 + cluster_penalty + hotspot_penalty + collision_count * 1.5 AS sc FROM x)
 SELECT cycle_penalty, soft_edges_count, edges_total, cluster_penalty, hotspot_penalty, collision_count, round(sc, 4)::DOUBLE AS score, round(sc / greatest(edges_total, 1), 4)::DOUBLE AS normalized,
   CASE WHEN round(sc / edges_total, 4) < 0.05 THEN 'low' WHEN round(sc / edges_total, 4) < 0.15 THEN 'moderate' WHEN round(sc / edges_total, 4) < 0.3 THEN 'high' ELSE 'critical' END AS label FROM y""")
@@ -222,7 +222,7 @@ def changed_files(s, d):
     return repository.changed_files(old, new)
 
 
-@query("SELECT count(*) AS files, sum(strlen(coalesce(text, ''))) AS bytes, sum(len(string_split(coalesce(text, ''), chr(10)))) AS lines FROM documents")
+@query("SELECT count(*) AS files, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, CAST(sum(len(string_split(coalesce(text, ''), chr(10)))) AS BIGINT) AS lines FROM documents")
 def bundle_estimate(s, d):
     return sinks.estimate(fx.texts(s, d).fillna({"text": ""}))
 

@@ -74,7 +74,8 @@ x AS (SELECT module, priority, list_sort(list_distinct(list_filter([CASE type WH
   CASE WHEN out_degree >= 10 THEN 'high_out_degree' END, CASE WHEN in_degree >= 10 THEN 'high_in_degree' END, CASE WHEN in_degree >= 20 THEN 'many_dependents' END], lambda s: s IS NOT NULL))) AS signals FROM t)
 SELECT module, priority, array_to_string(signals, ',') AS signals FROM x WHERE len(signals) > 0""")
 def inspection_targets(s, d):
-    return hot.inspection_targets(hot.hotspots(fx.edges(s, d))).withColumn("signals", F.array_join("signals", ","))
+    found = hot.inspection_targets(hot.hotspots(fx.edges(s, d)))
+    return found.withColumn("priority", F.col("priority").cast("long")).withColumn("signals", F.array_join("signals", ","))
 
 
 _RISK_ROWS = """so AS (SELECT src, count(*) AS k FROM edges WHERE edge_type = 'soft' GROUP BY src),
@@ -88,7 +89,7 @@ def module_risk(s, d):
     return hot.module_risk(fx.edges(s, d))
 
 
-@query(f"WITH {_RISK} SELECT count_if(risk >= 0.85) AS critical, round(avg(risk), 4) AS average, max(risk) AS max FROM risk")
+@query(f"WITH {_RISK} SELECT CAST(count_if(risk >= 0.85) AS BIGINT) AS critical, round(avg(risk), 4) AS average, max(risk) AS max FROM risk")
 def risk_summary(s, d):
     return hot.risk_summary(hot.module_risk(fx.edges(s, d)))
 
@@ -149,7 +150,7 @@ def shared_artifacts(s, d):
 
 @query(f"""WITH {fx.USAGE}, {fx.SYMBOLS}, u AS (SELECT definer, symbol, count(*) AS k FROM usage WHERE consumer <> definer GROUP BY ALL),
 b AS (SELECT DISTINCT s.module_id, s.symbol, u.k FROM symbols s LEFT JOIN u ON u.definer = s.module_id AND u.symbol = s.symbol)
-SELECT count(*) AS symbols, count(k) AS used, count_if(k IS NULL) AS dead, CAST(coalesce(sum(k), 0) AS BIGINT) AS uses FROM b""")
+SELECT count(*) AS symbols, count(k) AS used, CAST(count_if(k IS NULL) AS BIGINT) AS dead, CAST(coalesce(sum(k), 0) AS BIGINT) AS uses FROM b""")
 def consumer_summary(s, d):
     return con.consumer_summary(fx.symbols(s, d).withColumnRenamed("module_id", "definer"), fx.usage(s, d))
 
@@ -172,7 +173,7 @@ def layer_boundary(s, d):
 
 
 @query(f"""WITH {_AB}, e AS (SELECT a AS layer, CASE WHEN a = b THEN 'internal' ELSE 'outbound' END AS way FROM ab UNION ALL SELECT b, 'inbound' FROM ab WHERE a <> b),
-k AS (SELECT layer, count_if(way = 'internal') AS internal_edges, count_if(way = 'inbound') AS inbound_edges, count_if(way = 'outbound') AS outbound_edges FROM e GROUP BY layer),
+k AS (SELECT layer, CAST(count_if(way = 'internal') AS BIGINT) AS internal_edges, CAST(count_if(way = 'inbound') AS BIGINT) AS inbound_edges, CAST(count_if(way = 'outbound') AS BIGINT) AS outbound_edges FROM e GROUP BY layer),
 z AS (SELECT layer, count(DISTINCT module_id) AS nodes FROM members GROUP BY layer)
 SELECT layer, nodes, coalesce(internal_edges, 0) AS internal_edges, coalesce(inbound_edges, 0) AS inbound_edges, coalesce(outbound_edges, 0) AS outbound_edges,
   CASE WHEN nodes > 1 THEN round(coalesce(internal_edges, 0) / (nodes * (nodes - 1)), 4) ELSE 0.0 END AS density, round(CASE WHEN nodes > 1 THEN round(coalesce(internal_edges, 0) / (nodes * (nodes - 1)), 4) ELSE 0.0 END / 0.01, 2) AS density_ratio
@@ -376,7 +377,7 @@ def activity(s, d):
     return con.symbol_risk(con.activity(_evidence(s, d))).select("symbol", "module_id", "status", "confidence", "risk")
 
 
-@query(f"WITH {_EVIDENCE_SQL} SELECT count(*) AS total_symbols, count_if(status = 'live') AS live, count_if(status = 'live_callback') AS live_callback, count_if(status = 'unused_public_api') AS unused_public_api, count_if(status = 'unused_internal_candidate') AS unused_internal_candidates FROM ac")
+@query(f"WITH {_EVIDENCE_SQL} SELECT count(*) AS total_symbols, CAST(count_if(status = 'live') AS BIGINT) AS live, CAST(count_if(status = 'live_callback') AS BIGINT) AS live_callback, CAST(count_if(status = 'unused_public_api') AS BIGINT) AS unused_public_api, CAST(count_if(status = 'unused_internal_candidate') AS BIGINT) AS unused_internal_candidates FROM ac")
 def activity_summary(s, d):
     return con.activity_summary(con.activity(_evidence(s, d)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import collisions as col
 from ..operators import resolve
+from ..shipping import ship
 from ..sources import repository as repo
 from . import planner
 
@@ -32,7 +33,7 @@ class State:
     TABLES = ("facts", "edges", "usage", "collisions")
 
     def __init__(self, spark: SparkSession, folder: str, root: str) -> None:
-        self.spark, self.folder, self.root = spark, folder.rstrip("/"), root
+        self.spark, self.folder, self.root = ship(spark), folder.rstrip("/"), root
 
     def _fs(self, path: str):
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
