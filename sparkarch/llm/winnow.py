@@ -8,6 +8,8 @@ whole stretch that the two share. Only DataFrame functions run here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +45,25 @@ def _place(packed: str) -> Column:
 SET_HASHES = 20_000
 
 
+def _around(kind: str, p: str, words_: str, reach: int, span: int) -> str:
+    """Kind, packed value, and the words that a shared window around the hash can reach, with the place where they begin."""
+    place = f"cast({p} & {(1 << PLACE_BITS) - 1} as int)"
+    first = f"greatest(0, {place} - {reach})"
+    return f"CASE WHEN {kind} = 0 THEN struct({kind} as kind, {p} as p, {first} as begin, slice({words_}, {first} + 1, {place} + {span} - {first}) as s) ELSE struct({kind} as kind, {p} as p, {place} as begin, slice({words_}, {place} + 1, {kind}) as s) END"
+
+
 def _item_prints(benchmark: DataFrame, span: int, item_text: str, k: int, window: int) -> tuple[DataFrame, list[int]]:
-    """Kept hashes of the items, kind 0, and the hash of every whole shorter item, its kind its number of words; those numbers."""
-    items = benchmark.select("item_id", words(F.col(item_text)).alias("item_words")).filter("size(item_words) > 0")
-    n = F.size("item_words")
+    """Kept hashes of the items, kind 0, and the hash of every whole shorter item, its kind its number of words; those numbers.
+
+    Each has the item's words around it, as many as a document's hash has.
+    """
+    items = benchmark.select("item_id", words(F.col(item_text)).alias("w")).filter("size(w) > 0")
+    n = F.size("w")
     short = sorted(r["n"] for r in items.filter(n < span).select(n.alias("n")).distinct().collect())  # under span numbers
-    prints = items.filter(n >= span).withColumn("w", F.col("item_words")).withColumn("g", F.expr(_packed(k))).select("item_id", "item_words", F.lit(0).alias("item_kind"), F.explode(F.expr(_winnowed(k, window))).alias("p"))
-    for size in short:
-        whole = items.filter(n == size).withColumn("w", F.col("item_words"))
-        prints = prints.unionByName(whole.select("item_id", "item_words", F.lit(size).alias("item_kind"), F.explode(F.expr(_packed(size))).alias("p")))
-    return cut(prints.select("item_id", "item_words", "item_kind", _hash("p").alias("item_hash"), _place("p").alias("item_place"))), short
+    parts = [items.filter(n >= span).withColumn("g", F.expr(_packed(k))).select("item_id", F.explode(F.expr(f"transform({_winnowed(k, window)}, p -> {_around('0', 'p', 'w', span - k, span)})")).alias("f"))]
+    parts += [items.filter(n == size).select("item_id", F.explode(F.expr(f"transform({_packed(size)}, p -> {_around(str(size), 'p', 'w', span - k, span)})")).alias("f")) for size in short]
+    prints = reduce(DataFrame.unionByName, [x.select("item_id", F.col("f.kind").alias("item_kind"), _hash("f.p").alias("item_hash"), _place("f.p").alias("item_place"), F.col("f.begin").alias("item_begin"), F.col("f.s").alias("item_s")) for x in parts])
+    return cut(prints), short
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", item_text: str = "text", k: int = K, window: int = WINDOW, set_hashes: int = SET_HASHES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,8 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
     Where the items' hashes are counted to be few, the documents are read once and each is filtered by the set of hashes where
     it is read: a document sends one row, and one of ``2 * span - k`` words for each hash that an item has too. Beyond that, the
     hashes are joined (items broadcast if few, else by an exchange) and documents with a hash in common are read again.
-    Null and empty texts have no words and no hits, items without words match nothing, an empty benchmark leaves every document
-    clean; repeated rows give a row each, and rows that share a doc_id but not a text are told apart.
+    Null and empty texts have no words and no hits, items without words match nothing, an item without id marks words but has no
+    place among the ids, an empty benchmark leaves every document clean; repeated rows give a row each, and rows that share a doc_id but not a text are told apart.
     """
     if k + window - 1 > span:
         raise ValueError("k + window - 1 must not be more than span")
@@ -78,14 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
     rows = docs.select("doc_id", F.xxhash64(body, F.lit(1)).alias("d1"), F.xxhash64(body, F.lit(2)).alias("d2"), words(body).alias("w")).withColumn("g", F.expr(_packed(k)))
     key = ["doc_id", "d1", "d2"]
     kinds = [(0, _winnowed(k, window)), *((n, _packed(n)) for n in short)]
-    reach = span - k
-    # words that a shared window around the hash can reach, and where they begin
-    near = f"CASE WHEN kind = 0 THEN struct(kind, p, greatest(0, place - {reach}) as begin, slice(w, greatest(0, place - {reach}) + 1, place + {span} - greatest(0, place - {reach})) as s) ELSE struct(kind, p, place as begin, slice(w, place + 1, kind) as s) END"
-
-    def around(kind: str, p: str) -> str:
-        place = f"cast({p} & {(1 << PLACE_BITS) - 1} as int)"
-        return near.replace("place", place).replace("struct(kind, p,", f"struct({kind} as kind, {p} as p,").replace("kind = 0", f"{kind} = 0").replace(", kind)", f", {kind})")
-
+    around = lambda kind, p: _around(kind, p, "w", span - k, span)
     none = "struct(-1 as kind, cast(0 as bigint) as p, 0 as begin, cast(array() as array<string>) as s)"  # every document has this one
     if n_prints <= set_hashes:
         held: dict[int, list[int]] = {}
@@ -107,19 +111,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
         found = f"coalesce(transform(f, x -> {around('x.kind', 'x.p')}), cast(array() as array<struct<kind: int, p: bigint, begin: int, s: array<string>>>))"
         flat = flat.select(*key, F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array({none}), {found})")).alias("f"))
     flat = flat.select(*key, "n_words", "f.kind", "f.p", "f.begin", "f.s").withColumn("hash", _hash("p"))
-    met = flat.join(F.broadcast(prints) if n_prints <= broadcast_rows else prints, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left").filter("kind = -1 or item_id is not null or item_words is not null")
+    met = flat.join(F.broadcast(prints) if n_prints <= broadcast_rows else prints, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left").filter("kind = -1 or item_s is not null")
     met = met.withColumn("place", _place("p")).withColumn("shift", F.col("place") - F.col("item_place"))
     # the stretch around the hash where document and item agree
     stretch = F.expr(
         """CASE WHEN kind >= 0 THEN named_struct(
-          'first', coalesce(array_max(filter(sequence(greatest(begin, shift), place), i -> s[i - begin] <> item_words[i - shift])), greatest(begin, shift) - 1) + 1,
-          'last', coalesce(array_min(filter(sequence(place, least(begin + size(s), size(item_words) + shift) - 1), i -> s[i - begin] <> item_words[i - shift])), least(begin + size(s), size(item_words) + shift)) - 1) END"""
+          'first', coalesce(array_max(filter(sequence(greatest(begin, item_begin + shift), place), i -> s[i - begin] <> item_s[i - shift - item_begin])), greatest(begin, item_begin + shift) - 1) + 1,
+          'last', coalesce(array_min(filter(sequence(place, least(begin + size(s), item_begin + size(item_s) + shift) - 1), i -> s[i - begin] <> item_s[i - shift - item_begin])), least(begin + size(s), item_begin + size(item_s) + shift)) - 1) END"""
     )
     met = met.withColumn("t", stretch).filter(f"kind = -1 or t.last - t.first + 1 >= CASE WHEN kind = 0 THEN {span} ELSE kind END")
     hit = F.when(F.col("kind") >= 0, F.struct("item_id", "shift", F.col("t.first").alias("start"), (F.col("t.last") - F.col("t.first") + 1).alias("length")))
     one = met.select(*key, "n_words", "kind", hit.alias("hit")).groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count_if(F.col("kind") == -1).alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"))
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda s: s["item_id"].cast("string"))))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda s: s["item_id"].cast("string")))))
     return one.select("doc_id", "d1", "d2", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "n_words", hit_words.cast("long").alias("n_hit"), ids.alias("item_ids"), "hits").drop("copy")
 
 
