@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkarch.llm import bottomk, fingerprints, packing, quality, winnow
 from sparkarch.llm.common import new_path, table
+from sparkarch.shipping import ship
 
 
 #: Words whose ids a worker keeps: executors that have run the other stages have less memory to spare.
@@ -22,7 +23,8 @@ CACHE_WORDS = 100_000
 
 
 def _small_steps(spark: SparkSession) -> None:
-    """Session settings for long chains of stages: small batches to Python, and no shuffle files beyond their query."""
+    """Settings for long chains of stages: small batches to Python, and no shuffle files beyond their query."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 

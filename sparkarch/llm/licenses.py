@@ -125,7 +125,7 @@ pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
 cand AS (SELECT pos.doc_id, t.t, t.label, t.base, pos.p - t.key_at AS start FROM pos JOIN t ON pos.word = t.key[1] JOIN d ON d.doc_id = pos.doc_id WHERE list_slice(d.w, pos.p + 1, pos.p + len(t.key)) = t.key),
 sc AS (SELECT c.doc_id, c.t, c.label, c.base, c.start, sum(CASE WHEN pos.word = tw.word THEN r ELSE 0 END) AS got FROM cand c JOIN tw ON tw.t = c.t JOIN ra ON ra.word = tw.word LEFT JOIN pos ON pos.doc_id = c.doc_id AND pos.p = c.start + tw.j GROUP BY ALL),
 m AS (SELECT sc.*, CAST(got AS DOUBLE) / CAST(total AS DOUBLE) AS score FROM sc JOIN tot ON tot.t = sc.t WHERE CAST(got AS DOUBLE) / CAST(total AS DOUBLE) >= {LEAST_SCORE}),
-g AS (SELECT doc_id, count_if(base) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
+g AS (SELECT doc_id, CAST(count_if(base) AS BIGINT) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
   string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(round(score, 6)) AS score FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
