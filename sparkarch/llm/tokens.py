@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -14,12 +15,11 @@ from .common import cut, slices, table, worker_cache
 
 #: A worker keeps the ids of so many words, and of as many that it met before those.
 CACHE_WORDS = 400_000
-#: Bytes of text, roughly, whose new words are worked out together.
-STEP = 1 << 20
 #: White space to Python's split() but ordinary characters to the tokenizer; letters whose small form isn't one for one; and
 #: what a special token may begin with. Texts with any of these are encoded whole.
 _ODD = re.compile(r"[\x1c-\x1f\u03a3\u0130]|<\|")
-#: Punctuation that ends a word of letters; the tokenizer splits there too.
+#: Words of small Latin letters; and punctuation that ends a word of letters: the tokenizer splits there too.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _END = re.compile(r"(?<=[a-zß-öø-ÿ])[!-&(-/:-@\[-^`{-~]+(?!\S)")
 
 
@@ -66,6 +66,10 @@ class WordEncoder:
 
     def __init__(self, spec: str, size: int = CACHE_WORDS) -> None:
         self.tokenizer, self.words = load_tokenizer(spec), _Recent(size)
+        self.step = max(1 << 16, 15 * size)  # characters whose new words are worked out together
+        # plain words need neither normalising nor splitting
+        plain = json.loads(spec) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
+        self.plain = load_tokenizer(json.dumps(plain))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -76,8 +80,12 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         new = self.words.missing(words)
         found, letters = self.words.new, [w for w in new if w.isalpha()]
-        for i in range(0, len(letters), 4000):
-            self._learn_letters(letters[i : i + 4000])
+        plain, other = [], []
+        for w in letters:
+            (plain if _PLAIN.fullmatch(w) else other).append(w)
+        for words, tokenizer in ((plain, self.plain), (other, self.tokenizer)):
+            for i in range(0, len(words), 16_000):
+                self._learn_letters(words[i : i + 16_000], tokenizer)
         if len(letters) < len(new):
             others = [w for w in new if not w.isalpha()]
             for i in range(0, len(others), 1000):
@@ -85,8 +93,8 @@ class WordEncoder:
                 for word, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                     found[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
-    def _learn_letters(self, words: list[str]) -> None:
-        ids, found = self._ids(" ".join(words)), self.words.new
+    def _learn_letters(self, words: list[str], tokenizer) -> None:
+        ids, found = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4"), self.words.new
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stops) == len(words) and stops[-1] == 4 * len(ids):
             data, at = ids.tobytes(), 0
@@ -101,11 +109,11 @@ class WordEncoder:
         i = 0
         while i < len(texts):
             j, size, split = i, 0, []
-            while j < len(texts) and size < STEP:
+            while j < len(texts) and size < self.step:
                 size += len(texts[j])
                 split.append(None if _ODD.search(texts[j]) else _END.sub(r" \g<0>", texts[j].lower()).split())
                 j += 1
-            if j == i + 1 and split[0] and size > 2 * STEP:  # a long text, some of its words at a time
+            if j == i + 1 and split[0] and size > 2 * self.step:  # a long text, some of its words at a time
                 yield self._long(split[0])
             else:
                 self._learn(set().union(*filter(None, split)))
@@ -114,7 +122,7 @@ class WordEncoder:
                     yield self._ids(text).tobytes() if words is None else b"".join(map(get, words))
             i = j
 
-    def _long(self, words: list[str], step: int = 100_000) -> bytes:
+    def _long(self, words: list[str], step: int = 50_000) -> bytes:
         out = []
         for i in range(0, len(words), step):
             some = words[i : i + step]
@@ -126,7 +134,7 @@ class WordEncoder:
 def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, column: str, words: int = CACHE_WORDS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Record batches with the ids of their texts; a null text is empty. The worker's words outlive the task."""
     own = worker_cache(f"words {hash(spec)} {words}", lambda: WordEncoder(spec, words))
-    for batch in slices(batches):
+    for batch in slices(batches, max(250, words // 100)):
         yield batch, list(own.encode(["" if t is None else t for t in batch.column(column).to_pylist()]))
 
 
