@@ -22,21 +22,21 @@ def jaccard_pairs(items: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
 
     Owners meet in the lists of their rarest items only: two sets of similarity ``least`` share an item among the first
     n - ceil(least * n) + 1 of each, in any common order. So items that most owners have join nobody. Candidates are checked for
-    size, then on their whole sets, counted by one more join.
+    size, then on their whole sets.
     """
-    sets = cut(items.select("owner", "item").filter("owner is not null and item is not null").distinct())
-    held = sets.groupBy("item").agg(F.count("*").alias("df"))
-    sizes = sets.groupBy("owner").agg(F.count("*").alias("n"))
     if least <= 0:
         raise ValueError("least must be above 0: owners that share nothing are not paired")
-    ranked = sets.join(held, "item").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("x"))
-    n = F.size("x")
-    first = ranked.select("owner", n.alias("n"), F.explode(F.slice("x", 1, n - F.ceil(F.round(n * least, 9)).cast("int") + 1)).alias("e")).select("owner", "n", F.col("e.item").alias("item"))
+    sets = cut(items.select("owner", "item").filter("owner is not null and item is not null").distinct())
+    # numbers stand for the items: sets of numbers are intersected far faster than sets of texts
+    held = cut(sets.groupBy("item").agg(F.count("*").alias("df")).withColumn("id", F.monotonically_increasing_id()))
+    ranked = cut(sets.join(held, "item").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("df", "id"))).alias("x")).select("owner", F.transform("x", lambda e: e["id"]).alias("s")))
+    n = F.size("s")
+    first = ranked.select("owner", n.alias("n"), F.explode(F.slice("s", 1, n - F.ceil(F.round(n * least, 9)).cast("int") + 1)).alias("item"))
     left, right = first.select("item", F.col("owner").alias("a"), F.col("n").alias("na")), first.select("item", F.col("owner").alias("b"), F.col("n").alias("nb"))
     near = left.join(right, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b", "na", "nb").distinct()
-    arrays = ranked.select("owner", F.transform("x", lambda e: e["item"]).alias("s"))
-    both = near.join(arrays.select(F.col("owner").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("owner").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
+    both = near.join(ranked.select(F.col("owner").alias("a"), F.col("s").alias("sa")), "a").join(ranked.select(F.col("owner").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    shared = F.col("shared")
     return both.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
