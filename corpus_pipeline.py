@@ -52,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_steps(spark)
-    return packing.pack(docs, cache_words=CACHE_WORDS)
+    return packing.pack(docs, cache_words=CACHE_WORDS, keep_words=False)
 
 
 STAGES = [

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -95,13 +97,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 _KEPT: dict[str, Any] = {}
 
 
+def release_memory() -> None:
+    """Give back what this process has freed: idle workers stay for a minute, beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def worker_cache(name: str | None = None, make: Callable[[], Any] | None = None) -> Any:
     """What a Python worker keeps for the next task of the same kind; it holds one such thing, so another name drops it.
 
     Spark uses a worker process again for later tasks. Operators that keep nothing call this without a name.
     """
     if name not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            release_memory()
         if name is not None:
             _KEPT[name] = make()
     return _KEPT.get(name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, worker_cache
 from .tokens import CACHE_WORDS, encoded_batches, tokenizer_file
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -19,7 +19,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 GROUP_PIECES = 16_384
 
 
-def pieces(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, end_id: int = 0, cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
     """The documents' ids, each followed by ``end_id``, cut into pieces of at most ``capacity``: one row per piece."""
     spec = spec or open(tokenizer_file()).read()
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -34,6 +34,8 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str
                     rows.append((doc, i // (4 * capacity), i // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep_words:
+            worker_cache()
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(cut_up, PIECES)
 
@@ -87,16 +89,16 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return best
 
 
-def pack(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", capacity: int = 2048, spec: str | None = None, group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
     """All pieces of all documents with their ``sequence_id`` and ``offset``.
 
     The texts are read and encoded once; only the pieces' lengths travel. Full pieces are sequences of their own. The others
     are dealt evenly, by a hash of their place in the table, to tasks of about ``group_pieces`` pieces, each of which packs
     its own by the rule of :func:`place`; so no key or text can fill one task. ``cache_words``
-    bounds the words whose ids a worker keeps. A null or empty text is a piece of one id; an
+    bounds the words whose ids a worker keeps, until the next task if ``keep_words``. A null or empty text is a piece of one id; an
     empty table gives no rows; repeated rows are packed each.
     """
-    stored = cut(pieces(docs, text, capacity, spec, cache_words=cache_words).withColumn("__row", F.monotonically_increasing_id()))
+    stored = cut(pieces(docs, text, capacity, spec, cache_words=cache_words, keep_words=keep_words).withColumn("__row", F.monotonically_increasing_id()))
     full = stored.filter(F.col("length") == capacity)
     rest = stored.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_pieces))
