@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, new_path, shuffles_released, slices, small, table, worker_cache
+from .common import cut, drop_path, new_path, release_memory, shuffles_released, slices, small, table, worker_cache
 
 SKETCH = 64
 #: Values whose number of lists' rows is worth ranking; those held by fewer classes rank first, by value. Bounds a broadcast.
@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, text: str, size: int, k: int) -> DataFrame:
                 bits.append(signature(values))
             marks = [pa.array([b[i] for b in bits], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.list_(pa.int64())), *marks], ["doc_id", "n", "digest", "sketch", *SIGNATURE])
+        release_memory()
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>, s1 long, s2 long, s3 long, s4 long")
 
@@ -187,6 +188,7 @@ def sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, siz
         for batch in slices(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
+        release_memory()
 
     reps = small(wanted.select("rep").distinct())
     texts = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(text).alias("text")).join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
