@@ -309,7 +309,7 @@ def _near_groups(docs: DataFrame, text: str, size: int, percent: int, k: int, ro
     lists = cut(lists.withColumn("label", F.col("cid")))
     labels, links = None, None
     for r in range(rounds):
-        # a list proposes pairs with one member, another one each round
+        # a list proposes pairs with one member, another one each round; a class tests its best three, the others stay in their lists
         heads = lists.groupBy("value").agg(F.count("*").alias("m"), *[F.min_by(c, F.xxhash64("value", "cid", F.lit(r))).alias(n) for c, n in (("cid", "a"), ("label", "a_label"))])
         heads = heads.filter("m > 1").drop("m")
         star = lists.join(heads, "value").filter("label <> a_label").select("a", F.col("cid").alias("b")).distinct()
@@ -325,7 +325,7 @@ def _near_groups(docs: DataFrame, text: str, size: int, percent: int, k: int, ro
         # only members with a like one in another component in their list can have a link left
         if not r:
             lists = lists.join(info, "cid")
-        ends = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("value")
+        ends = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
         lists = lists.join(ends, "value")
         mine = lists.select(F.col("value"), "cid", "label", *marks, *[F.col(c).alias(f"a_{c}") for c in marks])
         other = lists.select(F.col("value").alias("o_value"), F.col("label").alias("o_label"), *[F.col(c).alias(f"b_{c}") for c in marks])

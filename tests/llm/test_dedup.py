@@ -114,6 +114,28 @@ def test_near_groups(spark, docs_of, seed, size):
     assert all(r.kept == (n(r.doc_id) == n(r.component_id)) for r in got.itertuples())
 
 
+def fourth_best_family(seed):
+    """A text, copies with another first word, and one without its last four words, which meets the text in one list only.
+
+    The five shingles that the text is listed under, those of the smallest hashes, are its first and its last four.
+    """
+    r = random.Random(seed)
+    fresh = lambda: f"f{seed}x{r.randrange(10**9)}"
+    h = lambda a, b: int(bottomk.shingle_set(f"{a} {b}", 2)[0])
+    words = [fresh()]
+    for i in range(20):
+        few = [fresh() for _ in range(60)]
+        words.append((min if i == 0 or i >= 16 else max)(few, key=lambda w: h(words[-1], w)))
+    return [" ".join(x) for x in (words, *[[fresh(), *words[1:]] for _ in range(6)], words[:-4])]
+
+
+def test_near_groups_of_pairs_that_rank_fourth(spark, docs_of):
+    rows = list(enumerate(t for seed in range(12) for t in fourth_best_family(seed)))
+    got = bottomk.near_groups(docs_of(rows), size=2).toPandas()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.itertuples()), key=str) == near_brute(rows, 2)
+    assert got["component_id"].nunique() == 12
+
+
 def test_near_dedup_and_no_rows(spark, docs_of):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "z"), (4, None)]
     kept = bottomk.near_dedup(docs_of(rows))
