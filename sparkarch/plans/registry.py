@@ -632,4 +632,4 @@ def journal_windows(s, d):
     j = fx.journal(s, d)
     return j.groupBy(F.window("ts", "1 hour").start.alias("window_start"), "operation").agg(F.count("*").alias("events"))
 
-from . import more_queries  # noqa: E402, F401  registers its queries
+from . import more_queries, whole_queries  # noqa: E402, F401  register their queries

@@ -1,0 +1,30 @@
+"""The queries on sampled views once more, as NAME_whole, on every row of their tables."""
+
+from __future__ import annotations
+
+from ..sources import fixtures as fx
+from .registry import QUERIES, SQL, query
+
+#: What the SQL of the sampled queries says of their samples.
+SAMPLES = [" WHERE l_orderkey % 97 = 0", " WHERE l_orderkey % 7 = 0", " WHERE l_orderkey % 5 = 0"]
+
+
+def whole_sql(sql: str) -> str:
+    for s in SAMPLES:
+        sql = sql.replace(s, "")
+    return sql
+
+
+def add_whole(name: str) -> None:
+    f = fx.whole(QUERIES[name])
+    f.__name__ = f"{name}_whole"
+    query(whole_sql(SQL[name]) if name in SQL else None)(f)
+
+
+for _name in (
+    "degrees", "graph_metrics", "hotspots", "top_hotspots", "inspection_targets", "module_risk", "risk_summary", "normalised_degrees", "dependency_matrix", "dep_type_breakdown", "fan_in_out", "export_degree",
+    "consumption", "artifact_index", "consumer_counts", "shared_artifacts", "consumer_summary", "visibility", "layer_boundary", "layer_metrics", "layer_degrees", "layer_violations", "forbidden_dependencies", "affected_set",
+    "cycles_bounded", "cycles", "shared_usage_components", "ecosystem", "edge_delta", "changed_degrees", "dsl_artifacts", "dsl_dependencies", "public_api", "unused_public", "name_matches",
+    "dominant_definers", "extraction_candidates", "scoped_matrix", "soft_dependencies", "block_selection",
+):
+    add_whole(_name)
