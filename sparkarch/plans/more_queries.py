@@ -117,14 +117,14 @@ SELECT DISTINCT target, module_id FROM im JOIN t ON module = target OR (contains
 def import_users(s, d):
     m = fx.page_modules(s, d)
     imports = m.join(m.select((F.col("page_id") - 1).alias("page_id"), F.col("module_id").alias("module")), "page_id")
-    return references.import_users(imports, m.filter("page_id < 40").select(F.col("module_id").alias("target")))
+    return references.import_users(imports, fx.sample(m, "page_id < 40").select(F.col("module_id").alias("target")))
 
 
 @query(f"""WITH {fx.SYMBOLS}, a AS (SELECT 'm' || CAST(i % 30 + 1 AS VARCHAR) || CASE WHEN i % 2 = 0 THEN '::' ELSE '.' END || 'p' || CAST(i AS VARCHAR) AS name FROM range(1, 300) t(i)), k AS (SELECT DISTINCT module_id, symbol FROM symbols)
 SELECT a.name, k.module_id AS definer, k.symbol, CASE WHEN k.symbol IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM a LEFT JOIN k ON a.name IN (k.module_id || '::' || k.symbol, k.module_id || '.' || k.symbol)""")
 def target_resolution(s, d):
     i = F.col("id")
-    asked = s.range(1, 300).select(F.concat(F.lit("m"), (i % 30 + 1).cast("string"), F.when(i % 2 == 0, "::").otherwise("."), F.lit("p"), i.cast("string")).alias("name"))
+    asked = fx.numbers(s, d, 300).select(F.concat(F.lit("m"), (i % 30 + 1).cast("string"), F.when(i % 2 == 0, "::").otherwise("."), F.lit("p"), i.cast("string")).alias("name"))
     return references.resolve_target(asked, fx.symbols(s, d))
 
 
@@ -134,13 +134,13 @@ def file_locations(s, d):
     m = fx.modules(s, d)
     p = F.split("path", "/")
     asked = F.when(F.col("doc_id") % 3 == 0, F.col("path")).when(F.col("doc_id") % 3 == 1, F.array_join(F.slice(p, -2, 2), "/")).otherwise(F.concat(F.lit("elsewhere/"), F.element_at(p, -1)))
-    return references.locate(m.filter("doc_id < 60").select(asked.alias("asked")), m)
+    return references.locate(fx.sample(m, "doc_id < 60").select(asked.alias("asked")), m)
 
 
 @query(f"""WITH u AS (SELECT DISTINCT 'm' || CAST(l_suppkey AS VARCHAR) AS module_id, 'a' || CAST(l_partkey % 40 AS VARCHAR) || '.f' AS value FROM lineitem WHERE l_orderkey % 50 = 0), al AS (SELECT DISTINCT 'm' || CAST(s_suppkey AS VARCHAR) AS module_id, 'a' || CAST(s_suppkey % 40 AS VARCHAR) AS alias, 'pkg.mod' AS target FROM supplier)
 SELECT DISTINCT u.module_id FROM u JOIN al ON al.module_id = u.module_id AND u.value = al.alias || '.f' UNION SELECT module_id FROM al""")
 def changed_dependents(s, d):
-    u = fx.read(s, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("module_id"), F.lit("direct_calls").alias("channel"), F.concat(F.lit("a"), (F.col("l_partkey") % 40).cast("string"), F.lit(".f")).alias("value"))
+    u = fx.sample(fx.read(s, d, "lineitem"), "l_orderkey % 50 = 0").select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("module_id"), F.lit("direct_calls").alias("channel"), F.concat(F.lit("a"), (F.col("l_partkey") % 40).cast("string"), F.lit(".f")).alias("value"))
     a = fx.read(s, d, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("module_id"), F.concat(F.lit("a"), (F.col("s_suppkey") % 40).cast("string")).alias("alias"), F.lit("pkg.mod").alias("target"))
     return planner.dependents(u, a, s.createDataFrame([("pkg.mod",)], "module_id string"))
 
@@ -204,7 +204,7 @@ def block_selection(s, d):
 l AS (SELECT *, coalesce(sum(strlen(name)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE status = 'orphan' AND slot % 10 <> 0)
 SELECT CAST(slot AS INT) AS slot, name, status FROM o WHERE slot NOT IN (SELECT slot FROM l, t WHERE b - before > 1500)""")
 def registry_garbage(s, d):
-    p = fx.read(s, d, "part").filter("p_partkey <= 200")
+    p = fx.sample(fx.read(s, d, "part"), "p_partkey <= 200")
     k = F.col("p_partkey")
     table = p.select(F.lit("module").alias("kind"), k.cast("int").alias("slot"), F.lit(1).alias("generation"), F.concat("p_name", k.cast("string")).alias("name"), F.when(k % 2 == 0, "orphan").otherwise("active").alias("status"), F.timestamp_seconds(k).alias("removed_at"))
     refs = p.filter("p_partkey % 10 = 0").select(F.concat(k.cast("string"), F.lit("/1")).alias("obj_id"))

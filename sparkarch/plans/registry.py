@@ -235,7 +235,7 @@ sp AS (SELECT src, dst FROM edges WHERE CAST(substr(src, 2) AS BIGINT) % 10 = 0
 b AS (SELECT src AS x, dst AS y FROM sp UNION SELECT dst, src FROM sp), r(id, c) AS (SELECT x, x FROM b UNION SELECT y, c FROM r JOIN b ON x = id)
 SELECT id, min(c) AS component FROM r GROUP BY id""")
 def components(s, d):
-    part = fx.edges(s, d).filter("cast(substring(src, 2) as bigint) % 10 = 0 and cast(substring(dst, 2) as bigint) % 3 = 0")
+    part = fx.sample(fx.edges(s, d), "cast(substring(src, 2) as bigint) % 10 = 0 and cast(substring(dst, 2) as bigint) % 3 = 0")
     return graphs.components(part)
 
 
@@ -396,7 +396,7 @@ def ecosystem(s, d):
 
 
 def _facts(s, d, new: bool):
-    o = fx.read(s, d, "orders").filter("o_orderkey % 10 <> 0" if new else "o_orderkey % 10 <> 1").filter("o_orderkey % 3 = 0")
+    o = fx.sample(fx.read(s, d, "orders").filter("o_orderkey % 10 <> 0" if new else "o_orderkey % 10 <> 1"), "o_orderkey % 3 = 0")
     return o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("module_id"), F.col("o_orderpriority").alias("channel"), F.col("o_orderstatus").alias("value"), F.when(F.col("o_orderkey") % 4 == 0, F.lit("x")).alias("extra"))
 
 
@@ -574,7 +574,7 @@ def index_resolution(s, d):
 a AS (SELECT 'A' || CAST(i AS VARCHAR) || '/1' AS obj_id FROM range(1, 41) t(i) UNION ALL SELECT 'A999999999/1')
 SELECT a.obj_id, name, CASE WHEN status = 'active' THEN 'active' WHEN status IS NOT NULL THEN 'recovery' ELSE 'missing' END AS status FROM a LEFT JOIN c USING (obj_id)""")
 def id_lookup(s, d):
-    asked = s.range(1, 41).select(F.concat(F.lit("A"), F.col("id").cast("string"), F.lit("/1")).alias("obj_id")).unionByName(s.createDataFrame([("A999999999/1",)], "obj_id string"))
+    asked = fx.numbers(s, d, 41).select(F.concat(F.lit("A"), F.col("id").cast("string"), F.lit("/1")).alias("obj_id")).unionByName(s.createDataFrame([("A999999999/1",)], "obj_id string"))
     return search.lookup_ids(asked, _catalogue(s, d).filter("kind = 'artifact'"))
 
 
@@ -582,8 +582,8 @@ def id_lookup(s, d):
 m AS (SELECT h.key, h.spot, min((hi - lo) * 1000000000 + lo) AS b FROM h JOIN sp ON h.key = sp.key AND lo <= spot AND spot <= hi GROUP BY ALL)
 SELECT h.key, h.spot, b % 1000000000 AS lo, b % 1000000000 + b // 1000000000 AS hi FROM h LEFT JOIN m ON m.key = h.key AND m.spot = h.spot""")
 def enclosing_span(s, d):
-    hits = fx.read(s, d, "events").filter("event_id % 50 = 0").select((F.col("user_id") % 5).alias("key"), F.col("event_id").alias("at"))
-    spans = fx.read(s, d, "orders").filter("o_orderkey % 20 = 0").select((F.col("o_orderkey") % 5).alias("key"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + F.col("o_custkey") % 300).alias("last"))
+    hits = fx.sample(fx.read(s, d, "events"), "event_id % 50 = 0").select((F.col("user_id") % 5).alias("key"), F.col("event_id").alias("at"))
+    spans = fx.sample(fx.read(s, d, "orders"), "o_orderkey % 20 = 0").select((F.col("o_orderkey") % 5).alias("key"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + F.col("o_custkey") % 300).alias("last"))
     return search.smallest_enclosing(hits, spans).select("key", F.col("at").alias("spot"), F.col("first").alias("lo"), F.col("last").alias("hi"))
 
 
@@ -620,7 +620,7 @@ SELECT 'n' || CAST(i AS VARCHAR) AS name, CASE WHEN i % 3 = 0 THEN 'orphan' ELSE
 UNION ALL SELECT name, 'active', 30 + row_number() OVER (ORDER BY name), 1 FROM cur WHERE CAST(substr(name, 2) AS INT) > 30""")
 def registry_sync(s, d):
     known = s.range(1, 31).select(F.lit("module").alias("kind"), F.col("id").cast("int").alias("slot"), F.lit(1).alias("generation"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("removed_at"))
-    current = fx.read(s, d, "part").filter("p_partkey <= 60 and p_partkey % 3 <> 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
+    current = fx.sample(fx.read(s, d, "part"), "p_partkey <= 60").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
     return ids.sync(known, current, "module").select("name", "status", F.col("slot").cast("long"), "generation")
 
 

@@ -6,19 +6,22 @@ from ..sources import fixtures as fx
 from .registry import QUERIES, SQL, query
 
 #: What the SQL of the sampled queries says of their samples.
-SAMPLES = [" WHERE l_orderkey % 97 = 0", " WHERE l_orderkey % 7 = 0", " WHERE l_orderkey % 5 = 0"]
+SAMPLES = [" WHERE l_orderkey % 97 = 0", " WHERE l_orderkey % 7 = 0", " WHERE l_orderkey % 50 = 0", " WHERE l_orderkey % 5 = 0", " AND o_orderkey % 3 = 0", " WHERE event_id % 50 = 0", " WHERE o_orderkey % 20 = 0", " WHERE p_partkey <= 60", " WHERE p_partkey <= 200"]
+SAMPLES += [" WHERE page_id < 40", " WHERE doc_id < 60", " WHERE CAST(substr(src, 2) AS BIGINT) % 10 = 0 AND CAST(substr(dst, 2) AS BIGINT) % 3 = 0"]
+#: Numbers asked for, and the table that has them all.
+PARTS = "(SELECT p_partkey AS i FROM part) t"
 
 
 def whole_sql(sql: str) -> str:
     for s in SAMPLES:
         sql = sql.replace(s, "")
-    return sql
+    return sql.replace("range(1, 41) t(i)", PARTS).replace("range(1, 300) t(i)", PARTS)
 
 
-def add_whole(name: str) -> None:
+def add_whole(name: str, sql: bool = True) -> None:
     f = fx.whole(QUERIES[name])
     f.__name__ = f"{name}_whole"
-    query(whole_sql(SQL[name]) if name in SQL else None)(f)
+    query(whole_sql(SQL[name]) if sql and name in SQL else None)(f)
 
 
 for _name in (
@@ -28,3 +31,9 @@ for _name in (
     "dominant_definers", "extraction_candidates", "scoped_matrix", "soft_dependencies", "block_selection",
 ):
     add_whole(_name)
+
+# Samples of single queries
+
+for _name in ("components", "facts_diff", "changed_dependents", "registry_sync", "registry_garbage", "import_users", "file_locations", "target_resolution", "id_lookup"):
+    add_whole(_name)
+add_whole("enclosing_span", sql=False)

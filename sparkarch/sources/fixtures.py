@@ -27,6 +27,11 @@ def sample(df: DataFrame, condition: str) -> DataFrame:
     return df if _WHOLE.get() else df.filter(condition)
 
 
+def numbers(spark: SparkSession, sf_dir: str, end: int) -> DataFrame:
+    """``id`` from 1 to below ``end``; the keys of all parts in a query made by :func:`whole`."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")) if _WHOLE.get() else spark.range(1, end)
+
+
 def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query on whole tables."""
 

@@ -24,3 +24,14 @@ def test_usage_and_symbols_of_all_orders(spark, small):
     assert {r["definer"]: r["export_degree"] for r in registry.QUERIES["export_degree_whole"](spark, small).collect()} == want
     got = {(m, r["symbol"]) for r in registry.QUERIES["ecosystem_whole"](spark, small).collect() for m in r["modules"].split(",")}
     assert got == {(f"m{i}", f"p{k}") for i, k in pairs.itertuples(index=False)}
+
+
+def test_spans_of_all_orders(spark, small):
+    e, o = pd.read_parquet(f"{small}/events.parquet"), pd.read_parquet(f"{small}/orders.parquet")
+    spans = {k: [] for k in range(5)}
+    for first, customer in zip(o["o_orderkey"].tolist(), o["o_custkey"].tolist()):
+        spans[first % 5].append((customer % 300, first, first + customer % 300))
+    best = lambda key, at: min((s for s in spans[key] if s[1] <= at <= s[2]), default=(None, None, None))[1:]
+    want = sorted((u % 5, i, *best(u % 5, i)) for i, u in zip(e["event_id"].tolist(), e["user_id"].tolist()))
+    got = registry.QUERIES["enclosing_span_whole"](spark, small).collect()
+    assert len(want) == len(e) and sorted(((r["key"], r["spot"], r["lo"], r["hi"]) for r in got), key=lambda r: r[:2]) == want
