@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import collisions as col
+from ..operators import degrees as deg
+from ..operators import graphs, similarity
+from ..operators import hotspots as hot
 from ..sources import fixtures as fx
-from .registry import QUERIES, SQL, query
+from . import dsl
+from .registry import QUERIES, SQL, _page_imports, query
 
 #: What the SQL of the sampled queries says of their samples.
 SAMPLES = [" WHERE l_orderkey % 97 = 0", " WHERE l_orderkey % 7 = 0", " WHERE l_orderkey % 50 = 0", " WHERE l_orderkey % 5 = 0", " AND o_orderkey % 3 = 0", " WHERE event_id % 50 = 0", " WHERE o_orderkey % 20 = 0", " WHERE p_partkey <= 60", " WHERE p_partkey <= 200"]
@@ -37,3 +44,44 @@ for _name in (
 for _name in ("components", "facts_diff", "changed_dependents", "registry_sync", "registry_garbage", "import_users", "file_locations", "target_resolution", "id_lookup"):
     add_whole(_name)
 add_whole("enclosing_span", sql=False)
+
+
+# Reports on what the operators find in the same tables
+
+
+def _found(s, d):
+    """All edges, cycles, hotspots, components of shared usage, collisions of definitions, and the number of nodes."""
+    e = fx.edges(s, d)
+    groups = similarity.shared_usage_components(fx.usage(s, d), most=2**31 - 1)
+    return e, graphs.cycles(deg.hard(e)), hot.hotspots(e), groups, col.collisions(fx.definitions(s, d)), deg.nodes_of(e).count()
+
+
+@query()
+@fx.whole
+def debt_whole(s, d):
+    e, rings, spots, groups, clashes, n = _found(s, d)
+    return hot.debt(rings, e, spots, groups, clashes, n)
+
+
+@query()
+@fx.whole
+def refactor_plan_whole(s, d):
+    e, _, spots, groups, _, n = _found(s, d)
+    return hot.refactor_plan(spots, hot.module_risk(e), groups, n).withColumn("targets", F.array_join("targets", ","))
+
+
+@query()
+@fx.whole
+def architecture_signals_whole(s, d):
+    e, rings, spots, _, _, _ = _found(s, d)
+    return hot.architecture_signals(e, rings, spots).withColumn("signals", F.array_join("signals", ","))
+
+
+@query()
+@fx.whole
+def dsl_modules_whole(s, d):
+    """Pages as modules, with their links as imports."""
+    modules = fx.page_modules(s, d).groupBy("module_id").agg(F.concat(F.translate("module_id", ".", "/"), F.lit(".py")).alias("path"))
+    link = _page_imports(s, d)
+    imports = link.select((F.col("page_id") * 2**32 + F.col("pos")).alias("pos"), F.col("own").alias("module_id"), F.col("name").alias("module"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("names"), F.lit(False).alias("is_from_import"), F.lit(True).alias("is_local"), F.lit(False).alias("type_only"))
+    return dsl.module_records(modules, imports).drop("imports")

@@ -1,8 +1,15 @@
 """Queries on whole tables against brute force; those with SQL are in test_queries too."""
 
+import re
+from collections import Counter
+
 import pandas as pd
 
+from sparkarch.operators import degrees as deg
+from sparkarch.operators import graphs
+from sparkarch.operators import hotspots as hot
 from sparkarch.plans import registry
+from sparkarch.sources import fixtures as fx
 
 
 def lines(folder):
@@ -35,3 +42,30 @@ def test_spans_of_all_orders(spark, small):
     want = sorted((u % 5, i, *best(u % 5, i)) for i, u in zip(e["event_id"].tolist(), e["user_id"].tolist()))
     got = registry.QUERIES["enclosing_span_whole"](spark, small).collect()
     assert len(want) == len(e) and sorted(((r["key"], r["spot"], r["lo"], r["hi"]) for r in got), key=lambda r: r[:2]) == want
+
+
+def test_reports_on_what_the_operators_find(spark, small):
+    q = registry.QUERIES
+    nodes, spots = {r["id"]: r for r in q["degrees_whole"](spark, small).collect()}, q["hotspots_whole"](spark, small).collect()
+    rings = [r["nodes"] for r in fx.whole(lambda s, d: graphs.cycles(deg.hard(fx.edges(s, d))))(spark, small).collect()]
+    assert any(len(r) > 3 for r in rings)
+    got = q["debt_whole"](spark, small).first()
+    clashes = sum(not r["is_identical"] for r in q["collisions"](spark, small).collect())
+    assert (got["cycle_penalty"], got["collision_count"], got["edges_total"]) == (sum(map(len, rings)), clashes, q["graph_metrics_whole"](spark, small).first()["edges_total"])
+    limit = hot.thresholds(len(nodes))
+    groups = [r["modules"].split(",") for r in q["shared_usage_components_whole"](spark, small).collect()]
+    assert got["cluster_penalty"] == sum(len(g) >= limit["cluster_size"] for g in groups) > 0
+    plan = q["refactor_plan_whole"](spark, small).collect()
+    large = [g for g in groups if limit["refactor_cluster_size"] <= len(g) < 0.6 * len(nodes)]
+    assert sorted(r["targets"] for r in plan if r["type"] == "SPLIT_PACKAGE") == sorted(map(",".join, large)) and len(plan) == len(large) + len([r for r in spots if r["type"] != "ISOLATED"][:10])
+    members = {r["module"] for r in q["architecture_signals_whole"](spark, small).collect() if "cycle_member" in r["signals"].split(",")}
+    assert members == {x for r in rings for x in r}
+
+
+def test_imports_of_pages_are_counted(spark, small):
+    pages = pd.read_parquet(f"{small}/pages.parquet")
+    names = {r["page_id"]: r["module_id"] for r in fx.page_modules(spark, small).collect()}
+    want = Counter()
+    for i, html in zip(pages["page_id"], pages["html"]):
+        want[names[i]] += len(re.findall('href="/([^"]*)"', html or ""))
+    assert {r["module_id"]: r["import_count"] for r in registry.QUERIES["dsl_modules_whole"](spark, small).collect()} == dict(want) and any(want.values())
