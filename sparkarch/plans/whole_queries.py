@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import collisions as col
+from ..operators import consumption as con
 from ..operators import degrees as deg
 from ..operators import graphs, similarity
 from ..operators import hotspots as hot
 from ..sources import fixtures as fx
 from . import dsl
-from .registry import QUERIES, SQL, _page_imports, query
+from .registry import QUERIES, SQL, _page_imports, _unrolled_hits, _unrolled_pagerank, query
 
 #: What the SQL of the sampled queries says of their samples.
 SAMPLES = [" WHERE l_orderkey % 97 = 0", " WHERE l_orderkey % 7 = 0", " WHERE l_orderkey % 50 = 0", " WHERE l_orderkey % 5 = 0", " AND o_orderkey % 3 = 0", " WHERE event_id % 50 = 0", " WHERE o_orderkey % 20 = 0", " WHERE p_partkey <= 60", " WHERE p_partkey <= 200"]
@@ -85,3 +86,51 @@ def dsl_modules_whole(s, d):
     link = _page_imports(s, d)
     imports = link.select((F.col("page_id") * 2**32 + F.col("pos")).alias("pos"), F.col("own").alias("module_id"), F.col("name").alias("module"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("names"), F.lit(False).alias("is_from_import"), F.lit(True).alias("is_local"), F.lit(False).alias("type_only"))
     return dsl.module_records(modules, imports).drop("imports")
+
+
+# Graph queries with the operators' own defaults
+
+
+@query(whole_sql(_unrolled_pagerank(50)))
+@fx.whole
+def pagerank_whole(s, d):
+    return graphs.pagerank(deg.hard(fx.edges(s, d)))
+
+
+@query(whole_sql(_unrolled_hits(20)))
+@fx.whole
+def hits_whole(s, d):
+    return graphs.hits(deg.hard(fx.edges(s, d)))
+
+
+@query()
+@fx.whole
+def betweenness_whole(s, d):
+    return graphs.betweenness(deg.hard(fx.edges(s, d)))
+
+
+@query()
+@fx.whole
+def bridge_whole(s, d):
+    e = deg.hard(fx.edges(s, d))
+    return graphs.bridge(e, graphs.betweenness(e))
+
+
+@query(whole_sql(SQL["transitive_dependents"]).replace("depth < 2", "depth < 6"))
+@fx.whole
+def transitive_dependents_whole(s, d):
+    return graphs.transitive_dependents(deg.hard(fx.edges(s, d)), s.createDataFrame([("m1",)], "id string"))
+
+
+@query(whole_sql(SQL["blast_radius"]).replace("depth < 1", "depth < 6"))
+@fx.whole
+def blast_radius_whole(s, d):
+    u = fx.usage(s, d).cache()
+    first = u.filter("definer = 'm1'").agg(F.min("symbol")).first()[0]
+    return con.blast_radius(u, deg.hard(fx.edges(s, d)), fx.members(s, d), "m1", first)
+
+
+@query()
+@fx.whole
+def entry_chains_whole(s, d):
+    return graphs.chains(deg.hard(fx.edges(s, d)), s.createDataFrame([("m1",)], "id string")).withColumn("path", F.array_join("path", ">"))

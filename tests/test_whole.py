@@ -1,5 +1,6 @@
 """Queries on whole tables against brute force; those with SQL are in test_queries too."""
 
+import random
 import re
 from collections import Counter
 
@@ -69,3 +70,56 @@ def test_imports_of_pages_are_counted(spark, small):
     for i, html in zip(pages["page_id"], pages["html"]):
         want[names[i]] += len(re.findall('href="/([^"]*)"', html or ""))
     assert {r["module_id"]: r["import_count"] for r in registry.QUERIES["dsl_modules_whole"](spark, small).collect()} == dict(want) and any(want.values())
+
+
+def sparse(folder):
+    """Order lines that make a sparse graph of 120 suppliers, no edge of it soft, with a long way to m1; its edges."""
+    r = random.Random(3)
+    name = lambda i: 5 * i + 1
+    pairs = sorted({(name(i + 1), name(i)) for i in range(30)} | {(name(a), name(b)) for a, b in ((r.randrange(120), r.randrange(120)) for _ in range(260)) if a != b and min(a, b) > 14})
+    rows = [(k, x, 1, n) for k, p in enumerate(pairs, 1) for n, x in enumerate(p, 1)]
+    pd.DataFrame(rows, columns=["l_orderkey", "l_suppkey", "l_partkey", "l_linenumber"]).to_parquet(f"{folder}/lineitem.parquet")
+    return [(f"m{a}", f"m{b}") for a, b in pairs]
+
+
+def test_searches_go_as_far_as_the_operators(spark, tmp_path):
+    pairs, q, d = sparse(tmp_path), registry.QUERIES, str(tmp_path)
+    nodes, out, into = sorted({x for p in pairs for x in p}), {}, {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+    total, deepest = dict.fromkeys(nodes, 0.0), 0
+    for s in nodes[:80]:
+        levels, paths = [[s]], {s: 1}
+        while levels[-1]:
+            new = Counter()
+            for x in levels[-1]:
+                for y in out.get(x, ()):
+                    if y not in paths:
+                        new[y] += paths[x]
+            paths |= new
+            levels.append(list(new))
+        deepest, credit = max(deepest, len(levels) - 2), dict.fromkeys(paths, 0.0)
+        for here, below in reversed(list(zip(levels, levels[1:]))):
+            for x in here:
+                credit[x] = sum(paths[x] / paths[y] * (1 + credit[y]) for y in out.get(x, ()) if y in set(below))
+        for x, c in credit.items():
+            total[x] += c * (x != s)
+    between = {x: c / max(total.values()) for x, c in total.items()}
+    near = lambda got, want: got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    assert deepest > 12 and near({r["id"]: r["betweenness"] for r in q["betweenness_whole"](spark, d).collect()}, between)
+    closed = {x: sum(z in out[x] for y in out[x] for z in out.get(y, ())) for x in out}
+    want = {x: c * (1 - (closed[x] / (k * (k - 1)) if (k := len(out.get(x, ()))) > 1 else 0)) for x, c in between.items()}
+    assert near({r["id"]: r["bridge_score"] for r in q["bridge_whole"](spark, d).collect()}, want)
+    seen, front = {"m1": ["m1"]}, {"m1": ["m1"]}
+    for depth in range(1, 7):
+        new = {}
+        for x, path in front.items():
+            for y in into.get(x, ()):
+                if y not in seen:
+                    new[y] = min(new.get(y, [y, *path]), [y, *path])
+        seen, front = seen | new, new
+        if depth == 4:
+            chains = {x: ">".join(p) for x, p in seen.items() if len(p) > 1}
+    assert {r["id"]: r["path"] for r in q["entry_chains_whole"](spark, d).collect()} == chains
+    assert {r["id"]: r["depth"] for r in q["transitive_dependents_whole"](spark, d).collect()} == {x: len(p) - 1 for x, p in seen.items() if len(p) > 1} and len(seen) > len(chains) + 1
