@@ -6,76 +6,60 @@ the shared checkpoint folder, so a lost executor costs one step. Nothing but cou
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .degrees import node_universe
 from .ranking import over_max
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` stored once in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="sparkarch-")
-            atexit.register(shutil.rmtree, folder, True)
-            folder = f"file://{folder}"
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 50, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 50) -> DataFrame:
     """``id``, ``pagerank``: ranks after exactly ``iterations`` steps over the largest, 6 digits.
 
-    Rank of nodes without out-edges is spread evenly over all nodes in each step.
+    Rank of nodes without out-edges is spread evenly over all nodes in each step. A step reads the stored state of the one before
+    once: each node keeps its number of out-edges beside its rank, so what has nowhere to go is summed as the state is stored.
     """
-    pairs = _pairs(edges)
-    out = pairs.groupBy("src").agg(F.count("*").alias("out"))
-    linked = cut(pairs.join(out, "src"))
-    nodes = cut(node_universe(linked.select("src"), linked.select("dst")))
+    pairs = cut(_pairs(edges))
+    out = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    nodes = cut(node_universe(pairs.select("src"), pairs.select("dst")).join(out, "id", "left"))
     n = nodes.count()
     if not n:
-        return nodes.withColumn("pagerank", F.lit(0.0))
-    dangling = cut(nodes.join(out.withColumnRenamed("src", "id"), "id", "left_anti"))
+        return nodes.select("id", F.lit(0.0).alias("pagerank"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
-        loose = ranks.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("__loose"))  # one row
-        gained = linked.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("__gain"))
-        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("__gain", F.lit(0.0)) + F.col("__loose") / n)
-        ranks = nodes.join(gained, "id", "left").crossJoin(F.broadcast(loose)).select("id", rank.alias("rank"))
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            ranks = cut(ranks)
+    for _ in range(iterations):
+        loose = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]  # a number
+        share = ranks.filter("out is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        gained = pairs.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("__gain"))
+        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("__gain", F.lit(0.0)) + F.lit(loose / n))
+        ranks = cut(nodes.join(gained, "id", "left").select("id", "out", rank.alias("rank")))
     most = ranks.agg(F.max("rank").alias("__most"))
     return ranks.crossJoin(F.broadcast(most)).select("id", over_max(F.col("rank"), F.col("__most")).alias("pagerank"))
 
 
-def hits(edges: DataFrame, iterations: int = 20, every: int = 4) -> DataFrame:
-    """``id``, ``hub_score``, ``authority_score``: each step takes new authorities from hubs, hubs from those, then divides both by their maxima; 6 digits."""
+def hits(edges: DataFrame, iterations: int = 20) -> DataFrame:
+    """``id``, ``hub_score``, ``authority_score``: each step takes new authorities from hubs, hubs from those, then divides both by their maxima; 6 digits.
+
+    Both halves of a step are stored, so no plan holds more than one join with the edges; a maximum is a number.
+    """
     pairs = cut(_pairs(edges))
     nodes = cut(node_universe(pairs.select("src"), pairs.select("dst")))
-    state = nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"))
-    for i in range(iterations):
-        auth = pairs.join(state.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
+    state = nodes.select("id", F.lit(1.0).alias("h"), F.lit(1.0).alias("a"))
+    over = lambda v, m: F.col(v) / m if m else F.lit(0.0)
+    mh = ma = 1.0
+    for _ in range(iterations):
+        auth = cut(pairs.join(state.select(F.col("id").alias("src"), over("h", mh).alias("hub")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a")))
         hub = pairs.join(auth.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
-        both = nodes.join(auth, "id", "left").join(hub, "id", "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"))
-        most = both.agg(F.max("h").alias("mh"), F.max("a").alias("ma"))
-        share = lambda v, m: F.when(F.col(m) > 0, F.col(v) / F.col(m)).otherwise(0.0)
-        state = both.crossJoin(F.broadcast(most)).select("id", share("h", "mh").alias("hub"), share("a", "ma").alias("auth"))
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            state = cut(state)
-    return state.select("id", F.round("hub", 6).alias("hub_score"), F.round("auth", 6).alias("authority_score"))
+        state = cut(nodes.join(auth, "id", "left").join(hub, "id", "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a")))
+        mh, ma = state.agg(F.max("h"), F.max("a")).first()
+    return state.select("id", F.round(over("h", mh), 6).alias("hub_score"), F.round(over("a", ma), 6).alias("authority_score"))
 
 
 def betweenness(edges: DataFrame, sample_limit: int = 80) -> DataFrame:
@@ -110,12 +94,25 @@ def betweenness(edges: DataFrame, sample_limit: int = 80) -> DataFrame:
 def bridge(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """``id``, ``bridge_score``: betweenness times one less the share of a node's ordered out-neighbour pairs that are linked.
 
-    With fewer than two out-neighbours that share is 0.
+    With fewer than two out-neighbours that share is 0. Triangles of the undirected graph are found once each, from the end of
+    least degree: a hub is the middle of no wedge that a node of less degree can open. Each then says which of its six ordered
+    pairs are edges.
     """
-    pairs = _pairs(edges).filter("src <> dst")
-    a, b, c = pairs.alias("a"), pairs.alias("b"), pairs.alias("c")
-    closed = a.join(c, F.col("a.dst") == F.col("c.src")).join(b, (F.col("b.src") == F.col("a.src")) & (F.col("b.dst") == F.col("c.dst"))).groupBy(F.col("a.src").alias("id")).agg(F.count("*").alias("t"))
+    pairs = cut(_pairs(edges).filter("src <> dst"))
     out = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
+    both = pairs.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), (F.col("src") < F.col("dst")).alias("up"))
+    links = cut(both.groupBy("u", "v").agg(F.max("up").alias("uv"), F.max(~F.col("up")).alias("vu")))
+    degree = cut(links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("d")))
+    placed = links.join(degree.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v")
+    first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    turned = cut(placed.select(pick("u", "v").alias("x"), pick("v", "u").alias("y"), pick("uv", "vu").alias("xy"), pick("vu", "uv").alias("yx")))
+    side = lambda *n: turned.select(*[F.col(c).alias(a) for c, a in zip(("x", "y", "xy", "yx"), n, strict=True)])
+    wedge = side("x", "y", "xy", "yx").join(side("x", "z", "xz", "zx"), "x").filter("y <> z")
+    found = wedge.join(side("y", "z", "yz", "zy"), ["y", "z"])
+    # a node counts an ordered pair of its out-neighbours that is an edge
+    each = F.array(*[F.struct(F.col(n).alias("id"), (F.expr(f"cast({n}{a} and {n}{b} and {a}{b} as int) + cast({n}{a} and {n}{b} and {b}{a} as int)")).alias("t")) for n, a, b in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))])
+    closed = found.select(F.explode(each).alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.sum("e.t").alias("t"))
     share = F.when(F.col("k") >= 2, F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
     return scores.join(out, "id", "left").join(closed, "id", "left").select("id", F.round(F.col("betweenness") * (1 - share), 6).alias("bridge_score"))
 

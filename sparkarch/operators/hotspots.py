@@ -76,7 +76,7 @@ def module_risk(edges: DataFrame) -> DataFrame:
     a, b, d = RISK_WEIGHTS
     risk = share("in_degree") * a + share("out_degree") * b + F.least(share("soft"), F.lit(1.0)) * d
     factor = F.when(F.col("id").startswith("config."), 0.25).otherwise(1.0)
-    return node.crossJoin(F.broadcast(most)).select(F.col("id").alias("module"), F.round(risk * factor, 4).alias("risk"))
+    return node.crossJoin(F.broadcast(most)).select(F.col("id").alias("module"), (F.floor(risk * factor * 10000 + 0.5) / 10000).alias("risk"))
 
 
 def risk_summary(risks: DataFrame, critical: float = CRITICAL) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import collisions as col
 from ..operators import consumption as con
 from ..operators import degrees as deg
 from ..operators import graphs, layers, prefixes, ranking, references, search, similarity
@@ -40,47 +41,50 @@ def first_seen(s, d):
 # Reports
 
 
-@query(f"""WITH {_HOT}, {_RISK_ROWS}, t AS (SELECT * FROM hotspots WHERE type <> 'NORMAL' ORDER BY score DESC, module LIMIT 10)
-SELECT CASE type WHEN 'HUB' THEN 'EXTRACT_INTERFACE' WHEN 'CONFIG_HUB' THEN 'KEEP_AS_SHARED_CONFIG' ELSE 'SPLIT_MODULE' END AS type, t.module AS targets, CASE WHEN type = 'CONFIG_HUB' THEN 'INFO' WHEN score + risk >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS priority,
-  CASE type WHEN 'HOTSPOT' THEN 'high coupling detected' WHEN 'HUB' THEN 'high dependency centrality' WHEN 'OUTBOUND_HOTSPOT' THEN 'too many outgoing dependencies' END AS reason
-FROM t JOIN risk ON risk.module = t.module WHERE type <> 'ISOLATED'""")
-def refactor_plan(s, d):
+def _found(s, d):
+    """All edges, cycles, hotspots, components of shared usage, collisions of definitions, and the number of nodes."""
     e = fx.edges(s, d)
-    none = s.createDataFrame([], "modules array<string>")
-    return hot.refactor_plan(hot.hotspots(e), hot.module_risk(e), none, 100).withColumn("targets", F.array_join("targets", ","))
+    groups = similarity.shared_usage_components(fx.usage(s, d), most=2**31 - 1)
+    return e, graphs.cycles(deg.hard(e)), hot.hotspots(e), groups, col.collisions(fx.definitions(s, d)), deg.nodes_of(e).count()
 
 
-@query(f"""WITH {_HOT}, c2 AS (SELECT a.src, a.dst FROM hard a JOIN hard b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst), x AS (SELECT 3 * (SELECT count(*) FROM c2) AS cycle_penalty, (SELECT count(*) FROM edges WHERE edge_type = 'soft') AS soft_edges_count,
-  (SELECT count(*) FROM edges) AS edges_total, 0::BIGINT AS cluster_penalty, (SELECT count(*) FROM hotspots WHERE type <> 'NORMAL' AND score >= 0.85) AS hotspot_penalty, 2::BIGINT AS collision_count),
-y AS (SELECT *, cycle_penalty * 2.0 + soft_edges_count * 0.5 + cluster_penalty + hotspot_penalty + collision_count * 1.5 AS sc FROM x)
-SELECT cycle_penalty, soft_edges_count, edges_total, cluster_penalty, hotspot_penalty, collision_count, round(sc, 4)::DOUBLE AS score, round(sc / greatest(edges_total, 1), 4)::DOUBLE AS normalized,
-  CASE WHEN round(sc / edges_total, 4) < 0.05 THEN 'low' WHEN round(sc / edges_total, 4) < 0.15 THEN 'moderate' WHEN round(sc / edges_total, 4) < 0.3 THEN 'high' ELSE 'critical' END AS label FROM y""")
+@query()
 def debt(s, d):
-    e = fx.edges(s, d)
-    rings = graphs.bounded_cycles(deg.hard(e), 2)
-    clashes = s.createDataFrame([(False,), (False,), (True,)], "is_identical boolean")
-    return hot.debt(rings, e, hot.hotspots(e), s.createDataFrame([], "modules array<string>"), clashes, 100)
+    e, rings, spots, groups, clashes, n = _found(s, d)
+    return hot.debt(rings, e, spots, groups, clashes, n)
+
+
+_GROUPS = """ap AS (SELECT DISTINCT definer, symbol, consumer FROM usage WHERE consumer <> definer), aq AS (SELECT definer, symbol, min(consumer) AS head FROM ap GROUP BY ALL HAVING count(*) >= 2),
+ab2 AS (SELECT consumer AS x, head AS y FROM ap JOIN aq USING (definer, symbol) UNION SELECT head, consumer FROM ap JOIN aq USING (definer, symbol)), ar(id, c) AS (SELECT x, x FROM ab2 UNION SELECT y, c FROM ar JOIN ab2 ON x = id),
+aw AS (SELECT id, min(c) AS component FROM ar GROUP BY id), groups AS (SELECT component, list_sort(list(id)) AS modules FROM aw GROUP BY component HAVING count(*) >= 2)"""
 
 
-@query(f"""WITH {_HOT}, c AS (SELECT a.src AS id FROM hard a JOIN hard b ON a.dst = b.src AND b.dst = a.src),
-m AS (SELECT id, 'has_dependents' AS s FROM deg WHERE in_degree > 0 UNION SELECT id, 'has_dependencies' FROM deg WHERE out_degree > 0 UNION SELECT id, 'cycle_member' FROM c UNION SELECT src, 'contains_soft_dependencies' FROM edges WHERE edge_type = 'soft'
-  UNION SELECT dst, 'has_soft_dependents' FROM edges WHERE edge_type = 'soft' UNION SELECT module, 'hotspot' FROM hotspots WHERE type IN ('HOTSPOT', 'OUTBOUND_HOTSPOT', 'HUB', 'CONFIG_HUB'))
-SELECT nodes.id AS module, coalesce(string_agg(s, ',' ORDER BY s), '') AS signals FROM nodes LEFT JOIN m ON m.id = nodes.id GROUP BY nodes.id""")
+@query(f"""WITH RECURSIVE {_HOT}, {_RISK_ROWS}, {fx.USAGE}, {_GROUPS}, nn AS (SELECT count(*) AS n FROM nodes), t AS (SELECT * FROM hotspots WHERE type <> 'NORMAL' ORDER BY score DESC, module LIMIT 10)
+SELECT CASE type WHEN 'HUB' THEN 'EXTRACT_INTERFACE' ELSE 'SPLIT_MODULE' END AS type, t.module AS targets, CASE WHEN score + risk >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS priority,
+  CASE type WHEN 'HOTSPOT' THEN 'high coupling detected' WHEN 'HUB' THEN 'high dependency centrality' WHEN 'OUTBOUND_HOTSPOT' THEN 'too many outgoing dependencies' END AS reason
+FROM t JOIN risk ON risk.module = t.module WHERE type <> 'ISOLATED'
+UNION ALL SELECT 'SPLIT_PACKAGE', array_to_string(modules, ','), 'MEDIUM', 'large isolated dependency cluster detected' FROM groups, nn WHERE len(modules) >= CASE WHEN n <= 30 THEN 10 WHEN n <= 80 THEN 18 WHEN n <= 200 THEN 30 ELSE 50 END AND len(modules) < n * 0.6""")
+def refactor_plan(s, d):
+    e, _, spots, groups, _, n = _found(s, d)
+    return hot.refactor_plan(spots, hot.module_risk(e), groups, n).withColumn("targets", F.array_join("targets", ","))
+
+
+@query()
 def architecture_signals(s, d):
-    e = fx.edges(s, d)
-    return hot.architecture_signals(e, graphs.bounded_cycles(deg.hard(e), 2), hot.hotspots(e)).withColumn("signals", F.array_join("signals", ","))
+    e, rings, spots, _, _, _ = _found(s, d)
+    return hot.architecture_signals(e, rings, spots).withColumn("signals", F.array_join("signals", ","))
 
 
 @query(f"""WITH RECURSIVE {fx.EDGES}, {fx.USAGE}, {fx.MEMBERS}, u AS (SELECT DISTINCT consumer AS id FROM usage WHERE definer = 'm1' AND symbol = (SELECT min(symbol) FROM usage WHERE definer = 'm1')),
 p AS (SELECT u.id, m.layer, m.is_test, (SELECT layer FROM members WHERE module_id = 'm1') AS own FROM u LEFT JOIN members m ON m.module_id = u.id),
 w AS (SELECT CASE WHEN id = 'm1' THEN 'same_module' WHEN layer IS NULL THEN 'unknown' WHEN is_test THEN 'test' WHEN layer = own THEN 'same_layer' ELSE 'cross_layer' END AS w FROM p),
-sd AS (SELECT id FROM u UNION SELECT 'm1'), r(seed, id, depth) AS (SELECT id, id, 0 FROM sd UNION SELECT seed, src, depth + 1 FROM r JOIN hard ON dst = id WHERE depth < 1), z AS (SELECT DISTINCT id FROM r WHERE id <> seed)
+sd AS (SELECT id FROM u UNION SELECT 'm1'), r(seed, id, depth) AS (SELECT id, id, 0 FROM sd UNION SELECT seed, src, depth + 1 FROM r JOIN hard ON dst = id WHERE depth < 6), z AS (SELECT DISTINCT id FROM r WHERE id <> seed)
 SELECT (SELECT count(*) FROM w WHERE w = 'same_module') AS same_module, (SELECT count(*) FROM w WHERE w = 'same_layer') AS same_layer, (SELECT count(*) FROM w WHERE w = 'cross_layer') AS cross_layer, (SELECT count(*) FROM w WHERE w = 'test') AS test, (SELECT count(*) FROM w WHERE w = 'unknown') AS unknown,
   (SELECT count(*) FROM z JOIN members ON module_id = id WHERE NOT is_test) AS downstream_production, (SELECT count(*) FROM z JOIN members ON module_id = id WHERE is_test) AS downstream_test, (SELECT count(*) FROM z WHERE id NOT IN (SELECT module_id FROM members)) AS downstream_unknown""")
 def blast_radius(s, d):
     u = fx.usage(s, d).cache()
     first = u.filter("definer = 'm1'").agg(F.min("symbol")).first()[0]
-    return con.blast_radius(u, deg.hard(fx.edges(s, d)), fx.members(s, d), "m1", first, 1)
+    return con.blast_radius(u, deg.hard(fx.edges(s, d)), fx.members(s, d), "m1", first)
 
 
 # Names
@@ -92,9 +96,10 @@ def public_api(s, d):
     return con.public_api(fx.symbols(s, d).withColumnRenamed("module_id", "definer")).select("definer", *[F.array_join(n, ",").alias(n) for n in ("classes", "functions", "methods", "globals")])
 
 
-@query(f"""WITH {fx.SYMBOLS}, {fx.USAGE} SELECT DISTINCT module_id, symbol FROM symbols WHERE (module_id, symbol) NOT IN (SELECT definer, symbol FROM usage) AND kind <> 'global' AND (module_id, symbol) NOT IN (SELECT definer, symbol FROM usage WHERE channel = 'event_bindings')""")
+@query(f"""WITH {fx.SYMBOLS}, {fx.USAGE} SELECT DISTINCT module_id, symbol FROM symbols WHERE (module_id, symbol) NOT IN (SELECT definer, symbol FROM usage WHERE channel <> 'api_imports') AND kind <> 'global' AND (module_id, symbol) NOT IN (SELECT definer, symbol FROM usage WHERE channel = 'event_bindings')""")
 def unused_public(s, d):
-    u = fx.usage(s, d).select(F.col("definer").alias("module_id"), "symbol", "channel")
+    """An import alone is no use."""
+    u = fx.usage(s, d).filter("channel <> 'api_imports'").select(F.col("definer").alias("module_id"), "symbol", "channel")
     sym = fx.symbols(s, d)
     return con.unused_public(sym, u, sym.filter("kind = 'global'"), u.filter("channel = 'event_bindings'"))
 
@@ -112,35 +117,35 @@ def name_matches(s, d):
     return references.match_names(uses, fx.symbols(s, d), uses.select("module_id", F.lit("np").alias("alias")))
 
 
-@query(f"""WITH {fx.PAGES}, im AS (SELECT a.module_id, b.module_id AS module FROM page_modules a JOIN page_modules b ON b.page_id = a.page_id + 1), t AS (SELECT DISTINCT module_id AS target, string_split(module_id, '.')[-1] AS leaf FROM page_modules WHERE page_id < 40)
+@query(f"""WITH {fx.PAGES}, im AS (SELECT a.module_id, b.module_id AS module FROM page_modules a JOIN page_modules b ON b.page_id = a.page_id + 1), t AS (SELECT DISTINCT module_id AS target, string_split(module_id, '.')[-1] AS leaf FROM page_modules)
 SELECT DISTINCT target, module_id FROM im JOIN t ON module = target OR (contains(module, '.') AND string_split(module, '.')[-1] = leaf) WHERE target <> module_id""")
 def import_users(s, d):
     m = fx.page_modules(s, d)
     imports = m.join(m.select((F.col("page_id") - 1).alias("page_id"), F.col("module_id").alias("module")), "page_id")
-    return references.import_users(imports, fx.sample(m, "page_id < 40").select(F.col("module_id").alias("target")))
+    return references.import_users(imports, m.select(F.col("module_id").alias("target")))
 
 
-@query(f"""WITH {fx.SYMBOLS}, a AS (SELECT 'm' || CAST(i % 30 + 1 AS VARCHAR) || CASE WHEN i % 2 = 0 THEN '::' ELSE '.' END || 'p' || CAST(i AS VARCHAR) AS name FROM range(1, 300) t(i)), k AS (SELECT DISTINCT module_id, symbol FROM symbols)
+@query(f"""WITH {fx.SYMBOLS}, a AS (SELECT 'm' || CAST(i % 30 + 1 AS VARCHAR) || CASE WHEN i % 2 = 0 THEN '::' ELSE '.' END || 'p' || CAST(i AS VARCHAR) AS name FROM (SELECT p_partkey AS i FROM part)), k AS (SELECT DISTINCT module_id, symbol FROM symbols)
 SELECT a.name, k.module_id AS definer, k.symbol, CASE WHEN k.symbol IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM a LEFT JOIN k ON a.name IN (k.module_id || '::' || k.symbol, k.module_id || '.' || k.symbol)""")
 def target_resolution(s, d):
     i = F.col("id")
-    asked = fx.numbers(s, d, 300).select(F.concat(F.lit("m"), (i % 30 + 1).cast("string"), F.when(i % 2 == 0, "::").otherwise("."), F.lit("p"), i.cast("string")).alias("name"))
+    asked = fx.read(s, d, "part").select(F.col("p_partkey").alias("id")).select(F.concat(F.lit("m"), (i % 30 + 1).cast("string"), F.when(i % 2 == 0, "::").otherwise("."), F.lit("p"), i.cast("string")).alias("name"))
     return references.resolve_target(asked, fx.symbols(s, d))
 
 
-@query(f"""WITH {fx.MODULES}, a AS (SELECT CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] ELSE 'elsewhere/' || string_split(path, '/')[-1] END AS asked, module_id FROM modules WHERE doc_id < 60)
+@query(f"""WITH {fx.MODULES}, a AS (SELECT CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] ELSE 'elsewhere/' || string_split(path, '/')[-1] END AS asked, module_id FROM modules)
 SELECT DISTINCT asked, module_id FROM a""")
 def file_locations(s, d):
     m = fx.modules(s, d)
     p = F.split("path", "/")
     asked = F.when(F.col("doc_id") % 3 == 0, F.col("path")).when(F.col("doc_id") % 3 == 1, F.array_join(F.slice(p, -2, 2), "/")).otherwise(F.concat(F.lit("elsewhere/"), F.element_at(p, -1)))
-    return references.locate(fx.sample(m, "doc_id < 60").select(asked.alias("asked")), m)
+    return references.locate(m.select(asked.alias("asked")), m)
 
 
-@query(f"""WITH u AS (SELECT DISTINCT 'm' || CAST(l_suppkey AS VARCHAR) AS module_id, 'a' || CAST(l_partkey % 40 AS VARCHAR) || '.f' AS value FROM lineitem WHERE l_orderkey % 50 = 0), al AS (SELECT DISTINCT 'm' || CAST(s_suppkey AS VARCHAR) AS module_id, 'a' || CAST(s_suppkey % 40 AS VARCHAR) AS alias, 'pkg.mod' AS target FROM supplier)
+@query(f"""WITH u AS (SELECT DISTINCT 'm' || CAST(l_suppkey AS VARCHAR) AS module_id, 'a' || CAST(l_partkey % 40 AS VARCHAR) || '.f' AS value FROM lineitem), al AS (SELECT DISTINCT 'm' || CAST(s_suppkey AS VARCHAR) AS module_id, 'a' || CAST(s_suppkey % 40 AS VARCHAR) AS alias, 'pkg.mod' AS target FROM supplier)
 SELECT DISTINCT u.module_id FROM u JOIN al ON al.module_id = u.module_id AND u.value = al.alias || '.f' UNION SELECT module_id FROM al""")
 def changed_dependents(s, d):
-    u = fx.sample(fx.read(s, d, "lineitem"), "l_orderkey % 50 = 0").select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("module_id"), F.lit("direct_calls").alias("channel"), F.concat(F.lit("a"), (F.col("l_partkey") % 40).cast("string"), F.lit(".f")).alias("value"))
+    u = fx.read(s, d, "lineitem").select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("module_id"), F.lit("direct_calls").alias("channel"), F.concat(F.lit("a"), (F.col("l_partkey") % 40).cast("string"), F.lit(".f")).alias("value"))
     a = fx.read(s, d, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("module_id"), F.concat(F.lit("a"), (F.col("s_suppkey") % 40).cast("string")).alias("alias"), F.lit("pkg.mod").alias("target"))
     return planner.dependents(u, a, s.createDataFrame([("pkg.mod",)], "module_id string"))
 
@@ -200,11 +205,11 @@ def block_selection(s, d):
     return search.block_selection(blocks, "m5").select("artifact_id", "definer", F.array_join("roles", ",").alias("roles"))
 
 
-@query("""WITH o AS (SELECT p_partkey AS slot, p_name || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'orphan' ELSE 'active' END AS status FROM part WHERE p_partkey <= 200), t AS (SELECT sum(strlen(name)) AS b FROM o),
+@query("""WITH o AS (SELECT p_partkey AS slot, p_name || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'orphan' ELSE 'active' END AS status FROM part), t AS (SELECT sum(strlen(name)) AS b FROM o),
 l AS (SELECT *, coalesce(sum(strlen(name)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE status = 'orphan' AND slot % 10 <> 0)
 SELECT CAST(slot AS INT) AS slot, name, status FROM o WHERE slot NOT IN (SELECT slot FROM l, t WHERE b - before > 1500)""")
 def registry_garbage(s, d):
-    p = fx.sample(fx.read(s, d, "part"), "p_partkey <= 200")
+    p = fx.read(s, d, "part")
     k = F.col("p_partkey")
     table = p.select(F.lit("module").alias("kind"), k.cast("int").alias("slot"), F.lit(1).alias("generation"), F.concat("p_name", k.cast("string")).alias("name"), F.when(k % 2 == 0, "orphan").otherwise("active").alias("status"), F.timestamp_seconds(k).alias("removed_at"))
     refs = p.filter("p_partkey % 10 = 0").select(F.concat(k.cast("string"), F.lit("/1")).alias("obj_id"))

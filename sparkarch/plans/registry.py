@@ -217,11 +217,11 @@ def layer_rules(s, d):
 # Graph
 
 
-@query(f"""WITH RECURSIVE {fx.EDGES}, r(id, depth) AS (SELECT 'm1', 0 UNION SELECT src, depth + 1 FROM r JOIN hard ON dst = id WHERE depth < 2)
+@query(f"""WITH RECURSIVE {fx.EDGES}, r(id, depth) AS (SELECT 'm1', 0 UNION SELECT src, depth + 1 FROM r JOIN hard ON dst = id WHERE depth < 6)
 SELECT 'm1' AS seed, id, min(depth) AS depth FROM r WHERE id <> 'm1' GROUP BY id""")
 def transitive_dependents(s, d):
     seeds = s.createDataFrame([("m1",)], "id string")
-    return graphs.transitive_dependents(deg.hard(fx.edges(s, d)), seeds, 2)
+    return graphs.transitive_dependents(deg.hard(fx.edges(s, d)), seeds)
 
 
 @query(f"WITH RECURSIVE {fx.EDGES}, r(id) AS (SELECT 'm1' UNION SELECT src FROM r JOIN edges ON dst = id) SELECT id FROM r")
@@ -231,12 +231,10 @@ def affected_set(s, d):
 
 
 @query(f"""WITH RECURSIVE {fx.EDGES},
-sp AS (SELECT src, dst FROM edges WHERE CAST(substr(src, 2) AS BIGINT) % 10 = 0 AND CAST(substr(dst, 2) AS BIGINT) % 3 = 0),
-b AS (SELECT src AS x, dst AS y FROM sp UNION SELECT dst, src FROM sp), r(id, c) AS (SELECT x, x FROM b UNION SELECT y, c FROM r JOIN b ON x = id)
+b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), r(id, c) AS (SELECT x, x FROM b UNION SELECT y, c FROM r JOIN b ON x = id)
 SELECT id, min(c) AS component FROM r GROUP BY id""")
 def components(s, d):
-    part = fx.sample(fx.edges(s, d), "cast(substring(src, 2) as bigint) % 10 = 0 and cast(substring(dst, 2) as bigint) % 3 = 0")
-    return graphs.components(part)
+    return graphs.components(fx.edges(s, d))
 
 
 def _unrolled_pagerank(n: int) -> str:
@@ -247,9 +245,9 @@ def _unrolled_pagerank(n: int) -> str:
     return ",\n".join(out) + f" SELECT id, round(rank / max(rank) OVER (), 6) AS pagerank FROM r{n}"
 
 
-@query(_unrolled_pagerank(10))
+@query(_unrolled_pagerank(50))
 def pagerank(s, d):
-    return graphs.pagerank(deg.hard(fx.edges(s, d)), iterations=10)
+    return graphs.pagerank(deg.hard(fx.edges(s, d)))
 
 
 def _unrolled_hits(n: int) -> str:
@@ -260,12 +258,13 @@ h{i + 1} AS MATERIALIZED (SELECT nd.id, coalesce(h, 0) / max(h) OVER () AS hub,
     return ",\n".join(out) + f" SELECT id, round(hub, 6) AS hub_score, round(auth, 6) AS authority_score FROM h{n}"
 
 
-@query(_unrolled_hits(6))
+@query(_unrolled_hits(20))
 def hits(s, d):
-    return graphs.hits(deg.hard(fx.edges(s, d)), iterations=6)
+    return graphs.hits(deg.hard(fx.edges(s, d)))
 
 
 def _unrolled_betweenness(levels: int, sources: int) -> str:
+    """Exact where no shortest path is longer than ``levels``: on the generic tables, not on every graph."""
     out = [f"WITH {fx.EDGES}, nd AS (SELECT src AS id FROM hard UNION SELECT dst FROM hard), l0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS p FROM (SELECT id FROM nd ORDER BY id LIMIT {sources}))"]
     for i in range(1, levels + 1):
         seen = " UNION ALL ".join(f"SELECT s, id FROM l{j}" for j in range(i))
@@ -278,12 +277,12 @@ def _unrolled_betweenness(levels: int, sources: int) -> str:
     return ",\n".join(out) + ",\nbt AS (SELECT id, CASE WHEN max(c) OVER () > 0 THEN round(c / max(c) OVER (), 6) ELSE 0.0 END AS betweenness FROM t)"
 
 
-_BETWEEN = _unrolled_betweenness(12, 20)
+_BETWEEN = _unrolled_betweenness(12, 80)
 
 
 @query(_BETWEEN + " SELECT * FROM bt")
 def betweenness(s, d):
-    return graphs.betweenness(deg.hard(fx.edges(s, d)), 20)
+    return graphs.betweenness(deg.hard(fx.edges(s, d)))
 
 
 @query(
@@ -293,7 +292,7 @@ SELECT id, round(betweenness * (1 - CASE WHEN k >= 2 THEN coalesce(t, 0) / (k *
 )
 def bridge(s, d):
     e = deg.hard(fx.edges(s, d))
-    return graphs.bridge(e, graphs.betweenness(e, 20))
+    return graphs.bridge(e, graphs.betweenness(e))
 
 
 @query(f"""WITH {fx.EDGES}, c2 AS (SELECT a.src AS x, a.dst AS y FROM hard a JOIN hard b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst),
@@ -308,11 +307,17 @@ def cycles(s, d):
     return graphs.cycle_violations(graphs.cycles(deg.hard(fx.edges(s, d))))
 
 
-@query(f"""WITH {fx.EDGES}, p2 AS (SELECT dst AS target, src AS id, [src, dst] AS path FROM hard WHERE dst = 'm1' AND src <> dst),
-p3 AS (SELECT target, h.src AS id, min(list_concat([h.src], path)) AS path FROM p2 JOIN hard h ON h.dst = p2.id WHERE h.src NOT IN (SELECT id FROM p2) AND h.src <> 'm1' GROUP BY ALL)
-SELECT target, id, array_to_string(path, '>') AS path FROM p2 UNION ALL SELECT target, id, array_to_string(path, '>') FROM p3""")
+def _unrolled_chains(target: str, nodes: int) -> str:
+    out = [f"WITH {fx.EDGES}, p1 AS (SELECT '{target}' AS target, '{target}' AS id, ['{target}'] AS path)"]
+    for i in range(2, nodes + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM p{j}" for j in range(1, i))
+        out.append(f"p{i} AS MATERIALIZED (SELECT target, src AS id, min(list_concat([src], path)) AS path FROM p{i - 1} JOIN hard ON dst = id WHERE src NOT IN ({seen}) GROUP BY target, src)")
+    return ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT target, id, array_to_string(path, '>') AS path FROM p{i}" for i in range(2, nodes + 1))
+
+
+@query(_unrolled_chains("m1", 5))
 def entry_chains(s, d):
-    return graphs.chains(deg.hard(fx.edges(s, d)), s.createDataFrame([("m1",)], "id string"), max_nodes=3).withColumn("path", F.array_join("path", ">"))
+    return graphs.chains(deg.hard(fx.edges(s, d)), s.createDataFrame([("m1",)], "id string")).withColumn("path", F.array_join("path", ">"))
 
 
 # Similarity
@@ -396,12 +401,12 @@ def ecosystem(s, d):
 
 
 def _facts(s, d, new: bool):
-    o = fx.sample(fx.read(s, d, "orders").filter("o_orderkey % 10 <> 0" if new else "o_orderkey % 10 <> 1"), "o_orderkey % 3 = 0")
+    o = fx.read(s, d, "orders").filter("o_orderkey % 10 <> 0" if new else "o_orderkey % 10 <> 1")
     return o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("module_id"), F.col("o_orderpriority").alias("channel"), F.col("o_orderstatus").alias("value"), F.when(F.col("o_orderkey") % 4 == 0, F.lit("x")).alias("extra"))
 
 
-_FACTS = """fo AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS module_id, o_orderpriority AS channel, o_orderstatus AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'x' END AS extra FROM orders WHERE o_orderkey % 10 <> 1 AND o_orderkey % 3 = 0),
-fn AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS module_id, o_orderpriority AS channel, o_orderstatus AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'x' END AS extra FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 3 = 0)"""
+_FACTS = """fo AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS module_id, o_orderpriority AS channel, o_orderstatus AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'x' END AS extra FROM orders WHERE o_orderkey % 10 <> 1),
+fn AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS module_id, o_orderpriority AS channel, o_orderstatus AS value, CASE WHEN o_orderkey % 4 = 0 THEN 'x' END AS extra FROM orders WHERE o_orderkey % 10 <> 0)"""
 
 
 @query(f"WITH {_FACTS} SELECT *, 'added' AS op FROM (SELECT * FROM fn EXCEPT SELECT * FROM fo) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM fo EXCEPT SELECT * FROM fn)")
@@ -463,9 +468,6 @@ def regression(s, d):
 
 # Query language
 
-_NO_IMPORTS = "pos int, module_id string, module string, level int, names array<string>, is_from_import boolean, is_local boolean, type_only boolean"
-
-
 def _page_imports(s, d):
     """Links of pages as imports of the page's module, by the order of the links."""
     pages = fx.read(s, d, "pages").select("page_id", "html").join(fx.page_modules(s, d), "page_id")
@@ -474,11 +476,28 @@ def _page_imports(s, d):
     return each.select("page_id", F.col("module_id").alias("own"), "pos", F.col("link").alias("link"), name.alias("name"))
 
 
-@query(f"""WITH {fx.MODULES} SELECT module_id AS module_name, module_id, path, 0 AS import_count FROM modules WHERE starts_with(module_id, 'src1') AND contains(module_id, '.en.') AND module_id <> 'src1.en.1' ORDER BY module_id LIMIT 50""")
+_IMPORT_COUNTS = f"""{fx.PAGES}, im AS (SELECT module_id, len(regexp_extract_all(html, 'href="/([^"]*)"')) AS k FROM pages JOIN page_modules USING (page_id)),
+mr AS (SELECT module_id AS module_name, module_id, replace(module_id, '.', '/') || '.py' AS path, CAST(coalesce(sum(k), 0) AS INT) AS import_count FROM im GROUP BY module_id)"""
+
+
+def _page_records(s, d):
+    """Pages as modules, with their links as imports."""
+    modules = fx.page_modules(s, d).groupBy("module_id").agg(F.concat(F.translate("module_id", ".", "/"), F.lit(".py")).alias("path"))
+    link = _page_imports(s, d)
+    imports = link.select((F.col("page_id") * 2**32 + F.col("pos")).alias("pos"), F.col("own").alias("module_id"), F.col("name").alias("module"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("names"), F.lit(False).alias("is_from_import"), F.lit(True).alias("is_local"), F.lit(False).alias("type_only"))
+    return dsl.module_records(modules, imports)
+
+
+@query(f"WITH {_IMPORT_COUNTS} SELECT * FROM mr WHERE starts_with(module_id, 'com') AND contains(path, '/en/') AND module_name <> 'com.example.en' AND import_count <= 30 ORDER BY module_id LIMIT 50")
 def dsl_modules(s, d):
-    records = dsl.module_records(fx.modules(s, d), s.createDataFrame([], _NO_IMPORTS))
+    """A bounded request: its limit is part of the language."""
     request = {"schema_version": "1.0", "language_version": "1.0", "root": "modules", "select": ["module_name", "module_id", "path", "import_count"], "limit": 50}
-    return dsl.run(records, request | {"filters": [{"field": "module_id", "operator": "starts_with", "value": "src1"}, {"field": "path", "operator": "contains", "value": "/en/"}, {"field": "module_name", "operator": "neq", "value": "src1.en.1"}, {"field": "import_count", "operator": "lte", "value": 3}]})
+    return dsl.run(_page_records(s, d), request | {"filters": [{"field": "module_id", "operator": "starts_with", "value": "com"}, {"field": "path", "operator": "contains", "value": "/en/"}, {"field": "module_name", "operator": "neq", "value": "com.example.en"}, {"field": "import_count", "operator": "lte", "value": 30}]})
+
+
+@query(f"WITH {_IMPORT_COUNTS} SELECT * FROM mr")
+def module_records(s, d):
+    return _page_records(s, d).drop("imports")
 
 
 @query(f"""WITH {fx.USAGE}, {fx.SYMBOLS}, p AS (SELECT module_id AS definer, symbol, list(DISTINCT kind) AS k, max(nullif(signature, '')) AS signature FROM symbols GROUP BY ALL),
@@ -571,19 +590,17 @@ def index_resolution(s, d):
 
 
 @query(f"""WITH c AS (SELECT 'A' || CAST(p_partkey AS VARCHAR) || '/1' AS obj_id, lower(replace(p_brand, '#', '')) || '::' || replace(p_name, ' ', '_') AS name, CASE WHEN p_partkey % 9 = 0 THEN 'orphan' ELSE 'active' END AS status FROM part),
-a AS (SELECT 'A' || CAST(i AS VARCHAR) || '/1' AS obj_id FROM range(1, 41) t(i) UNION ALL SELECT 'A999999999/1')
+a AS (SELECT 'A' || CAST(p_partkey AS VARCHAR) || '/1' AS obj_id FROM part UNION ALL SELECT 'A999999999/1')
 SELECT a.obj_id, name, CASE WHEN status = 'active' THEN 'active' WHEN status IS NOT NULL THEN 'recovery' ELSE 'missing' END AS status FROM a LEFT JOIN c USING (obj_id)""")
 def id_lookup(s, d):
-    asked = fx.numbers(s, d, 41).select(F.concat(F.lit("A"), F.col("id").cast("string"), F.lit("/1")).alias("obj_id")).unionByName(s.createDataFrame([("A999999999/1",)], "obj_id string"))
+    asked = fx.read(s, d, "part").select(F.concat(F.lit("A"), F.col("p_partkey").cast("string"), F.lit("/1")).alias("obj_id")).unionByName(s.createDataFrame([("A999999999/1",)], "obj_id string"))
     return search.lookup_ids(asked, _catalogue(s, d).filter("kind = 'artifact'"))
 
 
-@query("""WITH h AS (SELECT event_id AS spot, user_id % 5 AS key FROM events WHERE event_id % 50 = 0), sp AS (SELECT o_orderkey % 5 AS key, o_orderkey AS lo, o_orderkey + o_custkey % 300 AS hi FROM orders WHERE o_orderkey % 20 = 0),
-m AS (SELECT h.key, h.spot, min((hi - lo) * 1000000000 + lo) AS b FROM h JOIN sp ON h.key = sp.key AND lo <= spot AND spot <= hi GROUP BY ALL)
-SELECT h.key, h.spot, b % 1000000000 AS lo, b % 1000000000 + b // 1000000000 AS hi FROM h LEFT JOIN m ON m.key = h.key AND m.spot = h.spot""")
+@query()
 def enclosing_span(s, d):
-    hits = fx.sample(fx.read(s, d, "events"), "event_id % 50 = 0").select((F.col("user_id") % 5).alias("key"), F.col("event_id").alias("at"))
-    spans = fx.sample(fx.read(s, d, "orders"), "o_orderkey % 20 = 0").select((F.col("o_orderkey") % 5).alias("key"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + F.col("o_custkey") % 300).alias("last"))
+    hits = fx.read(s, d, "events").select((F.col("user_id") % 5).alias("key"), F.col("event_id").alias("at"))
+    spans = fx.read(s, d, "orders").select((F.col("o_orderkey") % 5).alias("key"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + F.col("o_custkey") % 300).alias("last"))
     return search.smallest_enclosing(hits, spans).select("key", F.col("at").alias("spot"), F.col("first").alias("lo"), F.col("last").alias("hi"))
 
 
@@ -615,12 +632,12 @@ def parse_state(s, d):
     return jr.parse_state(j)
 
 
-@query("""WITH x AS (SELECT p_partkey AS k, p_brand AS name FROM part WHERE p_partkey <= 60), cur AS (SELECT DISTINCT 'n' || CAST(k AS VARCHAR) AS name FROM x WHERE k % 3 <> 0)
+@query("""WITH x AS (SELECT p_partkey AS k, p_brand AS name FROM part), cur AS (SELECT DISTINCT 'n' || CAST(k AS VARCHAR) AS name FROM x WHERE k % 3 <> 0)
 SELECT 'n' || CAST(i AS VARCHAR) AS name, CASE WHEN i % 3 = 0 THEN 'orphan' ELSE 'active' END AS status, i AS slot, 1 AS generation FROM range(1, 31) t(i)
 UNION ALL SELECT name, 'active', 30 + row_number() OVER (ORDER BY name), 1 FROM cur WHERE CAST(substr(name, 2) AS INT) > 30""")
 def registry_sync(s, d):
     known = s.range(1, 31).select(F.lit("module").alias("kind"), F.col("id").cast("int").alias("slot"), F.lit(1).alias("generation"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("removed_at"))
-    current = fx.sample(fx.read(s, d, "part"), "p_partkey <= 60").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
+    current = fx.read(s, d, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
     return ids.sync(known, current, "module").select("name", "status", F.col("slot").cast("long"), "generation")
 
 
@@ -632,4 +649,4 @@ def journal_windows(s, d):
     j = fx.journal(s, d)
     return j.groupBy(F.window("ts", "1 hour").start.alias("window_start"), "operation").agg(F.count("*").alias("events"))
 
-from . import more_queries, whole_queries  # noqa: E402, F401  register their queries
+from . import more_queries  # noqa: E402, F401  register their queries

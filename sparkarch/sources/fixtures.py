@@ -5,10 +5,6 @@ Each view comes as a DataFrame and as the SQL of a common table expression of th
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,39 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def sample(df: DataFrame, condition: str) -> DataFrame:
-    """The rows that the SQL of the query takes; all rows in a query made by :func:`whole`."""
-    return df if _WHOLE.get() else df.filter(condition)
-
-
-def numbers(spark: SparkSession, sf_dir: str, end: int) -> DataFrame:
-    """``id`` from 1 to below ``end``; the keys of all parts in a query made by :func:`whole`."""
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")) if _WHOLE.get() else spark.range(1, end)
-
-
-def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query on whole tables."""
-
-    @wraps(f)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _WHOLE.reset(token)
-
-    return run
-
-
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of neighbouring lines of an order; ids are texts, an edge in five is soft."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
-    pairs = sample(read(spark, sf_dir, "lineitem"), "l_orderkey % 97 = 0").select("l_suppkey", F.lead("l_suppkey").over(w).alias("n"))
+    pairs = read(spark, sf_dir, "lineitem").select("l_suppkey", F.lead("l_suppkey").over(w).alias("n"))
     pairs = pairs.filter("n is not null and n <> l_suppkey").distinct()
     kind = F.when((F.col("l_suppkey") + F.col("n")) % 5 == 0, "soft").otherwise("hard")
     return pairs.select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("m"), F.col("n").cast("string")).alias("dst"), kind.alias("edge_type"))
@@ -59,7 +28,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDGES = """edges AS (
   SELECT DISTINCT 'm' || CAST(s AS VARCHAR) AS src, 'm' || CAST(n AS VARCHAR) AS dst, CASE WHEN (s + n) % 5 = 0 THEN 'soft' ELSE 'hard' END AS edge_type
-  FROM (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS n FROM lineitem WHERE l_orderkey % 97 = 0)
+  FROM (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS n FROM lineitem)
   WHERE n IS NOT NULL AND n <> s),
 hard AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'hard'),
 nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges),
@@ -69,7 +38,7 @@ deg AS (
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier (definer), part (symbol) and one of 97 customers' groups (consumer), in the same name space as the graph's nodes."""
-    lines = sample(read(spark, sf_dir, "lineitem"), "l_orderkey % 7 = 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     channel = F.element_at(F.array(*[F.lit(c) for c in ("direct_calls", "runtime_calls", "qualified_refs", "callback_calls", "event_bindings", "api_imports", "inheritance")]), (F.col("l_partkey") % 7 + 1).cast("int"))
@@ -80,7 +49,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 USAGE = f"""usage AS (
   SELECT DISTINCT 'm' || CAST(l_suppkey AS VARCHAR) AS definer, 'p' || CAST(l_partkey AS VARCHAR) AS symbol, 'm' || CAST(o_custkey % 97 + 1 AS VARCHAR) AS consumer,
     ({CHANNEL_SQL})[CAST(l_partkey % 7 + 1 AS INT)] AS channel
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 7 = 0)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +68,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that suppliers deliver, as symbols; their size says of what kind."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("class", "function", "method", "global")]), (F.col("p_size") % 4 + 1).cast("int"))
     parts = read(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")).alias("signature"), "p_name")
-    held = sample(read(spark, sf_dir, "lineitem"), "l_orderkey % 5 = 0").select("l_suppkey", "l_partkey").distinct()
+    held = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     both = held.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return both.select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("module_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol"), "kind", "signature")
 
@@ -107,7 +76,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 SYMBOLS = """symbols AS (
   SELECT DISTINCT 'm' || CAST(l_suppkey AS VARCHAR) AS module_id, 'p' || CAST(p_partkey AS VARCHAR) AS symbol,
     (['class', 'function', 'method', 'global'])[CAST(p_size % 4 + 1 AS INT)] AS kind, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS signature
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def owner_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,14 +23,14 @@ def test_graph_of_all_orders(spark, small):
     pairs = {(int(a), int(b)) for a, b in zip(x["l_suppkey"], n) if b == b and a != b}
     hard = [(a, b) for a, b in pairs if (a + b) % 5]
     want = {f"m{i}": (sum(b == i for _, b in hard), sum(a == i for a, _ in hard)) for i in {i for p in pairs for i in p}}
-    assert {r["id"]: (r["in_degree"], r["out_degree"]) for r in registry.QUERIES["degrees_whole"](spark, small).collect()} == want
+    assert {r["id"]: (r["in_degree"], r["out_degree"]) for r in registry.QUERIES["degrees"](spark, small).collect()} == want
 
 
 def test_usage_and_symbols_of_all_orders(spark, small):
     pairs = lines(small)[["l_suppkey", "l_partkey"]].drop_duplicates()
     want = {f"m{i}": int(k) for i, k in pairs.groupby("l_suppkey")["l_partkey"].nunique().items()}
-    assert {r["definer"]: r["export_degree"] for r in registry.QUERIES["export_degree_whole"](spark, small).collect()} == want
-    got = {(m, r["symbol"]) for r in registry.QUERIES["ecosystem_whole"](spark, small).collect() for m in r["modules"].split(",")}
+    assert {r["definer"]: r["export_degree"] for r in registry.QUERIES["export_degree"](spark, small).collect()} == want
+    got = {(m, r["symbol"]) for r in registry.QUERIES["ecosystem"](spark, small).collect() for m in r["modules"].split(",")}
     assert got == {(f"m{i}", f"p{k}") for i, k in pairs.itertuples(index=False)}
 
 
@@ -41,25 +41,25 @@ def test_spans_of_all_orders(spark, small):
         spans[first % 5].append((customer % 300, first, first + customer % 300))
     best = lambda key, at: min((s for s in spans[key] if s[1] <= at <= s[2]), default=(None, None, None))[1:]
     want = sorted((u % 5, i, *best(u % 5, i)) for i, u in zip(e["event_id"].tolist(), e["user_id"].tolist()))
-    got = registry.QUERIES["enclosing_span_whole"](spark, small).collect()
+    got = registry.QUERIES["enclosing_span"](spark, small).collect()
     assert len(want) == len(e) and sorted(((r["key"], r["spot"], r["lo"], r["hi"]) for r in got), key=lambda r: r[:2]) == want
 
 
 def test_reports_on_what_the_operators_find(spark, small):
     q = registry.QUERIES
-    nodes, spots = {r["id"]: r for r in q["degrees_whole"](spark, small).collect()}, q["hotspots_whole"](spark, small).collect()
-    rings = [r["nodes"] for r in fx.whole(lambda s, d: graphs.cycles(deg.hard(fx.edges(s, d))))(spark, small).collect()]
+    nodes, spots = {r["id"]: r for r in q["degrees"](spark, small).collect()}, q["hotspots"](spark, small).collect()
+    rings = [r["nodes"] for r in graphs.cycles(deg.hard(fx.edges(spark, small))).collect()]
     assert any(len(r) > 3 for r in rings)
-    got = q["debt_whole"](spark, small).first()
+    got = q["debt"](spark, small).first()
     clashes = sum(not r["is_identical"] for r in q["collisions"](spark, small).collect())
-    assert (got["cycle_penalty"], got["collision_count"], got["edges_total"]) == (sum(map(len, rings)), clashes, q["graph_metrics_whole"](spark, small).first()["edges_total"])
+    assert (got["cycle_penalty"], got["collision_count"], got["edges_total"]) == (sum(map(len, rings)), clashes, q["graph_metrics"](spark, small).first()["edges_total"])
     limit = hot.thresholds(len(nodes))
-    groups = [r["modules"].split(",") for r in q["shared_usage_components_whole"](spark, small).collect()]
+    groups = [r["modules"].split(",") for r in q["shared_usage_components"](spark, small).collect()]
     assert got["cluster_penalty"] == sum(len(g) >= limit["cluster_size"] for g in groups) > 0
-    plan = q["refactor_plan_whole"](spark, small).collect()
+    plan = q["refactor_plan"](spark, small).collect()
     large = [g for g in groups if limit["refactor_cluster_size"] <= len(g) < 0.6 * len(nodes)]
     assert sorted(r["targets"] for r in plan if r["type"] == "SPLIT_PACKAGE") == sorted(map(",".join, large)) and len(plan) == len(large) + len([r for r in spots if r["type"] != "ISOLATED"][:10])
-    members = {r["module"] for r in q["architecture_signals_whole"](spark, small).collect() if "cycle_member" in r["signals"].split(",")}
+    members = {r["module"] for r in q["architecture_signals"](spark, small).collect() if "cycle_member" in r["signals"].split(",")}
     assert members == {x for r in rings for x in r}
 
 
@@ -69,7 +69,7 @@ def test_imports_of_pages_are_counted(spark, small):
     want = Counter()
     for i, html in zip(pages["page_id"], pages["html"]):
         want[names[i]] += len(re.findall('href="/([^"]*)"', html or ""))
-    assert {r["module_id"]: r["import_count"] for r in registry.QUERIES["dsl_modules_whole"](spark, small).collect()} == dict(want) and any(want.values())
+    assert {r["module_id"]: r["import_count"] for r in registry.QUERIES["module_records"](spark, small).collect()} == dict(want) and any(want.values())
 
 
 def sparse(folder):
@@ -107,10 +107,10 @@ def test_searches_go_as_far_as_the_operators(spark, tmp_path):
             total[x] += c * (x != s)
     between = {x: c / max(total.values()) for x, c in total.items()}
     near = lambda got, want: got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
-    assert deepest > 12 and near({r["id"]: r["betweenness"] for r in q["betweenness_whole"](spark, d).collect()}, between)
+    assert deepest > 12 and near({r["id"]: r["betweenness"] for r in q["betweenness"](spark, d).collect()}, between)
     closed = {x: sum(z in out[x] for y in out[x] for z in out.get(y, ())) for x in out}
     want = {x: c * (1 - (closed[x] / (k * (k - 1)) if (k := len(out.get(x, ()))) > 1 else 0)) for x, c in between.items()}
-    assert near({r["id"]: r["bridge_score"] for r in q["bridge_whole"](spark, d).collect()}, want)
+    assert near({r["id"]: r["bridge_score"] for r in q["bridge"](spark, d).collect()}, want)
     seen, front = {"m1": ["m1"]}, {"m1": ["m1"]}
     for depth in range(1, 7):
         new = {}
@@ -121,5 +121,5 @@ def test_searches_go_as_far_as_the_operators(spark, tmp_path):
         seen, front = seen | new, new
         if depth == 4:
             chains = {x: ">".join(p) for x, p in seen.items() if len(p) > 1}
-    assert {r["id"]: r["path"] for r in q["entry_chains_whole"](spark, d).collect()} == chains
-    assert {r["id"]: r["depth"] for r in q["transitive_dependents_whole"](spark, d).collect()} == {x: len(p) - 1 for x, p in seen.items() if len(p) > 1} and len(seen) > len(chains) + 1
+    assert {r["id"]: r["path"] for r in q["entry_chains"](spark, d).collect()} == chains
+    assert {r["id"]: r["depth"] for r in q["transitive_dependents"](spark, d).collect()} == {x: len(p) - 1 for x, p in seen.items() if len(p) > 1} and len(seen) > len(chains) + 1
