@@ -8,7 +8,7 @@ estimate, exact sets decide:
    sets of the wanted similarity meet in at least one list.
 3. Each list proposes pairs with one member of its own, so that a list of any length proposes no more pairs than it has rows.
    A 256-bit signature and then the union sketch estimate their similarity, and the exact sets confirm it. Links join classes to
-   components. Lists whose members aren't all in one component then propose pairs with another member.
+   components. Members that have no like one of another component in their list leave it; what is left proposes again.
 4. What is left may hide a link only between members of one list in different components that have a like one there. In short
    lists those are compared in pairs; in long ones, members outside the largest component are compared with all, in blocks.
 """
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, new_path, release_memory, shuffles_released, slices, small, table, worker_cache
+from .common import cut, drop_path, hot_keys, new_path, release_memory, shuffles_released, slices, small, spread_join, table, unused, worker_cache
 
 SKETCH = 64
 #: Values whose number of lists' rows is worth ranking; those held by fewer classes rank first, by value. Bounds a broadcast.
@@ -37,6 +37,8 @@ STAR_ROUNDS = 2
 LINKS_IN_TASK = 500_000
 #: Members of a list up to which they are compared in pairs; beyond, shingles on either side of a block.
 SHORT_LIST, BLOCK_OUTSIDE, BLOCK_INSIDE = 32, 50_000, 200_000
+#: Members on either side of a block in which a long list looks for like ones.
+LIST_BLOCK = 4096
 #: How many standard deviations an estimate may be off.
 DEVIATIONS = 5.5
 CACHE_WORDS = 150_000
@@ -161,16 +163,18 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return sizes & (differ <= most)
 
 
-def _with(pairs: DataFrame, side: str, info: DataFrame) -> DataFrame:
-    return pairs.join(info.select(*[F.col(c).alias(side if c == "cid" else f"{side}_{c}") for c in info.columns]), side)
+def _with(pairs: DataFrame, side: str, info: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """``info`` of one side of each pair; ``hot``: sides that very many pairs have."""
+    named = info.select(*[F.col(c).alias(side if c == "cid" else f"{side}_{c}") for c in info.columns])
+    return pairs.join(named, side) if hot is None else spread_join(pairs, named, [side], ["b" if side == "a" else "a"], hot=hot)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int, hot: DataFrame | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` whose signatures and union sketch allow the similarity, with the estimate ``j``."""
     info = classes.select("cid", "n", *SIGNATURE)
-    near = _with(_with(pairs, "a", info), "b", info).filter(_alike("a_", "b_", percent)).select("a", "b")
+    near = _with(_with(pairs, "a", info, hot), "b", info).filter(_alike("a_", "b_", percent)).select("a", "b")
     brief = classes.select("cid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("v"))
-    both = _with(_with(near, "a", brief), "b", brief)
+    both = _with(_with(near, "a", brief, hot), "b", brief)
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("a_v", "b_v")), 1, k)).withColumn("j", F.size(F.array_intersect("u", F.array_intersect("a_v", "b_v"))) / F.size("u"))
     t = percent / 100
     return both.filter(F.col("j") >= t - DEVIATIONS * sqrt(t * (1 - t) / k)).select("a", "b", "j")
@@ -196,9 +200,9 @@ def sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, siz
     return found.join(small(wanted.select("cid", "digest")), "digest").select("cid", "shingles")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None = None) -> DataFrame:
     """Those of the pairs whose whole sets are similar enough."""
-    both = _with(_with(pairs.select("a", "b"), "a", sets), "b", sets)
+    both = _with(_with(pairs.select("a", "b"), "a", sets, hot), "b", sets)
     both = both.withColumn("i", F.size(F.array_intersect("a_shingles", "b_shingles"))).withColumn("u", F.size("a_shingles") + F.size("b_shingles") - F.col("i"))
     return both.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
@@ -254,7 +258,7 @@ def _blocks(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
     held = members.join(sizes, "cid")
     grid = cut(held.groupBy("gid").agg(parts(F.col("n"), BLOCK_INSIDE).alias("inside"), parts(F.when(F.col("outside"), F.col("n")).otherwise(0), BLOCK_OUTSIDE).alias("asked")))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    placed = members.join(grid, "gid")
+    placed = spread_join(members, grid, ["gid"], ["cid"])
     rows = placed.filter("outside").select("gid", upto("inside").alias("x"), F.pmod(F.xxhash64("cid"), F.col("asked")).alias("y"), "cid", "label", F.lit(True).alias("out"))
     rows = rows.unionByName(placed.select("gid", F.pmod(F.xxhash64("cid"), F.col("inside")).alias("x"), upto("asked").alias("y"), "cid", "label", F.lit(False).alias("out")))
 
@@ -276,6 +280,32 @@ def _blocks(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
     return rows.join(sets, "cid").groupBy("gid", "x", "y").applyInPandas(compare, "a long, b long")
 
 
+def with_alike(lists: DataFrame, percent: int, hot: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """Rows of ``lists(value, cid, label, n, s1..s4)`` that have a like one (by size and signature) of another label in their list.
+
+    Of each list one label holds the most members. Those outside it are compared with all, those inside with the ones outside, in
+    blocks of at most about ``block`` members on either side, so that a list of any length is many tasks' work.
+    """
+    marks = ("n", *SIGNATURE)
+    per = lists.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("t"), F.sum("c").alias("m")).filter("t.c < m")
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    about = per.select("value", F.col("t.label").alias("main"), F.col("m").alias("all"), F.col("t.c").alias("in"), (F.col("m") - F.col("t.c")).alias("out")).withColumns({c: parts(c) for c in ("all", "in", "out")})
+    placed = spread_join(lists, about, ["value"], ["cid"], hot=hot)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    cell = lambda out, x, y: F.struct(F.lit(out).alias("o"), x.alias("x"), y.alias("y"))
+    outside = F.col("label") != F.col("main")
+    asks = F.when(outside, F.transform(upto("all"), lambda y: cell(True, at("out"), y))).otherwise(F.transform(upto("out"), lambda y: cell(False, at("in"), y)))
+    told = F.transform(upto("out"), lambda x: cell(True, x, at("all")))
+    told = F.when(outside, F.concat(told, F.transform(upto("in"), lambda x: cell(False, x, at("out"))))).otherwise(told)
+    mine = placed.select("value", "cid", "label", *marks, F.when(outside, F.col("all")).otherwise(F.col("out")).alias("times"), F.explode(asks).alias("cell"), *[F.col(c).alias(f"a_{c}") for c in marks])
+    other = placed.select(F.col("value").alias("o_value"), F.col("label").alias("o_label"), F.explode(told).alias("o_cell"), *[F.col(c).alias(f"b_{c}") for c in marks])
+    same = (F.col("value") == F.col("o_value")) & (F.col("cell") == F.col("o_cell")) & (F.col("label") != F.col("o_label"))
+    left = cut(mine.join(other, same & _alike("a_", "b_", percent), "left_semi").select("value", "cid", "label", *marks, "times"))
+    several = left.filter("times > 1")  # found in more than one block
+    return left.filter("times = 1").unionByName(several.dropDuplicates(["value", "cid"])).drop("times")
+
+
 def near_groups(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80, k: int = SKETCH, rounds: int = STAR_ROUNDS, short_list: int = SHORT_LIST) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -284,8 +314,10 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = 5, percent: int
     A null doc_id takes part; its component has the smallest id among the others, or null if it has no other. Rows that share a
     doc_id but not a text are told apart, and of rows with the kept doc_id each is marked as kept. An empty table gives no rows.
 
-    A pair is missed only if its sketches differ by more than 5.5 standard deviations from what its similarity lets expect.
-    Sketches are written once, as a table, and dropped when the result is stored.
+    Sets of at most ``k`` shingles are compared without estimates. Of larger ones a pair is missed only if its sketches differ by
+    more than 5.5 standard deviations from what its similarity lets expect. Other columns of ``docs`` aren't read. Sketches are
+    written once, as a table, and dropped when the result is stored. Keys that hold many rows (a group of copies, a list, a class
+    that many are compared with, a component) are split among tasks.
     """
     with shuffles_released(docs.sparkSession):
         return _near_groups(docs, text, size, percent, k, rounds, short_list)
@@ -297,46 +329,43 @@ def _near_groups(docs: DataFrame, text: str, size: int, percent: int, k: int, ro
     sketches(docs, text, size, k).withColumn("cid", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
     groups = cut(rows.filter("n > 0").groupBy("digest").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    several = groups.filter("copies > 1").select("digest", F.col("cid").alias("first"))
-    copies = small(cut(rows.filter("n > 0").select("cid", "digest").join(small(several), "digest").filter("cid <> first").select("cid")))
+    crowds = hot_keys(groups, ["digest"], "copies")
+    several = small(groups.filter("copies > 1").select("digest", F.col("cid").alias("first")))
+    copies = small(cut(spread_join(rows.filter("n > 0").select("cid", "digest"), several, ["digest"], ["cid"], hot=crowds).filter("cid <> first").select("cid")))
     classes = rows.filter("n > 0").drop("doc_id").join(copies, "cid", "left_anti")
     named = groups.select("cid", "digest", "rep")
     marks = ("n", *SIGNATURE)
     info = classes.select("cid", *marks)
 
     repeated = cut(repeated_values(classes))
-    lists = list_rows(classes, repeated, k, percent).join(repeated.select("value"), "value")
+    frequent = hot_keys(repeated, ["value"])
+    lists = spread_join(list_rows(classes, repeated, k, percent), repeated.select("value"), ["value"], ["cid"], hot=frequent)
     lists = cut(lists.withColumn("label", F.col("cid")))
     labels, links = None, None
     for r in range(rounds):
-        # a list proposes pairs with one member, another one each round; a class tests its best three, the others stay in their lists
+        # a list proposes pairs with one member, another one each round; a class tests its best three, and stays in its lists
         heads = lists.groupBy("value").agg(F.count("*").alias("m"), *[F.min_by(c, F.xxhash64("value", "cid", F.lit(r))).alias(n) for c, n in (("cid", "a"), ("label", "a_label"))])
-        heads = heads.filter("m > 1").drop("m")
-        star = lists.join(heads, "value").filter("label <> a_label").select("a", F.col("cid").alias("b")).distinct()
-        ranked = estimated(star, classes, k, percent).selectExpr("a", "b", "row_number() over (partition by b order by j desc, a) as r").filter("r <= 3")
+        heads = cut(heads.filter("m > 1"))
+        asked = hot_keys(heads.groupBy("a").agg(F.sum("m").alias("n")), ["a"])
+        star = spread_join(lists, heads.drop("m"), ["value"], ["cid"], hot=frequent).filter("label <> a_label").select("a", F.col("cid").alias("b")).distinct()
+        ranked = estimated(star, classes, k, percent, asked).selectExpr("a", "b", "row_number() over (partition by b order by j desc, a) as r").filter("r <= 3")
         ranked = cut(ranked.select("a", "b"))
         sets = sets_of(ranked.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), named, docs, text, size)
-        found = cut(confirmed(ranked, sets, percent))
+        found = cut(confirmed(ranked, sets, percent, asked))
         new = found.isEmpty()
         if not new:
             links = found if labels is None else found.unionByName(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")))
             labels = cut(components(links))
             lists = lists.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         # only members with a like one in another component in their list can have a link left
-        if not r:
-            lists = lists.join(info, "cid")
-        ends = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
-        lists = lists.join(ends, "value")
-        mine = lists.select(F.col("value"), "cid", "label", *marks, *[F.col(c).alias(f"a_{c}") for c in marks])
-        other = lists.select(F.col("value").alias("o_value"), F.col("label").alias("o_label"), *[F.col(c).alias(f"b_{c}") for c in marks])
-        lists = cut(mine.join(other, (F.col("value") == F.col("o_value")) & (F.col("label") != F.col("o_label")) & _alike("a_", "b_", percent), "left_semi").select("value", "cid", "label", *marks))
+        lists = cut(with_alike(lists if r else lists.join(info, "cid"), percent, frequent))
         if new or lists.isEmpty():
             break
 
     held = lists.groupBy("value").agg(F.count("*").alias("m"), F.min("cid").alias("first"))
     top = lists.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("t"))
     about = held.join(top, "value").select("value", "m", F.when(F.col("t.c") > 1, F.col("t.label")).otherwise(F.col("first")).alias("gid"), F.when(F.col("t.c") > 1, F.col("t.label")).alias("main"))
-    lists = cut(lists.join(about, "value"))
+    lists = cut(spread_join(lists, about, ["value"], ["cid"], hot=frequent))
     short, long = lists.filter(F.col("m") <= short_list), lists.filter(F.col("m") > short_list)
     side = lambda p: short.select(F.col("value").alias(f"{p}_value"), *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "label", *marks)])
     pairs = side("a").join(side("b"), (F.col("a_value") == F.col("b_value")) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label")) & _alike("a_", "b_", percent))
@@ -349,23 +378,31 @@ def _near_groups(docs: DataFrame, text: str, size: int, percent: int, k: int, ro
         more = more.unionByName(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")))
     labels = cut(components(more))
 
-    grouped = named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = rows.select("doc_id", "n", "digest").join(grouped.join(least, "label").select("digest", "component_id"), "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = cut(found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")))
+    grouped = cut(named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    of_component = hot_keys(least, ["label"])
+    least = spread_join(grouped.select("label", "cid", "digest"), least.drop("n"), ["label"], ["cid"], hot=of_component).select("digest", "component_id")
+    found = spread_join(rows.filter("n > 0").select("doc_id", "cid", "n", "digest"), least, ["digest"], ["cid"], hot=crowds).select("doc_id", "n", "component_id")
+    found = found.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = cut(found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")))
     drop_path(spark, path)
     return out
 
 
 def near_dedup(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that :func:`near_groups` doesn't keep."""
+    """The rows of ``docs`` that :func:`near_groups` keeps, with all their columns and whatever their names.
+
+    Of each group the smallest doc_id stays, of whatever type it is; every row that has it stays if one of them does. Texts without
+    words (null, empty, blank) are linked with nothing and all stay, as does a row without doc_id whose group has no other id.
+    """
     found = near_groups(docs, text, size, percent)
-    gone = small(found.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("__id")))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    (id_,) = unused(docs.columns, "id")
+    gone = small(cut(found.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias(id_))))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(id_)), "left_anti")
 
 
 def op10_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_groups` of all ``documents`` on two-word shingles; what it says of nulls, ties and repeated rows holds."""
     return near_groups(table(spark, sf_dir, "documents"), size=2)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, table, unused
 
 ROUNDS = 6
 
@@ -76,13 +76,13 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int) -> int:
     return int(unpermute(np.array([slot * shards + shard]), n, seed)[0])
 
 
-def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """``rows`` with ``row_number`` from 0 in the order of the columns ``order`` (nulls first), and the number of rows.
+def number_rows(rows: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
+    """``rows`` with ``name``, the row's number from 0 in the order of the columns ``order`` (nulls first), and the number of rows.
 
     One range exchange; the sorted rows are stored once, so that the numbers stay the same when a task runs again. Only the
     number of rows of each partition comes to the driver.
     """
-    at = "__at"
+    at, in_part, start = unused([*rows.columns, name], "at", "part", "start")
     stored = cut(rows.sort(*[F.col(c).asc_nulls_first() for c in order]).withColumn(at, F.monotonically_increasing_id()))
     part = F.shiftrightunsigned(F.col(at), 33).cast("int")
     counts = sorted((r["part"], r["rows"]) for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect())
@@ -90,9 +90,9 @@ def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     for p, k in counts:
         starts.append((p, n))
         n += k
-    offsets = rows.sparkSession.createDataFrame(starts, "__part int, __start long")
-    numbered = stored.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return numbered.withColumn("row_number", F.col("__start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, "__part", "__start"), n
+    offsets = rows.sparkSession.createDataFrame(starts, f"{in_part} int, {start} long")
+    numbered = stored.withColumn(in_part, part).join(F.broadcast(offsets), in_part)  # a row per partition
+    return numbered.withColumn(name, F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, in_part, start), n
 
 
 def shard(rows: DataFrame, order: list[str], shards: int = 8, seed: int = 20240229) -> DataFrame:
@@ -100,19 +100,22 @@ def shard(rows: DataFrame, order: list[str], shards: int = 8, seed: int = 202402
 
     Shards differ by at most one row and slots have no gaps. Rows that agree in all the columns of ``order`` are numbered in
     any order among themselves; a null sorts before other values; an empty table gives an empty table; with fewer rows than
-    shards the last shards stay empty.
+    shards the last shards stay empty. Where ``rows`` has a column of one of those names, that stays and the new one has an
+    underscore behind its name.
     """
-    numbered, n = number_rows(rows, order)
+    name, shard_, slot, at = unused(rows.columns, "row_number", "shard", "slot", "place")
+    numbered, n = number_rows(rows, order, name)
 
     @F.pandas_udf(T.LongType())
     def place(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    placed = numbered.withColumn("__place", place("row_number"))
-    return placed.select(*numbered.columns, (F.col("__place") % shards).cast("int").alias("shard"), F.expr(f"__place div {shards}").alias("slot"))
+    placed = numbered.withColumn(at, place(name))
+    return placed.select(*numbered.columns, (F.col(at) % shards).cast("int").alias(shard_), F.expr(f"`{at}` div {shards}").alias(slot))
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`shard` of all ``documents`` in the order of doc_id, then text and size; a null text has size 1 and the CRC of no bytes."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small, table, worker_cache
+from .common import cut, few, hot_keys, slices, small, spread_join, table, unused, worker_cache
 
 #: Moduli below 2**31 and the points of evaluation.
 PRIMES, POINTS = (2147483647, 2147483629), (1048583, 805306457)
 CHUNK = 1 << 16
 #: Longer texts are hashed in parts of SPREAD_PART bytes, in tasks of their own.
-SPREAD_BYTES, SPREAD_PART = 64 << 20, 8 << 20
+SPREAD_BYTES, SPREAD_PART = 8 << 20, 4 << 20
 KEY = ["n_bytes", "h1", "h2"]
 
 
@@ -60,7 +60,11 @@ def fingerprint(data: bytes, primes: tuple[int, ...] = PRIMES) -> tuple[int, ...
 
 
 def fingerprints(docs: DataFrame, text: str = "text", primes: tuple[int, ...] = PRIMES, spread_bytes: int = SPREAD_BYTES, spread_part: int = SPREAD_PART) -> DataFrame:
-    """One row per document: ``doc_id``, ``tag`` (a number of the row's own), ``n_bytes``, ``h1``, ``h2``, ``text_sha256``."""
+    """One row per document: ``doc_id``, ``tag`` (a number of the row's own), ``n_bytes``, ``h1``, ``h2``, ``text_sha256``.
+
+    A text of more than ``spread_bytes`` is dealt in parts; each part comes back with its hash and the factor that shifts what is
+    left of it, and the parts' hashes are combined in order.
+    """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("tag"), body.alias("body"))
 
@@ -75,26 +79,22 @@ def fingerprints(docs: DataFrame, text: str = "text", primes: tuple[int, ...] =
             )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4):
+        for batch in slices(batches):
             texts = batch.column("body").to_pylist()
-            prints = [fingerprint(x, primes) for x in texts]
-            columns = [batch.column(c) for c in ("doc_id", "tag", "n_bytes", "text_sha256", "part")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in texts], pa.int64()), *(pa.array([p[i] for p in prints], pa.int64()) for i in range(2))], ["doc_id", "tag", "n_bytes", "text_sha256", "part", "part_bytes", "h1", "h2"])
-
-    @F.udf("struct<h1: long, h2: long>")
-    def joined(found):
-        out = (0, 0)
-        for x in sorted(found, key=lambda x: x["part"]):
-            out = combine(out, (x["h1"], x["h2"]), x["part_bytes"], primes)
-        return out
+            prints = [(*fingerprint(x, primes), *(pow(r, len(x), p) for p, r in zip(primes, POINTS, strict=True))) for x in texts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array([p[i] for p in prints], pa.int64()) for i in range(4))], [*own, "h1", "h2", "f1", "f2"])
 
+    own = ["doc_id", "tag", "n_bytes", "text_sha256", "part"]
+    start = F.struct(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
+    step = lambda a, x: F.struct(*[((a[h] * x[f] + x[h]) % p).alias(h) for h, f, p in zip(("h1", "h2"), ("f1", "f2"), primes, strict=True)])
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "h1", "h2", "f1", "f2"))), start, step)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     short = rows.filter(F.octet_length("body") <= spread_bytes).withColumn("tag", F.col("tag") * 2)
     short = short.mapInArrow(whole, f"doc_id {id_type}, tag long, n_bytes long, h1 long, h2 long, text_sha256 string")
     long = rows.filter(F.octet_length("body") > spread_bytes).select("doc_id", (F.col("tag") * 2 + 1).alias("tag"), F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("text_sha256"), "body")
     long = long.withColumn("part", F.explode(F.expr(f"sequence(0, cast((n_bytes - 1) div {spread_part} as int))"))).withColumn("body", F.expr(f"substring(body, part * {spread_part} + 1, {spread_part})"))
-    long = long.repartition("tag", "part").mapInArrow(parts, f"doc_id {id_type}, tag long, n_bytes long, text_sha256 string, part int, part_bytes long, h1 long, h2 long")
-    long = long.groupBy("doc_id", "tag", "n_bytes", "text_sha256").agg(joined(F.collect_list(F.struct("part", "part_bytes", "h1", "h2"))).alias("h"))
+    long = long.repartition("tag", "part").mapInArrow(parts, f"doc_id {id_type}, tag long, n_bytes long, text_sha256 string, part int, h1 long, h2 long, f1 long, f2 long")
+    long = long.groupBy("doc_id", "tag", "n_bytes", "text_sha256").agg(joined.alias("h"))
     return short.unionByName(long.select("doc_id", "tag", "n_bytes", "h.h1", "h.h2", "text_sha256"))
 
 
@@ -109,10 +109,11 @@ def unequal_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame, text:
     The least and the greatest of a group's chunks at each place must agree. Each task compares what it holds before anything
     is shuffled, so a group of any size sends a chunk or two per task.
     """
-    members = small(prints.join(groups.select(*KEY), KEY).select("doc_id", "text_sha256", *KEY).distinct())
+    members = spread_join(prints, groups.select(*KEY), KEY, ["tag"], hot=hot_keys(groups, KEY, "group_size") if not few(groups.select(*KEY)) else None)
+    members = small(cut(members.select("doc_id", "text_sha256", *KEY).distinct()))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    held = docs.select(F.col("doc_id").alias("__id"), body.alias("__body")).join(members, F.col("__id").eqNullSafe(F.col("doc_id"))).filter(F.sha2("__body", 256) == F.col("text_sha256"))
-    chunks = held.select(*KEY, "__body", F.explode(F.expr(f"sequence(0, cast((greatest(n_bytes, 1) - 1) div {chunk} as int))")).alias("chunk")).select(*KEY, "chunk", F.expr(f"substring(__body, chunk * {chunk} + 1, {chunk})").alias("data"))
+    held = docs.select(F.col("doc_id").alias("id"), body.alias("body")).join(members, F.col("id").eqNullSafe(F.col("doc_id"))).filter(F.sha2("body", 256) == F.col("text_sha256"))
+    chunks = held.select(*KEY, "body", F.explode(F.expr(f"sequence(0, cast((greatest(n_bytes, 1) - 1) div {chunk} as int))")).alias("chunk")).select(*KEY, "chunk", F.expr(f"substring(body, chunk * {chunk} + 1, {chunk})").alias("data"))
     return chunks.groupBy(*KEY, "chunk").agg((F.min("data") != F.max("data")).alias("differ")).filter("differ").select(*KEY).distinct()
 
 
@@ -126,35 +127,39 @@ def exact_groups(docs: DataFrame, text: str = "text", primes: tuple[int, ...] =
     prints = cut(fingerprints(docs, text, primes, spread_bytes, spread_part))
     groups = cut(_groups(prints, KEY))
     unequal = cut(unequal_groups(docs, prints, groups, text))
-    key = KEY
+    key, hot = KEY, lambda: None if few(groups) else hot_keys(groups, key, "group_size")
     if not unequal.isEmpty():  # two different texts with one fingerprint
-        marked = prints.join(unequal.withColumn("__split", F.lit(True)), KEY, "left")
-        prints = cut(marked.withColumn("part_of", F.when(F.col("__split"), F.col("text_sha256")).otherwise("")).drop("__split"))
+        marked = spread_join(prints, unequal.withColumn("split", F.lit(True)), KEY, ["tag"], "left", hot())
+        prints = cut(marked.withColumn("part_of", F.when(F.col("split"), F.col("text_sha256")).otherwise("")).drop("split"))
         key = [*KEY, "part_of"]
-        groups = _groups(prints, key)
-    out = prints.join(groups, key, "left")
+        groups = cut(_groups(prints, key))
+    out = spread_join(prints, groups, key, ["tag"], "left", hot())
     return out.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("group_size").isNull() | (F.col("keeper.tag") == F.col("tag"))).alias("kept"), "text_sha256", "tag")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_groups` keeps."""
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns and whatever their names.
+
+    One row of each text stays, that with the largest doc_id; null counts as empty, so of null and empty texts one row stays. Of
+    rows that agree in doc_id and text any one stays, with all its other columns. doc_id may be of any type that can be ordered.
+    """
     rows = cut(exact_groups(docs, text).select("doc_id", "text_sha256", "kept"))
-    named = rows.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
-    dropped = named.groupBy("__id", "__sha").agg(F.max("kept").alias("__any"), F.count("*").alias("__rows"))
-    sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    out = docs.withColumn("__digest", sha)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    gone = small(dropped.filter(~F.col("__any")).select("__id", "__sha"))
-    out = out.join(gone, same, "left_anti")
-    repeated = dropped.filter("__any and __rows > 1")
+    id_, sha, digest = unused(docs.columns, "id", "sha", "digest")
+    dropped = rows.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), "kept").groupBy(id_, sha).agg(F.max("kept").alias("any"), F.count("*").alias("rows"))
+    dropped = cut(dropped.filter("not any or rows > 1"))
+    out = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    same = out["doc_id"].eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(sha))
+    out = out.join(small(dropped.filter("not any").select(id_, sha)), same, "left_anti")
+    repeated = dropped.filter("any")
     if not repeated.isEmpty():  # rows that agree in doc_id and text: one stays
-        again = small(repeated.select("__id", "__sha"))
-        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+        again = small(repeated.select(id_, sha))
+        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", digest])
         out = out.join(again, same, "left_anti").unionByName(once)
-    return out.drop("__digest")
+    return out.drop(digest)
 
 
 def op7_polynomial_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`exact_groups` of all ``documents``, every row; what it says of nulls, ties and repeated rows holds."""
     return exact_groups(table(spark, sf_dir, "documents")).drop("tag")
 
 

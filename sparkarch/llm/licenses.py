@@ -1,9 +1,10 @@
 """License scan by a positional index of rare words. Only DataFrame functions run here.
 
-Templates are short texts with a key phrase that must be there word for word. Every template has an anchor: of the words of its
-key phrase the one that fewest files hold. A file's anchor words are looked up, each posting (template, place of the anchor in
-it) proposes a place where the template would start, and at that place the key phrase is verified and the rest of the template
-is matched word by word, weighted by rarity.
+Templates are short texts with a key phrase that must be there word for word. A file can hold a template only if it holds every
+word of the key phrase. Of those templates, the words of the key phrase that fewest files hold, three at most, are looked up in
+the file: each has a list of places, less its own place in the template, and where the lists agree the template would start.
+There the key phrase is verified and the rest of the template is matched word by word, weighted by rarity. A word that isn't part
+of a key phrase may be missing where a template starts, so those words only weigh.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from math import log
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import table, unused, words
 
 #: Phrase and label of the base.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -31,6 +32,8 @@ NOTICES = (
 )
 #: A notice counts from this share of its words' weight.
 LEAST_SCORE = 0.8
+#: Rare words of a key phrase whose places are intersected.
+RARE_WORDS = 3
 
 
 def _sql(text: str) -> str:
@@ -60,45 +63,50 @@ def weights(n_files: int, counts: dict[str, int], vocabulary: list[str]) -> dict
     return {w: max(1, round(1000 * log((n_files + 1) / (counts.get(w, 0) + 1)))) for w in vocabulary}
 
 
-def scan(files: DataFrame, text: str = "text", base=BASE, notices=NOTICES, least: float = LEAST_SCORE) -> DataFrame:
+def rarest(t: dict, rarity: dict[str, int], rare_words: int = RARE_WORDS) -> list[tuple[str, int]]:
+    """Words of the key phrase with their places in the template, those that fewest files hold first, each word once."""
+    first = {w: i for i, w in reversed(list(enumerate(t["key"])))}
+    return [(w, t["key_at"] + first[w]) for w in sorted(first, key=lambda w: (-rarity[w], first[w]))[:rare_words]]
+
+
+def scan(files: DataFrame, text: str = "text", base=BASE, notices=NOTICES, least: float = LEAST_SCORE, rare_words: int = RARE_WORDS) -> DataFrame:
     """All columns of ``files``, and ``n_words`` and ``matches``: array of (template, label, base, start, length, score).
 
     Nothing but the words' file counts is exchanged: each file is matched where it is read, so neither frequent words, hot
-    sources nor long texts gather anywhere. A null or empty text has no words and no matches; rows stay as many as they are.
+    sources nor long texts gather anywhere. A null or empty text has no words and no matches; rows stay as many as they are. Where
+    ``files`` has a column ``n_words`` or ``matches``, that stays and the new one has an underscore behind its name.
     """
     found = templates(base, notices)
     vocabulary = sorted({w for t in found for w in t["words"]})
     n_files, counts = document_frequencies(files, vocabulary, text)
     rarity = weights(n_files, counts, vocabulary)
-    anchors: dict[str, list[tuple[int, int]]] = {}
-    for number, t in enumerate(found):
-        place = max(range(len(t["key"])), key=lambda i, t=t: (rarity[t["key"][i]], -i))
-        anchors.setdefault(t["key"][place], []).append((number, t["key_at"] + place))
-    literal = ", ".join(f"{_sql(w)}, array({', '.join(f'struct({n} as t, {i} as at)' for n, i in sorted(p))})" for w, p in sorted(anchors.items()))
-    listed = ", ".join(_sql(w) for w in sorted(anchors))
+    w, held, known, starts, keyed, n_words, matches = unused(files.columns, "w", "held", "known", "starts", "keyed", "n_words", "matches")
     array = lambda values, kind: f"cast(array({', '.join(map(str, values))}) as array<{kind}>)"
     per = [
-        f"struct({array(map(_sql, t['words']), 'string')} as words, {array([rarity[w] for w in t['words']], 'bigint')} as weight, {sum(rarity[w] for w in t['words'])} as total, "
-        f"{t['key_at']} as key_at, {len(t['key'])} as key_words, {_sql(t['label'])} as label, {str(t['base']).lower()} as base)"
-        for t in found
+        f"struct({n} as t, {array(map(_sql, t['words']), 'string')} as words, {array([rarity[x] for x in t['words']], 'bigint')} as weight, {sum(rarity[x] for x in t['words'])} as total, {t['key_at']} as key_at, {len(t['key'])} as key_words, "
+        f"{array(map(_sql, sorted(set(t['key']))), 'string')} as need, array({', '.join(f'struct({_sql(x)} as word, {at} as at)' for x, at in rarest(t, rarity, rare_words))}) as rare, {_sql(t['label'])} as label, {str(t['base']).lower()} as base)"
+        for n, t in enumerate(found)
     ]
-    spots = f"filter(sequence(0, size(__w) - 1), i -> __w[i] IN ({listed}))"
-    starts = f"flatten(transform({spots}, i -> transform(element_at(map({literal}), __w[i]), p -> struct(p.t as t, i - p.at as start))))"
+    needed = F.array(*[F.lit(x) for x in sorted({x for t in found for x in t["key"]})])
+    places = lambda x: f"transform(filter(sequence(0, size({w}) - 1), i -> {w}[i] = {x}.word), i -> i - {x}.at)"
+    agreed = f"aggregate(slice(t.rare, 2, size(t.rare)), {places('t.rare[0]')}, (a, x) -> array_intersect(a, {places('x')}))"
+    possible = f"filter({known}, t -> size(array_except(t.need, {held})) = 0)"
+    proposed = f"flatten(transform({possible}, t -> transform({agreed}, s -> struct(t.t as t, s as start))))"
     # out of range places of an array are null, which is no match; the key phrase has to be within the text
-    table_ = f"array({', '.join(per)})"
-    keyed = f"filter(__s, s -> s.start + __t[s.t].key_at >= 0 AND s.start + __t[s.t].key_at + __t[s.t].key_words <= size(__w) AND forall(sequence(__t[s.t].key_at, __t[s.t].key_at + __t[s.t].key_words - 1), j -> __w[s.start + j] = __t[s.t].words[j]))"
-    matched = "aggregate(sequence(0, size(__t[s.t].words) - 1), cast(0 as bigint), (a, j) -> a + CASE WHEN s.start + j >= 0 AND s.start + j < size(__w) AND try_element_at(__w, s.start + j + 1) = __t[s.t].words[j] THEN __t[s.t].weight[j] ELSE cast(0 as bigint) END)"
-    scored = f"transform(__k, s -> struct(s.t as template, __t[s.t].label as label, __t[s.t].base as base, s.start as start, size(__t[s.t].words) as length, {matched} / cast(__t[s.t].total as double) as score))"
-    out = files.withColumn("__w", words(F.col(text))).withColumn("n_words", F.size("__w").cast("long"))
-    has = F.expr(f"exists(__w, x -> x IN ({listed}))")
+    at = f"{known}[s.t]"
+    verified = f"filter({starts}, s -> s.start + {at}.key_at >= 0 AND s.start + {at}.key_at + {at}.key_words <= size({w}) AND forall(sequence({at}.key_at, {at}.key_at + {at}.key_words - 1), j -> {w}[s.start + j] = {at}.words[j]))"
+    matched = f"aggregate(sequence(0, size({at}.words) - 1), cast(0 as bigint), (a, j) -> a + CASE WHEN s.start + j >= 0 AND s.start + j < size({w}) AND try_element_at({w}, s.start + j + 1) = {at}.words[j] THEN {at}.weight[j] ELSE cast(0 as bigint) END)"
+    scored = f"transform({keyed}, s -> struct(s.t as template, {at}.label as label, {at}.base as base, s.start as start, size({at}.words) as length, {matched} / cast({at}.total as double) as score))"
+    fewest = min(len(set(t["key"])) for t in found)
     empty = "cast(array() as array<struct<t: int, start: int>>)"
-    out = out.withColumn("__s", F.when(has, F.expr(starts)).otherwise(F.expr(empty)))
-    out = out.withColumn("__t", F.expr(table_)).withColumn("__k", F.expr(f"CASE WHEN size(__s) > 0 THEN {keyed} ELSE __s END"))
-    out = out.withColumn("matches", F.expr(f"filter({scored}, m -> m.score >= {least}D)"))
-    return out.drop("__w", "__s", "__t", "__k")
+    out = files.withColumn(w, words(files[text])).withColumn(held, F.array_intersect(F.col(w), needed)).withColumn(known, F.expr(f"array({', '.join(per)})"))
+    out = out.withColumn(starts, F.expr(f"CASE WHEN size({held}) >= {fewest} THEN {proposed} ELSE {empty} END"))
+    out = out.withColumn(keyed, F.expr(f"CASE WHEN size({starts}) > 0 THEN {verified} ELSE {starts} END"))
+    return out.select(*[files[c] for c in files.columns], F.size(w).cast("long").alias(n_words), F.expr(f"filter({scored}, m -> m.score >= {least}D)").alias(matches))
 
 
 def op2_rare_word_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`scan` of all ``documents``, its matches as counts, places and labels; a null text has none, and no labels are an empty string."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("matches", lambda m: m["base"])
     of = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), ",")

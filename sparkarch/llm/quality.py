@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table, worker_cache
+from .common import cut, slices, table, unused, worker_cache
 
 #: Labelled rows that a fit takes at most, those with the smallest hash of doc_id.
 FIT_ROWS = 20_000
@@ -53,9 +53,10 @@ class Model:
     knots_y: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
+        """Random Fourier features, whose products approximate a Gaussian kernel of the standardised statistics, and a constant."""
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         waves = np.cos(z @ self.weights + self.phases) * np.sqrt(2 / max(len(self.phases), 1))
-        return np.hstack([waves, z, np.ones((len(x), 1))])
+        return np.hstack([waves, np.ones((len(x), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.ridge
@@ -99,15 +100,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
 
     Three quarters of them give the ridge weights, the rest the calibration. Each partition sums its own normal equations; the
     sums of at most 8 partitions come to the driver. Rows without doc_id or label are left out, and of several labels of one
-    document the smallest counts. Without labels every score is 0.5; with labels of one kind only, that kind.
+    document the smallest counts; of rows that share a doc_id the one with the smallest statistics is taken. Without labels every score is 0.5; with labels of one kind only, that kind.
     """
     taken = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     taken = taken.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded, hence the broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
-    x = cut(_stats_of(rows, "y, calibrate", "y double, calibrate boolean").repartition(8))
+    each = _stats_of(rows, "doc_id, y, calibrate", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, calibrate boolean")
+    x = cut(each.groupBy("doc_id", "y", "calibrate").agg(F.min("x").alias("x")).repartition(8))
     moments = x.select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
     if not moments:
-        return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros((N_STATS, 0)), np.zeros(0), np.zeros(N_STATS + 1), np.array([0.0]), np.array([0.5]))
+        return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros((N_STATS, 0)), np.zeros(0), np.zeros(1), np.array([0.0]), np.array([0.5]))
     rng = np.random.default_rng(seed)
     mean, scale = np.array([r["m"] for r in moments]), np.array([r["s"] or 0.0 for r in moments])
     scale[scale < 1e-9] = 1.0
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
             yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
 
     sums = x.filter("not calibrate").mapInPandas(equations, "a binary, b binary").collect()
-    k = waves + N_STATS + 1
+    k = waves + 1
     a, b = np.zeros((k, k)), np.zeros(k)
     for r in sums:
         a, b = a + np.frombuffer(r["a"]).reshape(k, k), b + np.frombuffer(r["b"])
@@ -135,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` (0 to 1) and ``predicted``; texts may be null, empty or long."""
+def scorer(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score, 0 to 1, of each row's whole text; a null text counts as empty, a long one is worked on alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -144,11 +146,26 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         worker_cache()
         return pd.Series(sent.value.score(np.array([stats(t) for t in texts]).reshape(-1, N_STATS)))
 
-    out = docs.withColumn("score", scored(F.col(text)))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored(docs[text])
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """All rows and columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on, else 0).
+
+    Where ``docs`` has a column of one of those names, that stays and the new one has an underscore behind its name. Null and empty
+    texts have a score too; repeated rows have one each; an empty table gives no rows.
+    """
+    a, b = unused(docs.columns, "score", "predicted")
+    return docs.withColumn(a, scorer(docs, model, text)).withColumn(b, (F.col(a) >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score at least the threshold, with all their columns unchanged and whatever their names."""
+    return docs.filter(scorer(docs, model, text) >= threshold)
 
 
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`score` of all ``documents`` by a model of the ``labels`` that aren't held out; a null doc_id isn't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,15 @@ class WordEncoder:
     Texts are put into small letters and closing points and commas set apart, which changes no id, so that case and punctuation
     don't multiply the words. New words of letters are encoded together, as one text: each ends with its only token of an end of
     word. Words are kept as the bytes of their ids (little-endian, 32 bits), and a text is their concatenation.
+
+    Another kind of tokenizer is refused.
     """
 
     def __init__(self, spec: str, size: int = CACHE_WORDS) -> None:
+        kind = json.loads(spec)
+        normal = kind["normalizer"] or {}
+        if kind["model"].get("end_of_word_suffix") != "</w>" or not any(n["type"] == "Lowercase" for n in normal.get("normalizers", [normal]) if n):
+            raise ValueError("only tokenizers that take small letters and mark the ends of words (</w>) can be read word by word")
         self.tokenizer, self.words = load_tokenizer(spec), _Recent(size)
         self.step = max(1 << 16, 15 * size)  # characters whose new words are worked out together
         # plain words need neither normalising nor splitting
@@ -181,10 +188,17 @@ def at_limit(histogram: DataFrame, limits: list[int]) -> DataFrame:
     return rows.select(F.col("r.x").alias("context_limit"), F.col("r.o").alias("docs_cut"), (F.col("total") - F.col("r.l")).alias("tokens_kept"), F.col("r.l").alias("tokens_lost"))
 
 
-def quantile(histogram: DataFrame, q: float) -> DataFrame:
-    """The smallest length that at least a share ``q`` of the documents does not exceed."""
-    return histogram.filter(F.col("share_at_most") >= q - 1e-9).agg(F.min("length").alias("length"))
+def quantile(histogram: DataFrame, q: float | str | Fraction) -> DataFrame:
+    """``length``: the smallest that at least a share ``q`` of the documents does not exceed; null for an empty histogram.
+
+    ``q`` is taken as the decimal that it prints as, and compared with whole numbers of documents, so no count is too large.
+    """
+    share = Fraction(str(q))
+    whole = lambda x: x.cast("decimal(38,0)")
+    enough = whole(F.col("docs_at_most")) * F.lit(share.denominator) >= whole(F.col("docs_at_most") + F.col("docs_over")) * F.lit(share.numerator)
+    return histogram.filter(enough).agg(F.min("length").alias("length"))
 
 
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`length_histogram` of all ``documents``; a null text has length 0."""
     return length_histogram(table(spark, sf_dir, "documents"))

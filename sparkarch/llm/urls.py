@@ -1,29 +1,27 @@
 """URL filter: rules by host and path, and for the rest a naive Bayes score of host words and path tokens.
 
 Hosts run words together; a unigram model splits them by Viterbi search. The model counts words of the pages' text; the
-classifier learns from those urls that the rules decide.
+classifier learns from those urls that the rules decide. Neither has a limit of words, letters or tokens: counts stay tables, and
+what a run of letters may hold is joined to it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import log
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, table
+from .common import LOWER, UPPER, cut, spread_join, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Most words that the unigram model takes; and buckets that tokens are hashed to. Both bound what is broadcast.
-VOCABULARY, BUCKETS = 50_000, 1 << 16
-LONGEST = 20
-_RUNS = re.compile(r"[a-z]+|[0-9]+|[^a-z0-9.\-_]+")
-_TOKENS = re.compile(r"[^\W_]+")
+#: Runs of a host: small letters, digits, or anything but those and ``.-_``; tokens of a path.
+RUNS, TOKENS = r"([a-z]+|[0-9]+|[^a-z0-9._-]+)", r"([a-z0-9]+|[^\x00-\x7F]+)"
+#: Added to every token's counts.
+ALPHA = 0.5
 
 
 def parse_url(url: Column) -> tuple[Column, Column]:
@@ -45,126 +43,122 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if name is None else (name, verdict)
 
 
-def unigrams(pages: DataFrame, text: str = "html", size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of a-z over all pages: at most ``size``, all that occur more often than some number.
+def unigrams(pages: DataFrame, text: str = "html") -> DataFrame:
+    """``word``, ``n``: counts of all words of a-z in the pages' text, tags left out."""
+    body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"<[^>]*>", " ")
+    return pages.select(F.explode(F.split(body, r"[^a-z]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def split_run(run: str, known: dict[str, int], total: int) -> list[str]:
+    """The most probable split of a run of letters under a unigram model.
 
-    That number comes from a histogram of the counts in at most 1024 classes, so only the words themselves reach the driver.
+    A known word has its share of all ``total`` words (100 at least); an unknown stretch of k letters counts as 10 to the power 1 - k words. So
+    two unknown stretches are never side by side, and one pass suffices that knows for every place the best split up to there and
+    the best that ends in an unknown stretch. Of equal splits the one with the longer last part is taken.
     """
-    body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"<[^>]*>", " ")
-    word = pages.select(F.explode(F.split(body, r"[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
-    counted = cut(word.groupBy("word").agg(F.count("*").alias("n")))
-    level = F.floor(F.log2("n") * 16).cast("int")
-    least, held = None, 0
-    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
-        held += r["k"]
-        if held > size:
-            break
-        least = r["level"]
-    if least is None:
-        return {}
-    return {r["word"]: r["n"] for r in counted.filter(level >= least).collect()}
-
-
-class Segmenter:
-    """Most probable split of a run of letters under a unigram model; unknown words cost ten times more for each letter."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) or 1
-        self.known = {w: log(n / total) for w, n in counts.items()}
-        self.new = [log(10 / total) - k * log(10) for k in range(LONGEST + 1)]
-        self.seen: dict[str, list[str]] = {}
-
-    def split(self, run: str) -> list[str]:
-        if run in self.seen:
-            return self.seen[run]
-        best, start = [0.0], [0]
-        for end in range(1, len(run) + 1):
-            top, at = None, 0
-            for begin in range(max(0, end - LONGEST), end):
-                cost = best[begin] + self.known.get(run[begin:end], self.new[end - begin])
-                if top is None or cost > top:  # of equal splits the one with the longer last word
-                    top, at = cost, begin
-            best.append(top)
-            start.append(at)
-        out, end = [], len(run)
-        while end:
-            out.append(run[start[end] : end])
-            end = start[end]
-        out.reverse()
-        if len(run) <= 64:
-            if len(self.seen) >= 100_000:
-                self.seen.clear()
-            self.seen[run] = out
-        return out
-
-    def host(self, host: str) -> list[str]:
-        return [w for run in _RUNS.findall(host) for w in (self.split(run) if run[0].isascii() and run[0].isalpha() else [run])]
-
-
-def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    return [f"h {w}" for w in segmenter.host(host)] + [f"p {w}" for w in _TOKENS.findall(path.lower())]
-
-
-def bucket(token: str, buckets: int = BUCKETS) -> int:
-    from zlib import crc32
-
-    return crc32(token.encode()) % buckets
-
-
-def log_odds(counts: np.ndarray, urls: tuple[int, int], alpha: float = 0.5) -> tuple[float, np.ndarray]:
-    """Log-odds of block against allow: the prior and each bucket's. counts: buckets x (allow, block)."""
-    smooth = counts + alpha
-    each = np.log(smooth[:, 1] / smooth[:, 1].sum()) - np.log(smooth[:, 0] / smooth[:, 0].sum())
-    return log((urls[1] + 1) / (urls[0] + 1)), each
-
-
-def judge(pages: DataFrame, text: str = "html", rules=RULES, vocabulary: int = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+    total = max(total, 100)
+    cost = {w: log(n / total) for w, n in known.items()}
+    sizes = sorted({len(w) for w in cost}, reverse=True)
+    unknown, letter = log(10 / total), log(10)
+    best, start = [0.0], [0]
+    open_cost, open_at = float("-inf"), 0
+    for end in range(1, len(run) + 1):
+        if best[-1] + unknown > open_cost:
+            open_cost, open_at = best[-1] + unknown, end - 1
+        open_cost -= letter
+        top, at = open_cost, open_at
+        for k in sizes:
+            if k <= end and (c := cost.get(run[end - k : end])) is not None:
+                c += best[end - k]
+                if c > top or (c == top and end - k < at):
+                    top, at = c, end - k
+        best.append(top)
+        start.append(at)
+    out, end = [], len(run)
+    while end:
+        out.append(run[start[end] : end])
+        end = start[end]
+    return out[::-1]
+
+
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``run``, ``words`` of each of the distinct runs of letters (column ``run``), under the stored counts of :func:`unigrams`.
+
+    Of each run the parts of those lengths that words have are joined to the counts, so that a run comes with the words it may
+    hold, however many words there are.
+    """
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], runs.agg(F.coalesce(F.max(F.length("run")), F.lit(0))).first()[0]
+    sizes = sorted(r[0] for r in counts.select(F.length("word")).distinct().filter(F.length("word") <= longest).collect())  # at most the longest run
+    size = F.array(*[F.lit(k) for k in sizes]) if sizes else F.array().cast("array<int>")
+    at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
+    fits = F.filter(size, lambda k: F.col("i") + k - 1 <= F.length("run"))
+    parts = at.select("run", F.explode(F.transform(fits, lambda k: F.substring(F.col("run"), F.col("i"), k))).alias("word")).distinct()
+    held = spread_join(parts, counts, ["word"], ["run"]).groupBy("run").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("run", "known", "n")), strict=True)
+            found = [split_run(run, dict(zip(known or [], n or [], strict=True)), total) for run, known, n in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(found, pa.list_(pa.string()))], ["run", "words"])
+
+    return runs.join(held, "run", "left").mapInArrow(split, "run string, words array<string>")
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``host``, ``words``: the distinct hosts (column ``host``), their runs of letters split and the other runs as they are."""
+    runs = cut(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(RUNS), F.lit(1))).alias("pos", "run")))
+    splits = cut(split_runs(runs.filter("run rlike '^[a-z]'").select("run").distinct(), counts))
+    every = spread_join(runs, splits, ["run"], ["host", "pos"], "left").select("host", "pos", F.coalesce("words", F.array("run")).alias("words"))
+    found = every.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("w"))
+    return hosts.join(found, "host", "left").select("host", F.coalesce(F.flatten(F.transform("w", lambda x: x["words"])), F.array().cast("array<string>")).alias("words"))
+
+
+def token_counts(learnt: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``token``, ``allow``, ``block``: how often the urls of ``learnt(host, path, decided)`` have each token; ``hosts(host, words)``.
+
+    Urls of one host, or one path, and verdict are counted before their tokens are told apart.
+    """
+    of_host = learnt.groupBy("host", "decided").agg(F.count("*").alias("n")).join(hosts, "host").select("decided", "n", F.explode("words").alias("t"), F.lit("h ").alias("kind"))
+    of_path = learnt.groupBy("path", "decided").agg(F.count("*").alias("n")).select("decided", "n", F.explode(path_tokens(F.col("path"))).alias("t"), F.lit("p ").alias("kind"))
+    urls = lambda verdict: F.sum(F.when(F.col("decided") == verdict, F.col("n")).otherwise(0)).alias(verdict)
+    return of_host.unionByName(of_path).groupBy(F.concat("kind", "t").alias("token")).agg(urls("allow"), urls("block"))
+
+
+def path_tokens(path: Column) -> Column:
+    return F.regexp_extract_all(F.translate(path, UPPER, LOWER), F.lit(TOKENS), F.lit(1))
+
+
+def judge(pages: DataFrame, text: str = "html", rules=RULES) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` (of block, 0 to 1), ``host_words``.
 
-    Counts cover all pages; only the model's vocabulary and its hash buckets have a fixed size. Every url is judged, null and
-    malformed ones too: they have no token and get the prior's verdict. Without any url that a rule decides the verdict is
-    ``allow``; an empty table gives no rows; repeated rows are judged each.
+    Counts cover all pages. Every url is judged, null and malformed ones too: they have no token and get the prior's verdict. A
+    token that no decided url has says nothing. Without any url that a rule decides the verdict is ``allow``; an empty table
+    gives no rows; repeated rows are judged each. Other columns of ``pages`` aren't read. Log-odds are added as decimals of 12
+    places, so their order doesn't matter. Hosts, paths and tokens that very many urls share are split among tasks.
     """
     host, path = parse_url(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumn("rule", rule).withColumn("decided", decided)
-    context = pages.sparkSession.sparkContext
-    words = context.broadcast(unigrams(pages, text, vocabulary))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, seen = Segmenter(words.value), np.zeros((buckets + 1, 2), dtype=np.int64)  # the last: urls
-        for batch in batches:
-            for h, p, block in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "block")), strict=True):
-                seen[buckets, block] += 1
-                for t in tokens(segmenter, h, p):
-                    seen[bucket(t, buckets), block] += 1
-        some = np.flatnonzero(seen.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"bucket": some, "allow": seen[some, 0], "block": seen[some, 1]})
-
-    learnt = parsed.filter("decided is not null").select("host", "path", (F.col("decided") == "block").cast("int").alias("block"))
-    sums = learnt.mapInArrow(count, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow"), F.sum("block")).collect()
-    counts = np.zeros((buckets + 1, 2))
-    for b, allow, block in sums:
-        counts[b] = allow, block
-    model = context.broadcast(log_odds(counts[:buckets], tuple(int(x) for x in counts[buckets])))
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, (prior, each) = Segmenter(words.value), model.value
-        for batch in batches:
-            split, scores = [], []
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = tokens(segmenter, h, p)
-                split.append(segmenter.host(h))
-                odds = prior + sum(each[bucket(t, buckets)] for t in found)
-                scores.append(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(split, pa.list_(pa.string()))], [*batch.schema.names, "score", "host_words"])
-
-    out = parsed.mapInArrow(scored, f"page_id {kind}, host string, path string, rule string, decided string, score double, host_words array<string>")
-    by_score = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("decided", by_score).alias("verdict"), "score", "host_words")
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = cut(parsed.withColumn("rule", rule).withColumn("decided", decided))
+    hosts = cut(host_words(parsed.select("host").distinct(), cut(unigrams(pages, text))))
+    learnt = parsed.filter("decided is not null")
+    tokens = cut(token_counts(learnt, hosts))
+    vocabulary, allow, block = tokens.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    n_block, n = learnt.agg(F.count_if(F.col("decided") == "block"), F.count("*")).first()
+    prior = log((n_block + 1) / (n - n_block + 1))
+    share = lambda c, all_: F.log((F.col(c) + ALPHA) / (all_ + ALPHA * max(vocabulary, 1)))
+    odds = cut(tokens.select("token", (share("block", block) - share("allow", allow)).cast("decimal(20,12)").alias("odds")))
+    summed = lambda held, key: spread_join(held, odds, ["token"], [key]).groupBy(key).agg(F.sum("odds").alias(f"{key}_odds"))
+    of_host = hosts.join(summed(hosts.select("host", F.explode("words").alias("w")).select("host", F.concat(F.lit("h "), "w").alias("token")), "host"), "host", "left")
+    paths = parsed.select("path").distinct().select("path", F.explode(path_tokens(F.col("path"))).alias("w")).select("path", F.concat(F.lit("p "), "w").alias("token"))
+    out = spread_join(parsed, cut(of_host), ["host"], ["page_id", "path"], "left")
+    out = spread_join(out, cut(summed(paths, "path")), ["path"], ["page_id", "host"], "left")
+    total = F.coalesce(F.col("host_odds"), F.lit(0)) + F.coalesce(F.col("path_odds"), F.lit(0))
+    score = 1 / (1 + F.exp(-(F.lit(prior) + total.cast("double"))))
+    by_score = F.when(score > 0.5, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("decided", by_score).alias("verdict"), score.alias("score"), F.col("words").alias("host_words"))
 
 
 def op3_host_words_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`judge` of all ``pages``; null and malformed urls get the prior's verdict, repeated rows one each."""
     return judge(table(spark, sf_dir, "pages"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, small, table
+from .common import cut, few, hot_keys, new_path, small, spread_join, table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -132,7 +132,9 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", segment_b
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
     again = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    marked = rows.join(small(again.select(F.col("digest").alias("same"), "first")), (F.col("digest") == F.col("same")) & (F.octet_length("payload") >= LEAST_REVISIT), "left")
+    again = cut(again)
+    first = again.select("digest", "first")
+    marked = spread_join(rows, first, ["digest"], ["page_id", "url"], "left", None if few(first) else hot_keys(again, ["digest"]))  # no shorter payload has such a digest
     marked = marked.select("page_id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"), F.monotonically_increasing_id().alias("row"))
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +355,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def op1_segmented_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written to archives in the shared folder and read back: a row per page, null html as an empty payload, repeated rows each."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     records = cut(read_archives(spark, path, payload=False).drop("payload"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, small, table, words
+from .common import cut, few, small, spread_join, table, unused, words
 
 K, WINDOW = 5, 6
 #: The place of a hash in its text takes the lower bits of a packed value, the hash the 32 above.
@@ -66,35 +66,23 @@ def _item_prints(benchmark: DataFrame, span: int, item_text: str, k: int, window
     return cut(prints), short
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", item_text: str = "text", k: int = K, window: int = WINDOW, set_hashes: int = SET_HASHES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: ``doc_id``, ``d1`` and ``d2`` (hashes of its text), ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings), ``hits``.
-
-    A hit word lies inside ``span`` consecutive words that some item holds too, or inside the whole of an item of fewer words.
-    ``hits``: (item_id, shift, start, length) of stretches that document and item share, in words, each extended around a hash
-    as far as a shared window with that hash can reach; ``shift`` is the start in the document less that in the item, and those
-    of one item and shift that touch are parts of one shared passage. ``k + window - 1`` is at most ``span``, so no window is
-    missed; shorter items are looked up by all their words.
-
-    Where the items' hashes are counted to be few, the documents are read once and each is filtered by the set of hashes where
-    it is read: a document sends one row, and one of ``2 * span - k`` words for each hash that an item has too. Beyond that, the
-    hashes are joined (items broadcast if few, else by an exchange) and documents with a hash in common are read again.
-    Null and empty texts have no words and no hits, items without words match nothing, an item without id marks words but has no
-    place among the ids, an empty benchmark leaves every document clean; repeated rows give a row each, and rows that share a doc_id but not a text are told apart.
-    """
+def _met(docs: DataFrame, benchmark: DataFrame, span: int, text: str, item_text: str, k: int, window: int, set_hashes: int, broadcast_rows: int | None) -> DataFrame:
+    """``doc_id``, ``d1``, ``d2``, ``n_words``, ``item_id``, ``shift``, ``start``, ``length``: a row without an item for each document, and one for each hash that it shares with an item."""
     if k + window - 1 > span:
         raise ValueError("k + window - 1 must not be more than span")
     prints, short = _item_prints(benchmark, span, item_text, k, window)
-    n_prints = prints.count()
+    near = few(prints, broadcast_rows)
     body = F.col(text)
     rows = docs.select("doc_id", F.xxhash64(body, F.lit(1)).alias("d1"), F.xxhash64(body, F.lit(2)).alias("d2"), words(body).alias("w")).withColumn("g", F.expr(_packed(k)))
     key = ["doc_id", "d1", "d2"]
     kinds = [(0, _winnowed(k, window)), *((n, _packed(n)) for n in short)]
     around = lambda kind, p: _around(kind, p, "w", span - k, span)
     none = "struct(-1 as kind, cast(0 as bigint) as p, 0 as begin, cast(array() as array<string>) as s)"  # every document has this one
-    if n_prints <= set_hashes:
+    items = prints.select(F.col("item_hash").alias("hash"), F.col("item_kind").alias("kind")).distinct()
+    if near and items.count() <= set_hashes:
         held: dict[int, list[int]] = {}
-        for r in prints.select("item_kind", "item_hash").distinct().collect():
-            held.setdefault(r["item_kind"], []).append(r["item_hash"])
+        for r in items.collect():  # at most set_hashes
+            held.setdefault(r["kind"], []).append(r["hash"])
         for i, (kind, kept) in enumerate(kinds):
             listed = ", ".join(f"{h}L" for h in sorted(held.get(kind, [])))
             rows = rows.withColumn(f"f{i}", F.expr(f"filter({kept}, p -> shiftright(p, {PLACE_BITS}) IN ({listed}))" if listed else "cast(array() as array<bigint>)"))
@@ -102,16 +90,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
         flat = rows.select(*key, F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array({none}), {found})")).alias("f"))
     else:
         parts = ", ".join(f"transform({kept}, p -> struct({kind} as kind, p as p))" for kind, kept in kinds)
-        all_hashes = rows.select(*key, F.explode(F.expr(f"concat({parts})")).alias("f")).select(*key, "f.kind", "f.p").withColumn("hash", _hash("p"))
-        items = prints.select("item_hash", "item_kind").distinct()
-        common = all_hashes.join(F.broadcast(items) if n_prints <= broadcast_rows else items, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left_semi")
-        common = cut(common.groupBy(*key).agg(F.collect_set(F.struct("kind", "p")).alias("f")))
-        named = small(common.select(*[F.col(c).alias(f"__{c}") for c in key], "f"))
-        flat = rows.join(named, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
+        hashes = rows.select(*key, F.explode(F.expr(f"concat({parts})")).alias("f")).select(*key, "f.kind", "f.p").withColumn("hash", _hash("p"))
+        common = hashes.join(F.broadcast(items), ["hash", "kind"], "left_semi") if near else spread_join(hashes, items, ["hash", "kind"], [*key, "p"], "left_semi")
+        common = cut(common.groupBy(*key).agg(F.collect_set(F.struct("kind", "p")).alias("f")))  # no more than a document's own hashes
+        named = small(common.select(*[F.col(c).alias(f"c_{c}") for c in key], "f"), broadcast_rows)
+        flat = rows.join(named, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("d1") == F.col("c_d1")) & (F.col("d2") == F.col("c_d2")), "left")
         found = f"coalesce(transform(f, x -> {around('x.kind', 'x.p')}), cast(array() as array<struct<kind: int, p: bigint, begin: int, s: array<string>>>))"
         flat = flat.select(*key, F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array({none}), {found})")).alias("f"))
     flat = flat.select(*key, "n_words", "f.kind", "f.p", "f.begin", "f.s").withColumn("hash", _hash("p"))
-    met = flat.join(F.broadcast(prints) if n_prints <= broadcast_rows else prints, (F.col("hash") == F.col("item_hash")) & (F.col("kind") == F.col("item_kind")), "left").filter("kind = -1 or item_s is not null")
+    theirs = prints.withColumnsRenamed({"item_hash": "hash", "item_kind": "kind"})
+    if near:
+        met = flat.join(F.broadcast(theirs), ["hash", "kind"], "left").filter("kind = -1 or item_s is not null")
+    else:
+        flat = cut(flat)  # a row for each document, and one for each hash that is an item's too
+        met = spread_join(flat.filter("kind >= 0"), theirs, ["hash", "kind"], [*key, "p"])
+        met = met.unionByName(flat.filter("kind = -1"), allowMissingColumns=True)
     met = met.withColumn("place", _place("p")).withColumn("shift", F.col("place") - F.col("item_place"))
     # the stretch around the hash where document and item agree
     stretch = F.expr(
@@ -120,22 +113,57 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
           'last', coalesce(array_min(filter(sequence(place, least(begin + size(s), item_begin + size(item_s) + shift) - 1), i -> s[i - begin] <> item_s[i - shift - item_begin])), least(begin + size(s), item_begin + size(item_s) + shift)) - 1) END"""
     )
     met = met.withColumn("t", stretch).filter(f"kind = -1 or t.last - t.first + 1 >= CASE WHEN kind = 0 THEN {span} ELSE kind END")
-    hit = F.when(F.col("kind") >= 0, F.struct("item_id", "shift", F.col("t.first").alias("start"), (F.col("t.last") - F.col("t.first") + 1).alias("length")))
-    one = met.select(*key, "n_words", "kind", hit.alias("hit")).groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count_if(F.col("kind") == -1).alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"))
+    return met.select(*key, "n_words", "kind", "item_id", "shift", F.col("t.first").alias("start"), (F.col("t.last") - F.col("t.first") + 1).alias("length"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", item_text: str = "text", k: int = K, window: int = WINDOW, set_hashes: int = SET_HASHES, broadcast_rows: int | None = None) -> DataFrame:
+    """One row per document: ``doc_id``, ``d1`` and ``d2`` (hashes of its text), ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings).
+
+    A hit word lies inside ``span`` consecutive words that some item holds too, or inside the whole of an item of fewer words;
+    :func:`shared_stretches` says where. ``k + window - 1`` is at most ``span``, so no window is missed; shorter items are looked up
+    by all their words.
+
+    Where the items' hashes are counted to be few, the documents are read once and each is filtered by the set of hashes where
+    it is read: a document sends one row, and one of ``2 * span - k`` words for each hash that an item has too. Beyond that, the
+    hashes are joined (items broadcast if few, else by an exchange that splits frequent hashes) and documents with a hash in
+    common are read again. What is kept of a document are its distinct stretches, which its own length bounds, and its items' ids.
+    Null and empty texts have no words and no hits, items without words match nothing, an item without id marks words but has no
+    place among the ids, an empty benchmark leaves every document clean; repeated rows give a row each, and rows that share a doc_id
+    but not a text are told apart. Other columns of ``docs`` aren't read.
+    """
+    met = _met(docs, benchmark, span, text, item_text, k, window, set_hashes, broadcast_rows)
+    key = ["doc_id", "d1", "d2"]
+    hit = F.when(F.col("kind") >= 0, F.struct("start", "length"))
+    one = met.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count_if(F.col("kind") == -1).alias("copies"), F.collect_set(hit).alias("hits"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda s: s["item_id"].cast("string")))))
-    return one.select("doc_id", "d1", "d2", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "n_words", hit_words.cast("long").alias("n_hit"), ids.alias("item_ids"), "hits").drop("copy")
+    return one.select(*key, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "n_words", hit_words.cast("long").alias("n_hit"), F.array_sort("ids").alias("item_ids")).drop("copy")
+
+
+def shared_stretches(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", item_text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
+    """One row per stretch of words that a document and an item share: ``doc_id``, ``d1``, ``d2``, ``item_id``, ``shift``, ``start``, ``length``.
+
+    Each is extended around a hash as far as a shared window with that hash can reach; ``shift`` is the start in the document less
+    that in the item, and stretches of one item and shift that touch are parts of one shared passage. Documents without any have no
+    row; what :func:`contamination` says of nulls and short items holds.
+    """
+    met = _met(docs, benchmark, span, text, item_text, k, window, SET_HASHES, None)
+    return met.filter("kind >= 0").drop("kind", "n_words").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that have no hit."""
-    found = contamination(docs, benchmark, text=text).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"))
+    """The rows of ``docs`` that have no hit, with all their columns and whatever their names.
+
+    Null and empty texts stay; of rows that share a doc_id, of whatever type, each goes or stays by its own text.
+    """
+    id_, d1, d2 = unused(docs.columns, "id", "d1", "d2")
+    found = contamination(docs, benchmark, text=text).filter("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("d1").alias(d1), F.col("d2").alias(d2))
     gone = small(cut(found.distinct()))
-    body = F.col(text)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(body, F.lit(1)) == F.col("__d1")) & (F.xxhash64(body, F.lit(2)) == F.col("__d2")), "left_anti")
+    body = docs[text]
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(body, F.lit(1)) == F.col(d1)) & (F.xxhash64(body, F.lit(2)) == F.col(d2)), "left_anti")
 
 
 def op4_winnowing_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`contamination` of all ``documents`` by all ``benchmark`` items, its ids as a count and a digest; nulls and repeated rows as there."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkarch.llm import bottomk, fingerprints
+from sparkarch.llm import bottomk, common, fingerprints
 
 ODD = [(900, None), (901, ""), (902, " \n"), (None, "only null id"), (None, "two"), (903, "two"), (904, "same row"), (904, "same row"), (905, "one id"), (905, "two texts")]
 
@@ -136,6 +136,47 @@ def test_near_groups_of_pairs_that_rank_fourth(spark, docs_of):
     assert got["component_id"].nunique() == 12
 
 
+def listed_alone(rank, n=15):
+    """A text of n words and parts of it of similarity 0.8 or more; one part lacks the three words of least hash, three the word of that rank and another."""
+    r = random.Random(rank * 1000 + n)
+    words = [f"x{rank}y{r.randrange(10**9)}" for _ in range(n)]
+    by_hash = sorted(words, key=lambda w: int(bottomk.shingle_set(w, 1)[0]))
+    less = lambda gone: " ".join(w for w in words if w not in gone)
+    return [" ".join(words), *[less({by_hash[3], by_hash[4 + k]}) for k in range(3)], less(set(by_hash[:3]))]
+
+
+def test_near_groups_of_words_listed_alone(spark, docs_of):
+    rows = list(enumerate(t for rank in range(200) for t in listed_alone(rank)))
+    got = bottomk.near_groups(docs_of(rows), size=1).toPandas()
+    want = {i: c for i, _, c in near_brute(rows[:5], 1)}
+    assert set(want.values()) == {0}
+    assert (got["component_id"] == got["doc_id"] // 5 * 5).all()
+
+
+def crowd(seed):
+    """Many copies of one text, many near copies of another, and texts that share most of their words with none of those."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(80)]
+    rows = ["same text over and over"] * 60 + [" ".join(x if r.random() >= 0.02 else f"v{r.randrange(9999)}" for x in base) for _ in range(60)]
+    rows += [" ".join(base[:50] + [f"u{r.randrange(9999)}" for _ in range(r.randrange(10, 60))]) for _ in range(60)]
+    return list(enumerate(rows)) + ODD
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_groups_where_nothing_is_broadcast_and_every_key_is_hot(spark, docs_of, monkeypatch, block):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(bottomk.with_alike, "__defaults__", (block,))
+    rows = crowd(1)
+    n = lambda x: None if x != x or x is None else int(x)
+    got = bottomk.near_groups(docs_of(rows), size=2, short_list=4).toPandas()
+    assert sorted(((n(r.doc_id), r.n_shingles, n(r.component_id)) for r in got.itertuples()), key=str) == near_brute(rows, 2)
+    got = fingerprints.exact_groups(docs_of(rows), primes=(7, 5)).toPandas()
+    assert sorted(((n(r.doc_id), n(r.keep_id), r.group_size, r.text_sha256) for r in got.itertuples()), key=str) == exact_brute(rows)
+    kept = fingerprints.exact_dedup(docs_of(rows))
+    assert sorted((r["text"] or "") for r in kept.collect()) == sorted({t or "" for _, t in rows})
+
+
 def test_near_dedup_and_no_rows(spark, docs_of):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "z"), (4, None)]
     kept = bottomk.near_dedup(docs_of(rows))

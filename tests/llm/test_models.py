@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 from math import log
 
 import duckdb
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from sparkarch.llm import bottomk, fingerprints, packing, quality, queries, urls, winnow
+from sparkarch.llm import bottomk, common, fingerprints, packing, quality, queries, urls, winnow
 
 # Quality
 
@@ -61,12 +62,43 @@ def test_held_out_labels_do_not_matter(spark, docs_of):
 
 def test_classifier_without_labels_or_with_one_kind(spark, docs_of):
     _, docs, labels = corpus(spark, docs_of, 40)
-    assert set(quality.score(docs, quality.fit(docs, labels.limit(0))).toPandas()["score"]) == {0.5}
-    ones = quality.score(docs, quality.fit(docs, labels.filter("quality = 1"))).toPandas()["score"]
+    assert set(quality.score(docs, quality.fit(docs, labels.limit(0))).toPandas()["score_"]) == {0.5}
+    ones = quality.score(docs, quality.fit(docs, labels.filter("quality = 1"))).toPandas()["score_"]
     assert (ones > 0.99).all()
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_normal_equations_and_features_against_a_dense_solve(spark, docs_of):
+    """The weights are those of ridge regression on the Fourier features, worked out here from all rows at once."""
+    rows, docs, labels = corpus(spark, docs_of, 200)
+    model = quality.fit(docs, labels, waves=32)
+    text = {i: min((t for k, t in rows + [(3, rows[3][1])] if k == i), key=quality.stats) for i, _ in rows}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None}
+    ids = [i for i in sorted(known) if i in text and zlib.crc32(str(i).encode()) % 4 != 2]
+    part = {r["doc_id"]: r["c"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 4) = 0 as c").collect()}
+    x = np.array([quality.stats(text[i]) for i in ids])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) < 1e-9, 1.0, x.std(axis=0)))
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    phi = np.hstack([np.sqrt(2 / 32) * np.cos(z @ model.weights + model.phases), np.ones((len(x), 1))])
+    fit = np.array([not part[i] for i in ids])
+    a, y = phi[fit].T @ phi[fit], np.array([known[i] for i in ids], dtype=float)
+    want = np.linalg.solve(a + 1e-3 * np.trace(a) / 33 * np.eye(33), phi[fit].T @ y[fit])
+    assert np.allclose(model.ridge, want) and np.allclose(model.raw(x), phi @ want)
+    kx, ky = quality.isotonic(phi[~fit] @ want, y[~fit])
+    assert np.allclose(model.knots_y, ky) and np.allclose(model.knots_x, kx)
+
+
+def test_features_approximate_the_gaussian_kernel():
+    r = np.random.default_rng(5)
+    n, width = 20_000, 1.5
+    w = r.normal(size=(quality.N_STATS, n)) / (width * np.sqrt(quality.N_STATS))
+    model = quality.Model(np.zeros(quality.N_STATS), np.ones(quality.N_STATS), w, r.uniform(0, 2 * np.pi, n), np.zeros(0), np.zeros(1), np.zeros(1))
+    x = r.normal(size=(6, quality.N_STATS))
+    f = model.features(x)[:, :-1]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert np.abs(f @ f.T - np.exp(-d / (2 * width**2 * quality.N_STATS))).max() < 0.04
+
+
 def test_classifier_on_the_tables(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.op8_fourier_quality(spark, folder).toPandas()
@@ -79,7 +111,11 @@ def test_classifier_on_the_tables(spark):
 # URLs
 
 
-def segment_brute(run, seg):
+def cost_of(parts, known, total):
+    return sum(log(known[p] / total) if p in known else log(10 / total) - len(p) * log(10) for p in parts)
+
+
+def segment_brute(run, known, total):
     best = None
     for cut in range(1 << (len(run) - 1)):
         parts, at = [], 0
@@ -87,21 +123,21 @@ def segment_brute(run, seg):
             if i == len(run) or cut >> (i - 1) & 1:
                 parts.append(run[at:i])
                 at = i
-        cost = sum(seg.known.get(p, seg.new[len(p)]) for p in parts)
-        if best is None or cost > best[0] + 1e-12:
-            best = cost, parts
+        best = max(cost_of(parts, known, total), best if best is not None else float("-inf"))
     return best
 
 
-def test_segmentation_is_the_most_probable(spark):
-    seg = urls.Segmenter({"news": 50, "paper": 30, "new": 20, "spa": 3, "per": 9, "a": 100, "s": 5})
-    assert seg.split("newspaper") == ["news", "paper"]
-    for run in ("newspaper", "anews", "spaper", "zzz", "a", "papernewsa", "xnewsx"):
-        got = seg.split(run)
+def test_segmentation_is_the_most_probable():
+    known = {"news": 50, "paper": 30, "new": 20, "spa": 3, "per": 9, "a": 100, "s": 5, "internationalisations": 2, "q": 1}
+    total = sum(known.values())
+    assert urls.split_run("newspaper", known, total) == ["news", "paper"]
+    assert urls.split_run("xxxinternationalisationsyyy", known, total) == ["xxx", "internationalisations", "yyy"]  # no limit of letters
+    r = random.Random(1)
+    for run in ["newspaper", "anews", "spaper", "zzz", "a", "papernewsa", "xnewsx", *("".join(r.choice(["news", "a", "z", "per", "q"]) for _ in range(4))[:11] for _ in range(40))]:
+        got = urls.split_run(run, known, total)
         assert "".join(got) == run
-        assert abs(sum(seg.known.get(p, seg.new[len(p)]) for p in got) - segment_brute(run, seg)[0]) < 1e-9
-    assert seg.host("my-news2paper.examplé.com")[0] == "m" or "".join(seg.host("ab.c")) == "abc"
-    assert "".join(seg.split("q" * 100)) == "q" * 100
+        assert abs(cost_of(got, known, total) - segment_brute(run, known, total)) < 1e-9
+    assert urls.split_run("q" * 3000, {}, 0) == ["q" * 3000]
 
 
 URLS = ["http://a.net", "http://a.net/", "http://x.a.NET/p", "http://anet/", "http://example.net/en/x", "http://w.example.net/en/", "http://example.net/enx", "http://example.com/de/1", "http://badexample.com/de/1", "http://q.org/fr/z?x=/en/", "ftp://q.org/fr", "http://h?x", "http://h#y", "no url", None, "", "http://", "://HÉ/É", "http://a.net/x\ny"]
@@ -119,38 +155,62 @@ def rule_brute(url):
     return host, path, *(max(fit)[1:] if fit else (None, None))
 
 
-def test_judge(spark):
-    rows = [(i, u, f"<p class='zzz'>The news paper {i}</p>" if i % 3 else None, "x") for i, u in enumerate(URLS * 3)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, score string")
-    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
-    decided = [(rule_brute(u)) for u in URLS * 3]
-    counts = urls.unigrams(pages)
-    seg = urls.Segmenter(counts)
-    assert counts["news"] == counts["paper"] == sum(bool(i % 3) for i in range(len(rows))) and "class" not in counts
-    tally = np.zeros((urls.BUCKETS, 2))
-    n = [0, 0]
-    for host, path, _, v in decided:
+def page_rows():
+    extra = ["http://newspaperinternationalisations-zzz1.org/fr/a", "http://newspaper.net/x", "http://newspaper.com/fr/a", "http://a/" + "É" * 30 + "/b_c", "http://" + "spam" * 60 + ".com/de/x", "http://..--/"]
+    return [(i, u, f"<p class='zzz'>The news paper {i} internationalisations</p>" if i % 3 else None, "x") for i, u in enumerate((URLS + extra) * 3)]
+
+
+def judge_brute(rows):
+    counts = Counter(w for _, _, h, _ in rows for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", (h or "").lower())))
+    total = sum(counts.values())
+    lower = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+
+    def words(host):
+        out = []
+        for run in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9.\-_]+", host):
+            known = {w: n for w, n in counts.items() if w in run}
+            out += urls.split_run(run, known, total) if re.match("[a-z]", run) else [run]
+        return out
+
+    def tokens(host, path):
+        return ["h " + w for w in words(host)] + ["p " + t for t in re.findall(r"[a-z0-9]+|[^\x00-\x7f]+", lower(path))]
+
+    seen, n = {"allow": Counter(), "block": Counter()}, Counter()
+    judged = [(i, *rule_brute(u)) for i, u, _, _ in rows]
+    for _, host, path, _, v in judged:
         if v:
-            n[v == "block"] += 1
-            for t in urls.tokens(seg, host, path):
-                tally[urls.bucket(t), int(v == "block")] += 1
-    prior, each = urls.log_odds(tally, tuple(n))
-    assert abs(prior - log((n[1] + 1) / (n[0] + 1))) < 1e-12
-    for i, (host, path, rule, verdict) in enumerate(decided):
-        odds = prior + sum(each[urls.bucket(t)] for t in urls.tokens(seg, host, path))
-        r = got[i]
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == (verdict or ("block" if odds > 0 else "allow")) and abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-9
-    empty = urls.judge(pages.limit(0))
-    assert empty.count() == 0
+            n[v] += 1
+            seen[v].update(tokens(host, path))
+    every = set(seen["allow"]) | set(seen["block"])
+    share = lambda v, t: log((seen[v][t] + urls.ALPHA) / (seen[v].total() + urls.ALPHA * len(every)))
+    prior = log((n["block"] + 1) / (n["allow"] + 1))
+    out = {}
+    for i, host, path, rule, v in judged:
+        odds = prior + sum(share("block", t) - share("allow", t) for t in tokens(host, path) if t in every)
+        out[i] = (host, path, rule, v or ("block" if odds > 0 else "allow"), 1 / (1 + np.exp(-odds)), words(host))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 0, "HOT_ROWS": 2}])
+def test_judge(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(common, k, v)
+    rows = page_rows()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, score string")
+    got, want = urls.judge(pages).collect(), judge_brute(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, rule, verdict, score, words = want[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["verdict"], r["host_words"]) == (host, path, rule, verdict, words) and abs(r["score"] - score) < 1e-9
+    assert urls.judge(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in urls.judge(pages.filter("url is null")).collect()} == {"allow"}
 
 
-def test_vocabulary_is_bounded(spark):
-    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
-    pages = spark.createDataFrame([(i, "u", " ".join(words[: i + 1])) for i in range(100)], "page_id long, url string, html string")
-    counts = urls.unigrams(pages, size=30)
-    assert 10 <= len(counts) <= 30 and counts["ak"] == 100 and min(counts.values()) > 50
+def test_judge_on_the_tables(spark, small):
+    rows = [(i, u, h, None) for i, u, h in duckdb.execute(f"SELECT page_id, url, html FROM '{small}/pages.parquet'").fetchall()]
+    want = judge_brute(rows)
+    for r in urls.op3_host_words_bayes(spark, small).collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"], r["host_words"]) == (*want[r["page_id"]][:4], want[r["page_id"]][5])
 
 
 # Pipeline and queries

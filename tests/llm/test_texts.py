@@ -3,6 +3,8 @@
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from math import ceil
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkarch.llm import feistel, licenses, packing, tokens, winnow
+from sparkarch.llm import common, feistel, licenses, packing, tokens, winnow
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "É GNU é"), (None, "mit license"), (904, "MIT License"), (904, "MIT License"), (905, "Kernel mit license İ ẞ")]
@@ -52,6 +54,12 @@ def test_license_scan(spark, docs_of):
     assert licenses.scan(docs_of([])).count() == 0
 
 
+def test_rarest_words_of_a_key_phrase():
+    t = next(t for t in licenses.templates() if t["label"] == "mpl")
+    rarity = {w: 1 for w in t["words"]} | {"mozilla": 9, "license": 3}
+    assert licenses.rarest(t, rarity) == [("mozilla", t["key_at"]), ("license", t["key_at"] + 2), ("public", t["key_at"] + 1)]
+
+
 def test_license_query(spark, small):
     rows = duckdb.execute(f"SELECT doc_id, text FROM '{small}/documents.parquet'").fetchall()
     want = {i: (n, [m for m in ms if m[2]]) for i, n, ms in scan_brute(rows)}
@@ -97,9 +105,10 @@ def corpus(seed):
     return [*docs, *ODD, (300, "x null item has these NINE words in a row OK"), (301, docs[1][1]), (301, docs[3][1])], items
 
 
-@pytest.mark.parametrize("how", [{}, {"set_hashes": 0}, {"set_hashes": 0, "broadcast_rows": 0}])
+@pytest.mark.parametrize("how", [{}, {"set_hashes": 0}, {"broadcast_rows": 0}])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_contamination(spark, docs_of, seed, how):
+def test_contamination(spark, docs_of, monkeypatch, seed, how):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     docs, items = corpus(seed)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in winnow.contamination(docs_of(docs), bench, **how).collect()]
@@ -107,6 +116,20 @@ def test_contamination(spark, docs_of, seed, how):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_shared_stretches(spark, docs_of):
+    docs, items = corpus(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held, theirs = {}, {i: words(t) for i, t in items}
+    for i, t in docs:
+        held.setdefault(i, []).append(words(t))
+    hit = Counter()
+    for r in winnow.shared_stretches(docs_of(docs), bench).collect():
+        own = theirs[r["item_id"]][r["start"] - r["shift"] :][: r["length"]]
+        assert len(own) == r["length"] and any(w[r["start"] :][: r["length"]] == own for w in held[r["doc_id"]])
+        hit[r["doc_id"]] += 1
+    assert {i for i, n in hit.items() if n} == {i for i, _, h, _ in hits_brute(docs, items) if h}
+
+
 def test_contamination_of_nothing(spark, docs_of):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in winnow.contamination(docs_of(ODD), bench).collect()} == {0}
@@ -170,9 +193,26 @@ def test_length_histogram(spark, docs_of, spec):
         assert r["tokens_kept"] == sum(min(m, r["context_limit"]) * k for m, k in want.items())
     every = sorted(lengths(rows, spec))
     assert tokens.quantile(found, 0.5).first()["length"] == every[(len(every) + 1) // 2 - 1]
+    for q in (0, "0.1", 0.25, 0.99, 1):
+        assert tokens.quantile(found, q).first()["length"] == every[max(ceil(len(every) * Fraction(str(q))), 1) - 1]
     assert tokens.length_histogram(docs_of([])).count() == 0
 
 
+def test_quantiles_of_very_many_documents(spark):
+    n = 10**15
+    found = spark.createDataFrame([(1, n // 2, n - n // 2), (2, n - 1, 1), (3, n, 0)], "length long, docs_at_most long, docs_over long")
+    assert [tokens.quantile(found, q).first()["length"] for q in ("0.5", "0.500000000000001", "0.999999999999999", 1)] == [1, 2, 2, 3]
+
+
+def test_other_tokenizers_are_refused(spec):
+    import json
+
+    other = json.loads(spec)
+    other["model"]["end_of_word_suffix"] = ""
+    with pytest.raises(ValueError):
+        tokens.WordEncoder(json.dumps(other))
+
+
 # Packing
 
 
