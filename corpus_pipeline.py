@@ -30,27 +30,32 @@ def _small_steps(spark: SparkSession) -> None:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.7 for quality, with all their columns. Null and empty texts are scored as empty ones; repeated rows share their fate; no rows give no rows."""
     _small_steps(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that with the largest doc_id (null loses; null and empty texts count as one), with all its columns."""
     _small_steps(spark)
     return fingerprints.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest doc_id, with all its columns; texts without words all stay."""
     _small_steps(spark)
     return bottomk.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no ten words in a row, nor a whole shorter item, with the benchmark, with all their columns; null and empty texts stay."""
     _small_steps(spark)
     return winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``; a null text is a piece of one id."""
     _small_steps(spark)
     return packing.pack(docs, cache_words=CACHE_WORDS, keep_words=False)
 
