@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Method names that are too common to guess by. Fixed values.
-COMMON_METHODS = ("append", "extend", "get", "items", "keys", "values", "join", "split", "strip", "format", "add", "update", "pop", "read", "write", "close", "open", "copy", "sort", "index", "count")
+from .prefixes import prefixes
+
+#: Names of methods that are too common to guess by. Fixed values.
+COMMON_METHODS = (
+    "visit", "get", "add", "update", "append", "extend", "insert", "pop", "remove", "clear", "copy", "items", "keys", "values",
+    "visit_FunctionDef", "visit_ClassDef", "visit_AsyncFunctionDef", "visit_Call", "visit_Import", "visit_Assign", "visit_Name", "visit_Attribute",
+)
 
 
 def leaf(name: Column) -> Column:
@@ -16,18 +21,19 @@ def leaf(name: Column) -> Column:
 def match_names(uses: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
     """``uses(module_id, name)`` with ``definer``, ``symbol`` and ``match``: confirmed, ambiguous or none.
 
-    A full name ``module.symbol`` is confirmed. A name that begins with one of the module's aliases is none of ours. A short
-    name that one symbol in all modules has is a guess, called ambiguous; common methods and names with two underscores aren't
-    guessed. ``symbols(module_id, symbol)``, ``aliases(module_id, alias)``.
+    A full name ``module.symbol`` is confirmed. A name that is, or begins with, one of the module's aliases (whole segments) is none
+    of ours. A short name that one symbol in all modules has is a guess, called ambiguous; common methods and names with two
+    underscores on both sides aren't guessed. ``symbols(module_id, symbol)``, ``aliases(module_id, alias)``.
     """
     known = symbols.select("module_id", "symbol").distinct()
     full = known.select(F.col("module_id").alias("definer"), "symbol", F.concat_ws(".", "module_id", "symbol").alias("name"))
     exact = uses.select("module_id", "name").distinct().join(full, "name", "left")
-    rooted = aliases.select("module_id", F.col("alias").alias("root")).distinct().withColumn("rooted", F.lit(True))
-    placed = exact.withColumn("root", F.substring_index("name", ".", 1)).withColumn("leaf", leaf(F.col("name"))).join(rooted, ["module_id", "root"], "left")
+    heads = uses.select("module_id", "name", F.explode(prefixes(F.col("name"))).alias("alias"))
+    rooted = heads.join(aliases.select("module_id", "alias"), ["module_id", "alias"], "left_semi").select("module_id", "name").distinct().withColumn("rooted", F.lit(True))
+    placed = exact.withColumn("leaf", leaf(F.col("name"))).join(rooted, ["module_id", "name"], "left")
     single = known.select(F.col("module_id").alias("d"), F.col("symbol").alias("s"), leaf(F.col("symbol")).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("k"), F.min(F.struct("d", "s")).alias("only")).filter("k = 1")
     out = placed.join(single, "leaf", "left")
-    guess = F.col("definer").isNull() & F.col("rooted").isNull() & F.col("only").isNotNull() & ~F.col("leaf").isin(*COMMON_METHODS) & ~F.col("leaf").startswith("__")
+    guess = F.col("definer").isNull() & F.col("rooted").isNull() & F.col("only").isNotNull() & ~F.col("leaf").isin(*COMMON_METHODS) & ~(F.col("leaf").startswith("__") & F.col("leaf").endswith("__"))
     kind = F.when(F.col("definer").isNotNull(), "confirmed").when(guess, "ambiguous").otherwise("none")
     pick = lambda a, b: F.coalesce(F.col(a), F.when(guess, F.col(b)))
     return out.select("module_id", "name", pick("definer", "only.d").alias("definer"), pick("symbol", "only.s").alias("symbol"), kind.alias("match"))

@@ -62,16 +62,19 @@ def representation(named: Any, indexed: Any, wish: str = "auto", least: int = 51
 
 
 class Project:
-    """Analyses of a source tree, stored as revisions below ``state_folder``."""
+    """Analyses of a source tree, stored as revisions below ``state_folder``.
 
-    def __init__(self, spark: SparkSession, root: str, state_folder: str, excludes: list[str] | None = None, layer_rules: list[tuple[str, str]] | None = None) -> None:
-        self.spark, self.root, self.excludes, self.rules = spark, root, excludes, layer_rules or []
+    The tree is the folder ``root``, or the table ``files(path, content)`` where one is given.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, state_folder: str, excludes: list[str] | None = None, layer_rules: list[tuple[str, str]] | None = None, files: DataFrame | None = None) -> None:
+        self.spark, self.root, self.excludes, self.rules, self._files = spark, root, excludes, layer_rules or [], files
         self.state = executor.State(spark, state_folder, root)
 
     # Tables
 
     def files(self) -> DataFrame:
-        return repo.scan(self.spark, self.root, self.excludes)
+        return repo.scan(self.spark, self.root, self.excludes) if self._files is None else self._files.filter(repo.keep_path(F.col("path"), self.excludes))
 
     def facts(self, family: str) -> DataFrame:
         return repo.family(self.state.read("facts"), family)
@@ -234,12 +237,10 @@ class Project:
 
     def search_source(self, needle: str, case_sensitive: bool = True, limit: int = MAX_ITEMS) -> dict[str, Any]:
         """Lines with the needle, each with the logical span it lies in; a span is listed once."""
-        from ..sources.parse import logical_span
-
         hits = search.search_source(self.texts(), needle, case_sensitive)
-        span = F.udf(lambda t, n, c: logical_span(t, n, c), "struct<first: int, last: int>")
-        placed = hits.join(self.texts(), "path").withColumn("s", span("text", "line_no", "column"))
-        per = placed.groupBy("path", F.col("s.first").alias("first"), F.col("s.last").alias("last")).agg(F.array_sort(F.collect_set("line_no")).alias("lines"), F.min_by(search.preview(F.col("line")), "line_no").alias("preview"))
+        asked = hits.groupBy("path").agg(F.collect_list("line_no").alias("lines"), F.collect_list("column").alias("columns"))
+        placed = hits.join(repo.logical_spans(self.texts().join(asked, "path")), ["path", "line_no", "column"])
+        per = placed.groupBy("path", "first", "last").agg(F.array_sort(F.collect_set("line_no")).alias("lines"), F.min_by(search.preview(F.col("line")), "line_no").alias("preview"))
         return collection(per, ["path", "first", "last"], limit)
 
     def search_artifacts(self, term: str, limit: int = MAX_ITEMS) -> dict[str, Any]:

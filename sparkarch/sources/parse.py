@@ -11,7 +11,7 @@ import hashlib
 import io
 import re
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 Fact = tuple[str, str, int, dict[str, str | None]]
 
@@ -19,9 +19,13 @@ Fact = tuple[str, str, int, dict[str, str | None]]
 EVENT_METHODS = ("bind", "subscribe", "on")
 CALLBACK_ARGUMENTS = ("command", "callback", "handler", "func", "on_click", "on_change", "on_submit")
 _SECTION = re.compile(r"^\s*#\s*={3,}\s*(.+?)\s*={3,}\s*$|^\s*#\s*={3,}\s*$")
-_IO_CALLS = {"open", "print", "input"}
-_IO_MODULES = {"os", "sys", "subprocess", "socket", "shutil", "requests", "urllib", "pathlib"}
-_MUTATORS = {"append", "extend", "insert", "remove", "pop", "clear", "update", "add", "discard", "setdefault", "sort", "reverse", "popitem"}
+#: Names that do input or output, called plainly or as a method; windows' names and modules. Fixed values.
+IO_CALLS = ("print", "open", "read", "write", "send", "recv", "input")
+UI_CALLS, UI_MODULES = ("Tk", "Toplevel", "StringVar"), ("tk", "ttk")
+#: Calls that name a symbol in a string, calls that take one to be written out, and decorators by what they expose to. Fixed values.
+REFLECTION = ("getattr", "hasattr", "setattr", "import_module")
+SERIALIZATION = ("dumps", "dump", "asdict")
+DECORATORS = {"cli_exposure": ("command", "group", "cli"), "api_exposure": ("get", "post", "route", "api", "app"), "registry": ("register", "register_handler", "subscribe", "receiver")}
 
 
 def decode(content: bytes) -> str:
@@ -127,8 +131,24 @@ def symbols(tree: ast.Module) -> Iterator[dict]:
                         yield {"symbol": x.id, "kind": "global", "signature": None, "body_fp": None, "line": node.lineno}
 
 
+def _segments(text: str) -> Callable[[ast.AST], str]:
+    """What gives the code of a node of the text's tree; the text is cut into lines once."""
+    rows = [x.encode() for x in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", text)]
+
+    def segment(node: ast.AST) -> str:
+        held = rows[node.lineno - 1 : node.end_lineno]
+        if not held:
+            return ""
+        held[-1] = held[-1][: node.end_col_offset]
+        held[0] = held[0][node.col_offset :]
+        return b"".join(held).decode()
+
+    return segment
+
+
 def collision_facts(tree: ast.Module, text: str) -> Iterator[dict]:
     """Public top-level classes, functions and constants with their code and place."""
+    segment = _segments(text)
     for node in tree.body:
         if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
             found = [(node.name, "class" if isinstance(node, ast.ClassDef) else "function")]
@@ -140,7 +160,7 @@ def collision_facts(tree: ast.Module, text: str) -> Iterator[dict]:
             continue
         for name, kind in found:
             if not name.startswith("_"):
-                yield {"name": name, "type": kind, "code": ast.get_source_segment(text, node) or "", "line_start": node.lineno, "line_end": node.end_lineno, "col_start": node.col_offset, "col_end": node.end_col_offset}
+                yield {"name": name, "type": kind, "code": segment(node), "line_start": node.lineno, "line_end": node.end_lineno, "col_start": node.col_offset, "col_end": node.end_col_offset}
 
 
 def usage_facts(tree: ast.Module) -> Iterator[tuple[str, str, str | None]]:
@@ -217,8 +237,8 @@ def api_surface(tree: ast.Module) -> Iterator[dict]:
                 yield from (row(m, f"{node.name}.") for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)))
 
 
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert, ast.match_case)
-_BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
+#: What adds a path through a function, and a level of nesting.
+_BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler)
 
 
 def _functions(tree: ast.Module) -> Iterator[tuple[str, ast.FunctionDef | ast.AsyncFunctionDef]]:
@@ -234,44 +254,49 @@ def _functions(tree: ast.Module) -> Iterator[tuple[str, ast.FunctionDef | ast.As
 
 
 def function_metrics(tree: ast.Module) -> Iterator[dict]:
-    """Cyclomatic complexity, deepest nesting, exceptions raised and caught, parameters never read, keys of returned dictionaries."""
+    """Cyclomatic complexity, deepest nesting, exceptions raised and caught by name, positional parameters never read, keys of returned dictionaries.
+
+    Branches, loops, handlers and each further operand of and/or count; what is inside a nested function counts for both.
+    """
 
     def depth(node: ast.AST, d: int = 0) -> int:
-        return max([d, *(depth(c, d + isinstance(c, _BLOCKS)) for c in ast.iter_child_nodes(node))])
+        return max([d, *(depth(c, d + isinstance(c, _BRANCHES)) for c in ast.iter_child_nodes(node))])
 
+    last = lambda n: n.id if isinstance(n, ast.Name) else n.attr if isinstance(n, ast.Attribute) else None
     for name, f in _functions(tree):
         nodes = list(ast.walk(f))
         complexity = 1 + sum(isinstance(n, _BRANCHES) for n in nodes) + sum(len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
-        raised = {dotted(n.exc.func if isinstance(n.exc, ast.Call) else n.exc) for n in nodes if isinstance(n, ast.Raise) and n.exc}
-        caught = {dotted(t) for n in nodes if isinstance(n, ast.ExceptHandler) and n.type for t in (n.type.elts if isinstance(n.type, ast.Tuple) else [n.type])}
-        args = [a.arg for a in (*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs)]
+        thrown = [n.exc.func if isinstance(n.exc, ast.Call) else n.exc for n in nodes if isinstance(n, ast.Raise)]
+        caught = {last(n.type) for n in nodes if isinstance(n, ast.ExceptHandler)}
         read_names = {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
-        keys = {k.value for n in nodes if isinstance(n, ast.Return) and isinstance(n.value, ast.Dict) for k in n.value.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)}
-        yield {"name": name, "line": f.lineno, "complexity": complexity, "nesting": depth(f), "raises": sorted(filter(None, raised)), "catches": sorted(filter(None, caught)), "unused": [a for a in args if a not in read_names and a not in ("self", "cls")], "returned_keys": sorted(keys)}
+        keys = {str(k.value) for n in nodes if isinstance(n, ast.Return) and isinstance(n.value, ast.Dict) for k in n.value.keys if isinstance(k, ast.Constant)}
+        yield {"name": name, "line": f.lineno, "complexity": complexity, "nesting": depth(f), "raises": sorted({n.id for n in thrown if isinstance(n, ast.Name)}), "catches": sorted(filter(None, caught)), "unused": sorted({a.arg for a in f.args.args} - read_names), "returned_keys": sorted(keys)}
+
+
+def _does_io(call: ast.Call) -> bool:
+    f = call.func
+    if isinstance(f, ast.Name):
+        return f.id in IO_CALLS or f.id in UI_CALLS
+    return isinstance(f, ast.Attribute) and (f.attr in IO_CALLS or (isinstance(f.value, ast.Name) and (f.attr == "set" or f.value.id in UI_MODULES)))
 
 
 def function_state(tree: ast.Module) -> Iterator[dict]:
-    """What a function changes outside itself, what it captures, whether it does I/O, and whether it is pure."""
-    module_names = {s["symbol"] for s in symbols(tree) if s["kind"] == "global"}
+    """What a function changes, what functions nested in it take from it, whether it does I/O, and whether it is pure.
+
+    Changed are arguments that are assigned to, or an item or attribute of which is, attributes of self, and names declared global.
+    A name that is only local is no global change.
+    """
     for name, f in _functions(tree):
-        nodes = [n for n in ast.walk(f) if n is not f]
-        args = {a.arg for a in (*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs)}
-        declared = {n for x in nodes if isinstance(x, ast.Global) for n in x.names}
-        outer = {n for x in nodes if isinstance(x, ast.Nonlocal) for n in x.names}
-        stored = {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-        changed: set[str] = set()
-        io_used = False
-        for n in nodes:
-            if isinstance(n, (ast.Attribute, ast.Subscript)) and isinstance(n.ctx, (ast.Store, ast.Del)):
-                changed.add((dotted(n.value) or "").split(".")[0])
-            if isinstance(n, ast.Call) and (c := dotted(n.func)):
-                head, _, tail = c.rpartition(".")
-                io_used |= c in _IO_CALLS or c.split(".")[0] in _IO_MODULES
-                if head and tail in _MUTATORS:
-                    changed.add(head.split(".")[0])
-        loaded = {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
-        row = {"name": name, "line": f.lineno, "mutated_args": sorted(changed & args - {"self", "cls"}), "mutated_globals": sorted((declared & stored) | (changed & module_names - stored - args)), "mutates_self": bool(changed & {"self", "cls"}), "nonlocals": sorted(outer), "captures": sorted(loaded & module_names - args - stored), "io": io_used}
-        yield row | {"is_pure": not (row["mutated_args"] or row["mutated_globals"] or row["mutates_self"] or row["nonlocals"] or io_used)}
+        args, nodes = {a.arg for a in f.args.args}, list(ast.walk(f))
+        targets = [t for n in nodes if isinstance(n, (ast.Assign, ast.AugAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target])]
+        inner = [t for t in targets if isinstance(t, (ast.Attribute, ast.Subscript)) and isinstance(t.value, ast.Name)]
+        own = {t.attr for t in inner if isinstance(t, ast.Attribute) and t.value.id == "self"}
+        bound = {t.id for t in targets if isinstance(t, ast.Name)} | {t.value.id for t in inner if not (isinstance(t, ast.Attribute) and t.value.id == "self")}
+        declared = lambda kind: {x for n in nodes if isinstance(n, kind) for x in n.names}
+        held = args | {t.id for n in f.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
+        captured = {x.id for n in f.body if isinstance(n, ast.FunctionDef) for x in ast.walk(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)} & held
+        row = {"name": name, "line": f.lineno, "mutated_args": sorted(bound & args), "mutated_globals": sorted(declared(ast.Global)), "self_mutations": sorted(own), "nonlocals": sorted(declared(ast.Nonlocal)), "captures": sorted(captured), "io": any(_does_io(n) for n in nodes if isinstance(n, ast.Call))}
+        yield row | {"is_pure": not (row["mutated_args"] or row["mutated_globals"] or row["self_mutations"] or row["io"])}
 
 
 def intent(tree: ast.Module, text: str) -> tuple[str | None, list[str]]:
@@ -287,15 +312,21 @@ def intent(tree: ast.Module, text: str) -> tuple[str | None, list[str]]:
 
 
 def exposure(tree: ast.Module) -> Iterator[tuple[str, str]]:
-    """Names that are reached other than by calls: (symbol, reflection | serialization | cli_exposure | api_exposure | registry)."""
-    hints = (("cli_exposure", ("command", "click", "argparse", "typer", "option")), ("api_exposure", ("route", "get", "post", "put", "delete", "api", "tool")), ("registry", ("register", "plugin", "hook")), ("serialization", ("dataclass", "serializer", "schema")))
+    """Names that are reached other than by calls: (symbol, reflection | serialization | cli_exposure | api_exposure | registry).
+
+    Reflection names a symbol in a string, its last argument; serialization takes one as its first; decorators expose what they decorate.
+    """
+    called = lambda f: f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
     for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            for d in node.decorator_list:
-                last = (dotted(d.func if isinstance(d, ast.Call) else d) or "").split(".")[-1].lower()
-                yield from ((node.name, kind) for kind, words in hints if last in words)
-        elif isinstance(node, ast.Call) and dotted(node.func) in ("getattr", "setattr", "hasattr") and len(node.args) > 1 and isinstance(node.args[1], ast.Constant) and isinstance(node.args[1].value, str):
-            yield node.args[1].value, "reflection"
+        if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+            names = {called(d.func) if isinstance(d, ast.Call) else d.id for d in node.decorator_list if isinstance(d, (ast.Call, ast.Name))}
+            yield from ((node.name, kind) for kind, words in DECORATORS.items() if names & set(words))
+        elif isinstance(node, ast.Call) and node.args:
+            first, last = node.args[0], node.args[-1]
+            if called(node.func) in REFLECTION and isinstance(last, ast.Constant) and isinstance(last.value, str):
+                yield last.value, "reflection"
+            elif called(node.func) in SERIALIZATION and isinstance(first, ast.Name):
+                yield first.id, "serialization"
 
 
 def statement_spans(tree: ast.Module) -> Iterator[tuple[int, int]]:
@@ -303,8 +334,11 @@ def statement_spans(tree: ast.Module) -> Iterator[tuple[int, int]]:
     yield from ((n.lineno, n.end_lineno) for n in ast.walk(tree) if isinstance(n, (ast.stmt, ast.ExceptHandler)) and n.end_lineno)
 
 
-def logical_span(text: str, line: int, column: int) -> tuple[int, int]:
-    """The lines that a hit belongs to: a block of comments, else a string over several lines, else the smallest statement, else its line."""
+def spans_of(text: str) -> Callable[[int, int], tuple[int, int]]:
+    """For a text, what tells the lines that a hit at a line and column belongs to, the text being read once.
+
+    A block of comments, else a string over several lines, else the smallest statement, else the line.
+    """
     rows = text.split("\n")
     comments, strings = set(), []
     try:
@@ -316,23 +350,36 @@ def logical_span(text: str, line: int, column: int) -> tuple[int, int]:
     except (tokenize.TokenError, SyntaxError):
         pass
     whole = {n for n, c in comments if not rows[n - 1][:c].strip()}
-    if any(n == line and c < column for n, c in comments):
-        if line not in whole:
-            return line, line
-        first = last = line
-        while first - 1 in whole:
-            first -= 1
-        while last + 1 in whole:
-            last += 1
-        return first, last
-    for a, b in strings:
-        if a <= line <= b:
-            return a, b
+    begins = dict(comments)
+    # the smallest statement over each line: larger ones are written first
+    over: dict[int, tuple[int, int]] = {}
     try:
-        held = [s for s in statement_spans(ast.parse(text)) if s[0] <= line <= s[1]]
+        for s in sorted(statement_spans(ast.parse(text)), key=lambda s: (s[0] - s[1], -s[0])):
+            over.update(dict.fromkeys(range(s[0], s[1] + 1), s))
     except (SyntaxError, ValueError):
-        held = []
-    return min(held, key=lambda s: (s[1] - s[0], s)) if held else (line, line)
+        pass
+
+    def span(line: int, column: int) -> tuple[int, int]:
+        if line in begins and begins[line] < column:
+            if line not in whole:
+                return line, line
+            first = last = line
+            while first - 1 in whole:
+                first -= 1
+            while last + 1 in whole:
+                last += 1
+            return first, last
+        for a, b in strings:
+            if a <= line <= b:
+                return a, b
+        return over.get(line, (line, line))
+
+    return span
+
+
+def logical_span(text: str, line: int, column: int) -> tuple[int, int]:
+    """The lines that one hit belongs to; see :func:`spans_of`."""
+    return spans_of(text)(line, column)
 
 
 def facts(path: str, content: bytes) -> Iterator[dict]:

@@ -83,7 +83,7 @@ _SCHEMAS = {
     "collisions": "name string, type string, code string, line_start int, line_end int, col_start int, col_end int",
     "api": "name string, kind string, visibility string, bases array<string>, decorators array<string>, parameters array<string>, doc string, line_start int, line_end int",
     "functions": "name string, line int, complexity int, nesting int, raises array<string>, catches array<string>, unused array<string>, returned_keys array<string>",
-    "state": "name string, line int, mutated_args array<string>, mutated_globals array<string>, mutates_self boolean, nonlocals array<string>, captures array<string>, io boolean, is_pure boolean",
+    "state": "name string, line int, mutated_args array<string>, mutated_globals array<string>, self_mutations array<string>, nonlocals array<string>, captures array<string>, io boolean, is_pure boolean",
     "usage": "channel string, value string, extra string",
     "exports": "name string, listed boolean",
     "import_usage": "name string, runtime int, typing int",
@@ -135,6 +135,34 @@ def usage(parsed: DataFrame) -> DataFrame:
     return direct.unionByName(inner).unionByName(guess).distinct()
 
 
+def logical_spans(asked: DataFrame) -> DataFrame:
+    """``path``, ``line_no``, ``column``, ``first``, ``last``: the span of each place in ``asked(path, text, lines, columns)``; a text is read once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .parse import spans_of
+
+        for frame in frames:
+            for path, text, rows, columns in zip(frame["path"], frame["text"], frame["lines"], frame["columns"], strict=True):
+                span = spans_of(text)
+                yield pd.DataFrame([(path, n, c, *span(n, c)) for n, c in zip(rows, columns, strict=True)], columns=["path", "line_no", "column", "first", "last"])
+
+    return asked.select("path", "text", "lines", "columns").mapInPandas(run, "path string, line_no int, column int, first int, last int")
+
+
+def exposures(parsed: DataFrame) -> DataFrame:
+    """``module_id``, ``symbol``, ``kind``, ``by``: symbols that are exposed, and the module that does it.
+
+    Reflection and serialization in any module expose a symbol of that name, or of that name in a class named like its module;
+    decorators expose a symbol of their own module.
+    """
+    found = family(parsed, "exposure").select(F.col("module_id").alias("by"), F.col("symbol").alias("value"), "kind").distinct()
+    known = family(parsed, "symbols").select("module_id", "symbol").distinct()
+    short = F.element_at(F.split("module_id", r"\."), -1)
+    names = known.withColumn("value", F.explode(F.array_distinct(F.array("symbol", F.when(F.col("symbol").startswith(F.concat(short, F.lit("."))), F.expr("substring(symbol, instr(symbol, '.') + 1)")).otherwise(F.col("symbol"))))))
+    out = found.join(names, "value").filter("kind in ('reflection', 'serialization') or by = module_id")
+    return out.select("module_id", "symbol", "kind", "by").distinct()
+
+
 def file_state(files: DataFrame) -> DataFrame:
     """``path``, ``mtime_ns``, ``size``, ``sha256``."""
     return files.select("path", (F.unix_micros("mtime") * 1000).alias("mtime_ns"), "size", F.sha2("content", 256).alias("sha256"))

@@ -37,7 +37,7 @@ def test_facts_of_a_file():
     assert [(s["symbol"], s["kind"]) for s in of("symbols")] == [("LIMIT", "global"), ("shared", "function")]
     m = of("functions")[0]
     assert (m["complexity"], m["nesting"], m["raises"], m["unused"], m["returned_keys"]) == (3, 1, ["ValueError"], ["unused"], ["k"])
-    assert of("state")[0]["captures"] == ["LIMIT"] and of("state")[0]["is_pure"]
+    assert of("state")[0]["captures"] == [] and of("state")[0]["is_pure"]
     assert [c["name"] for c in of("collisions")] == ["LIMIT", "shared"]
     assert {e["name"] for e in of("exports")} == {"LIMIT", "shared"}
     usage = {(r["value"]["channel"], r["value"]["value"]) for r in facts("app/main.py") if r["family"] == "usage"}
@@ -45,6 +45,61 @@ def test_facts_of_a_file():
     assert [i["type_only"] for i in (r["value"] for r in facts("app/main.py") if r["family"] == "imports")] == [False, False, False, True]
 
 
+METRICS = """
+def f(a, b, self):
+    def g():
+        return a + c
+    c = 1 if a else 2
+    a = [x for x in b]
+    try:
+        assert a or b or c
+    except (ValueError, KeyError):
+        pass
+    except os.error:
+        while True:
+            raise Other
+    b[0] = b.attr = 1
+    local = 2
+    global TOP, OTHER
+    return {"k": 1, 2: 3}
+
+class K:
+    @app.route("/x")
+    def m(self, q):
+        self.n += 1
+        q.set(1)
+
+    @command
+    def w(self):
+        json.dumps(K)
+        importlib.import_module("some.name")
+"""
+
+
+def test_metrics_state_and_exposure():
+    import ast
+
+    tree = ast.parse(METRICS)
+    f = {r["name"]: r for r in parse.function_metrics(tree)}
+    assert (f["f"]["complexity"], f["f"]["nesting"], f["f"]["raises"], f["f"]["catches"], f["f"]["unused"], f["f"]["returned_keys"]) == (6, 2, ["Other"], ["error"], ["self"], ["2", "k"])
+    assert (f["K.m"]["unused"], f["f.g"]["complexity"]) == ([], 1)
+    s = {r["name"]: r for r in parse.function_state(tree)}
+    assert (s["f"]["mutated_args"], s["f"]["mutated_globals"], s["f"]["captures"], s["f"]["io"], s["f"]["is_pure"]) == (["a", "b"], ["OTHER", "TOP"], ["a", "c"], False, False)
+    assert (s["K.m"]["self_mutations"], s["K.m"]["io"], s["K.m"]["is_pure"], s["f.g"]["is_pure"]) == (["n"], True, False, True)
+    assert sorted(parse.exposure(tree)) == [("K", "serialization"), ("m", "api_exposure"), ("some.name", "reflection"), ("w", "cli_exposure")]
+
+
+def test_spans_of_a_text_equal_those_of_its_hits():
+    import ast
+
+    text = "# a\n# b\nx = 1  # c\ndef f():\n    s = \"\"\"u\n    v\n    \"\"\"\n    if x:\n        return s\n\n"
+    held = list(parse.statement_spans(ast.parse(text)))
+    small = lambda n: min((s for s in held if s[0] <= n <= s[1]), key=lambda s: (s[1] - s[0], s), default=(n, n))
+    span = parse.spans_of(text)
+    assert [span(n, 1) for n in (3, 4, 8, 9, 10)] == [small(n) for n in (3, 4, 8, 9, 10)]
+    assert span(2, 2) == (1, 2) and span(3, 10) == (3, 3) and span(6, 1) == (5, 7)
+
+
 def test_files_that_cannot_be_read():
     assert facts("app/bad.py")[0]["family"] == "skipped" and facts("app/bad.py")[0]["value"]["line_number"] == 1
     assert json.loads(next(parse.facts("x.py", b"a\x00b"))["value"])["reason"] == "null bytes"
