@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 BUDGET = {"module": 250 * 1024, "artifact": 100 * 1024}
 
 
@@ -35,8 +37,8 @@ def sync(ids: DataFrame, current: DataFrame, kind: str) -> DataFrame:
     most = used.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("m")).first()["m"]
     spark = ids.sparkSession
     free = spark.range(1, most + n + 1).select(F.col("id").cast("int").alias("slot")).join(used, "slot", "left_anti")
-    free = free.orderBy("slot").limit(n).withColumn("__r", F.row_number().over(Window.orderBy("slot")))  # as many as new names
-    ranked = new.withColumn("__r", F.row_number().over(Window.orderBy("name")))
+    free = running(free, ["slot"], F.lit(1), "__r").filter(F.col("__r") < n)  # as many as new names
+    ranked = running(new, ["name"], F.lit(1), "__r")
     made = ranked.join(free, "__r").select(F.lit(kind).alias("kind"), "slot", F.lit(1).alias("generation"), "name", F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("removed_at"))
     return kept.unionByName(made)
 
@@ -59,8 +61,7 @@ def collect_garbage(ids: DataFrame, references: DataFrame, kind: str, budget: in
     if total <= budget:
         return ids
     loose = own.filter("status = 'orphan'").withColumn("obj_id", obj_id(F.col("kind"), F.col("slot"), F.col("generation"))).join(references.select("obj_id").distinct(), "obj_id", "left_anti")
-    before = Window.orderBy("removed_at", "slot", "generation").rowsBetween(Window.unboundedPreceding, -1)
-    gone = loose.withColumn("__before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.lit(total) - F.col("__before") > budget)
+    gone = running(loose, ["removed_at", "slot", "generation"], size, "__before").filter(F.lit(total) - F.col("__before") > budget)
     return ids.join(gone.select("kind", "slot", "generation"), ["kind", "slot", "generation"], "left_anti").select(*ids.columns)
 
 

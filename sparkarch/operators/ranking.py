@@ -5,6 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
+
+def running(rows: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` (a whole number) over all rows before in the order; with the value 1 that is the row's place from 0.
+
+    One range exchange; the sorted rows are stored, so that the sums stay the same when a task runs again. Windows run inside
+    the ranges, and only a range's sum comes to the driver.
+    """
+    stored = cut(rows.withColumn("__value", value.cast("long")).sort(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33).cast("int")
+    sums, starts, before = stored.groupBy(part.alias("p")).agg(F.sum("__value").alias("s")).collect(), [], 0
+    for r in sorted(sums, key=lambda r: r["p"]):
+        starts.append((r["p"], before))
+        before += r["s"]
+    offsets = rows.sparkSession.createDataFrame(starts, "__part int, __start long")  # a row per range
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    held = stored.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return held.withColumn(name, F.col("__start") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).drop("__value", "__at", "__part", "__start")
+
 
 def percentile_rank(rows: DataFrame, value: str, key: str, name: str) -> DataFrame:
     """``rows`` with the place in the order (value, key) over n - 1, 4 digits; 1 for a single row. Ties get different places.

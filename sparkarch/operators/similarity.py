@@ -40,18 +40,22 @@ def jaccard_pairs(items: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
     return both.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-def clusters(items: DataFrame, least: float = MIN_JACCARD, min_size: int = MIN_CLUSTER, max_size: int = MAX_CLUSTER) -> DataFrame:
+def clusters(items: DataFrame, least: float = MIN_JACCARD, min_size: int = MIN_CLUSTER, max_size: int = MAX_CLUSTER, most_pairs: int = 20_000_000) -> DataFrame:
     """Clusters whose members are all similar to each other: ``modules`` (sorted), ``size``, ``shared_artifact_count``,
     ``shared_artifact_keys`` (the first 20), ``jaccard_similarity`` (mean over pairs), ``shared_ratio``; 4 digits.
 
     Owners in alphabetical order each open a cluster and take in, in that order, every later free owner that is similar to all
     its members. Of a cluster that is too large the members with most similar owners stay; the others stay out for good. Owners
     without a similar one are left out. Pairs and components are found by joins; then each component is clustered by itself,
-    which gives the same result, since a member is similar to all others.
+    which gives the same result, since a member is similar to all others. The order within a component is global, so a component is
+    one task's work; one of more than ``most_pairs`` similar pairs raises an error (a higher ``least`` splits it).
     """
     pairs = cut(jaccard_pairs(items, least))
     where = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = pairs.join(where.select(F.col("id").alias("a"), "component"), "a")
+    placed = cut(pairs.join(where.select(F.col("id").alias("a"), "component"), "a"))
+    largest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most_pairs:
+        raise ValueError(f"a component of {largest} similar pairs; raise least")
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, dict[str, float]] = {}

@@ -99,7 +99,8 @@ class Project:
         """Take one file's change over; what was defined, changed and removed, and which modules depend on it."""
         before = self.state.published()
         old = self.state.read("facts") if before else None
-        now = self.state.update(self.files(), self.spark.createDataFrame([(path, change)], "path string, change string"))
+        files = self.files() if self._files is not None or not before else repo.scan_paths(self.spark, self.root, [path], self.excludes)
+        now = self.state.update(files, self.spark.createDataFrame([(path, change)], "path string, change string"))
         if before and now["revision"] == before["revision"]:
             return {"status": "unchanged", "revision": now["revision"]}
         here = F.col("path") == path

@@ -54,11 +54,31 @@ def _empty_files(spark: SparkSession, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, excludes: list[str] | None = None) -> DataFrame:
     """``path`` (relative), ``absolute_path``, ``content``, ``mtime``, ``size`` of the source files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
-    files = files.unionByName(_empty_files(spark, root))
+    return _relative(files.unionByName(_empty_files(spark, root)), root).filter(keep_path(F.col("path"), excludes))
+
+
+def _relative(files: DataFrame, root: str) -> DataFrame:
     base = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     start = len(root.rstrip("/").split("://")[-1]) + 2
-    found = files.select(F.substring(base, start, 1 << 20).alias("path"), base.alias("absolute_path"), "content", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    return found.filter(keep_path(F.col("path"), excludes))
+    return files.select(F.substring(base, start, 1 << 20).alias("path"), base.alias("absolute_path"), "content", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str], excludes: list[str] | None = None) -> DataFrame:
+    """What :func:`scan` gives of a few relative paths, without listing or reading the rest of the tree; paths that aren't there give no row."""
+    found, rows = [], []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            status = fs.getFileStatus(at)
+            if status.getLen():
+                found.append(status.getPath().toString())
+            else:  # Spark's readers leave files of no bytes out
+                rows.append((status.getPath().toString(), bytearray(), status.getModificationTime(), 0))
+    files = spark.createDataFrame(rows, "path string, content binary, ms long, length long").select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content")
+    if found:
+        files = spark.read.format("binaryFile").load(found).unionByName(files)
+    return _relative(files, root).filter(keep_path(F.col("path"), excludes))
 
 
 def parse(files: DataFrame) -> DataFrame:

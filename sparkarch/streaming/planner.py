@@ -64,6 +64,17 @@ def plan(d: Delta) -> Plan:
     return Plan("body" if d.usage else "collision", (*body, *extra))
 
 
+def plans(found: DataFrame) -> DataFrame:
+    """Rows of :func:`deltas` with ``rule``, ``patch``, ``graph`` and ``recompute``: one plan for each set of flags that occurs, 256 at most."""
+    flags = [c for c in found.columns if c != "module_id"]
+    rows = []
+    for r in found.select(*flags).distinct().collect():
+        p = plan(Delta("", **r.asDict()))
+        rows.append((*r, p.rule, list(p.patch), list(p.graph), p.recompute))
+    known = found.sparkSession.createDataFrame(rows, ", ".join([*(f"{c} boolean" for c in flags), "rule string, patch array<string>, graph array<string>, recompute string"]))
+    return found.join(F.broadcast(known), flags)
+
+
 def dependents(usage: DataFrame, aliases: DataFrame, changed: DataFrame) -> DataFrame:
     """``module_id`` of other modules that refer to a changed one (``changed(module_id)``) or to anything in it.
 
