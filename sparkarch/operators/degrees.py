@@ -99,5 +99,10 @@ def scoped(edges: DataFrame, scope: DataFrame) -> DataFrame:
     return edges.join(scope.select(F.col("id").alias("src")), "src", "left_semi").join(scope.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def import_profile(imports: DataFrame) -> DataFrame:
-    return imports.agg(F.count_if("is_local").alias("local_imports"), F.count_if(~F.col("is_local")).alias("global_imports"))
+def import_profile(imports: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """``module_id``, ``global_imports``, ``local_imports``; modules that import nothing have zeros if ``modules(module_id)`` is given."""
+    per = imports.groupBy("module_id").agg(F.count_if(~F.col("is_local")).alias("global_imports"), F.count_if("is_local").alias("local_imports"))
+    if modules is None:
+        return per
+    out = modules.select("module_id").distinct().join(per, "module_id", "left")
+    return out.select("module_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("global_imports", "local_imports")])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import collisions as col
 from ..operators import consumption as con
+from ..operators import contracts
 from ..operators import degrees as deg
 from ..operators import diffs, graphs, layers, prefixes, references, reports, resolve, search
 from ..operators import hotspots as hot
@@ -440,3 +441,61 @@ def bounded_list(s, d):
     rows, total, cut = ranking.bounded(fx.edges(s, d), ["src", "dst", "edge_type"], 7)
     items = ",".join(f"{r['src']}>{r['dst']}" for r in rows.collect())
     return s.createDataFrame([(total, cut, items)], "total long, truncated boolean, items string")
+
+
+# Contracts
+
+
+@query(f"""WITH {fx.USAGE}, x AS (SELECT CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 40 = 0 THEN '' ELSE usage.definer END AS definer, symbol, CAST(substr(symbol, 2) AS BIGINT) AS p, list_sort(list(DISTINCT consumer)) AS c FROM usage GROUP BY usage.definer, symbol)
+SELECT definer, symbol, 'name' AS problem FROM x WHERE definer = '' UNION ALL SELECT definer, symbol, 'consumers' FROM x WHERE p % 41 = 0 AND len(c) > 1 UNION ALL SELECT definer, symbol, 'channel of no consumer' FROM x WHERE p % 43 = 0 UNION ALL SELECT definer, symbol, 'channels' FROM x WHERE p % 47 = 0 AND p % 43 <> 0 UNION ALL SELECT definer, symbol, 'unknown channel' FROM x WHERE p % 53 = 0""")
+def consumption_problems(s, d):
+    """Consumption of all symbols with some planted defects: each is found, and nothing else."""
+    x = con.consumption(fx.usage(s, d))
+    p = F.substring("symbol", 2, 9).cast("int")
+    name = F.when(p % 40 == 0, "").otherwise(F.col("definer"))
+    first = F.col("consumers")[0]
+    channels = F.when(p % 43 == 0, F.create_map(F.lit("~nobody"), F.array(F.lit("direct_calls")))).when(p % 47 == 0, F.create_map(first, F.array(F.lit("inheritance"), F.lit("direct_calls")))).otherwise(F.create_map(first, F.array(F.lit("direct_calls"))))
+    odd = F.when(p % 53 == 0, F.transform_values(channels, lambda k, v: F.array_sort(F.concat(v, F.array(F.lit("~other")))))).otherwise(channels)
+    broken = F.when(p % 47 == 0, channels).otherwise(odd)
+    both = F.when((p % 47 == 0) & (p % 53 == 0), F.transform_values(channels, lambda k, v: F.concat(v, F.array(F.lit("~other"))))).otherwise(broken)
+    return contracts.consumption_problems(x.select(name.alias("definer"), "symbol", F.when(p % 41 == 0, F.reverse("consumers")).otherwise(F.col("consumers")).alias("consumers"), both.alias("channels")))
+
+
+@query(f"WITH {fx.EDGES}, {fx.SYMBOLS}, c AS (SELECT 'artifacts' AS name, (SELECT count(*) FROM symbols) AS one, (SELECT count(*) FROM (SELECT DISTINCT module_id FROM symbols)) AS other UNION ALL SELECT 'nodes', (SELECT count(*) FROM nodes), (SELECT count(*) FROM nodes)) SELECT * FROM c WHERE one <> other")
+def sanity_checks(s, d):
+    """Counts that must agree: one pair does, one doesn't."""
+    n, sym = deg.nodes_of(fx.edges(s, d)).count(), fx.symbols(s, d)
+    rows = [("artifacts", sym.distinct().count(), sym.select("module_id").distinct().count()), ("nodes", n, n), ("unknown", None, n)]
+    return contracts.sanity(s.createDataFrame(rows, "name string, one long, other long"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 97 = 5 THEN 'stale' ELSE 'fresh' END AS state FROM part WHERE p_partkey % 500 <> 499), n AS (SELECT p_partkey AS i, p_partkey // 2 AS t FROM part WHERE p_partkey > 1),
+b AS (SELECT i FROM f WHERE state <> 'fresh' UNION SELECT t FROM n WHERE t NOT IN (SELECT i FROM f)), r(i) AS (SELECT i FROM b UNION SELECT n.i FROM r JOIN n ON n.t = r.i)
+SELECT 't' || i AS family, state, i NOT IN (SELECT i FROM r) AS is_fresh FROM f""")
+def family_freshness(s, d):
+    """Tables that can be relied on: fresh, and so is all they are made of."""
+    i = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("t"), x.cast("string"))
+    p = fx.read(s, d, "part")
+    states = p.filter("p_partkey % 500 <> 499").select(name(i).alias("family"), F.when(i % 97 == 5, "stale").otherwise("fresh").alias("state"))
+    return contracts.freshness(states, p.filter("p_partkey > 1").select(name(i).alias("family"), name(F.expr("p_partkey div 2")).alias("needed")))
+
+
+@query("""WITH RECURSIVE b AS (SELECT p_partkey AS i FROM part WHERE p_partkey > 0), r(i, step) AS (SELECT i, 0 FROM b WHERE i = 1 UNION ALL SELECT b.i, step + 1 FROM r JOIN b ON b.i // 2 = r.i AND b.i > 1) SELECT 'b' || i AS name, CAST(step AS INT) AS step FROM r""")
+def builder_order(s, d):
+    """The step in which each of many builders runs."""
+    i = F.col("p_partkey")
+    key = lambda x: F.concat(F.lit("k"), x.cast("string"))
+    needs = F.when(i > 1, F.array(key(F.expr("p_partkey div 2")))).otherwise(F.array().cast("array<string>"))
+    return contracts.build_order(fx.read(s, d, "part").filter("p_partkey > 0").select(F.concat(F.lit("b"), i.cast("string")).alias("name"), needs.alias("requires"), F.array(key(i)).alias("provides")))
+
+
+@query("""WITH f AS (SELECT 'src' || doc_id % 9 || '/' || lang || '/f' || doc_id || '.py' AS path FROM documents), m AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'src' || c_custkey % 12 WHEN 1 THEN 'src' || c_custkey % 12 || '/en' ELSE 'src' || c_custkey % 9 || '/en/f' || c_custkey || '.py' END AS original FROM customer)
+SELECT original FROM m WHERE EXISTS (SELECT 1 FROM f WHERE path = original OR starts_with(path, original || '/'))""")
+def stale_excludes(s, d):
+    """Paths that were moved away and are back."""
+    k, c = F.col("doc_id"), F.col("c_custkey")
+    t = lambda x: x.cast("string")
+    files = fx.read(s, d, "documents").select(F.concat(F.lit("src"), t(k % 9), F.lit("/"), "lang", F.lit("/f"), t(k), F.lit(".py")).alias("path"))
+    asked = F.when(c % 3 == 0, F.concat(F.lit("src"), t(c % 12))).when(c % 3 == 1, F.concat(F.lit("src"), t(c % 12), F.lit("/en"))).otherwise(F.concat(F.lit("src"), t(c % 9), F.lit("/en/f"), t(c), F.lit(".py")))
+    return contracts.stale_excludes(fx.read(s, d, "customer").select(asked.alias("original")), files)

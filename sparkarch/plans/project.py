@@ -128,7 +128,7 @@ class Project:
                 "status": state, "revision": self.state.published()["revision"], "freshness": self.state.published()["status"], "metrics": metrics, "debt": debt,
                 "cycles": collection(rings.select(F.array_join("nodes", " -> ").alias("cycle")), ["cycle"]), "hotspots": collection(found, [F.desc("score"), "module"], 5),
                 "risk": hot.risk_summary(hot.module_risk(edges)).first().asDict(), "collisions": collection(clashes.filter("not is_identical").select("name", "type", "nodes", "severity"), ["name", "type"]),
-                "skipped": collection(repo.skipped(self.state.read("facts")), ["path"]), "imports": deg.import_profile(self.facts("imports")).first().asDict(),
+                "skipped": collection(repo.skipped(self.state.read("facts")), ["path"]), "imports": deg.import_profile(self.facts("imports")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("global_imports", "local_imports")]).first().asDict(),
             }
         finally:
             edges.unpersist()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import collisions as col
 from ..operators import consumption as con
+from ..operators import contracts
 from ..operators import degrees as deg
 from ..operators import reports, resolve, search
 from ..sources import fixtures as fx
@@ -221,12 +222,21 @@ def source_references(s, d):
     return con.consumer_counts(repo.usage(parsed_sources(s, d)))
 
 
-@query(f"WITH {_BASE} SELECT 0::BIGINT AS local_imports, count(*) AS global_imports FROM im")
+@query(f"WITH {_BASE} SELECT module_id, count(*) AS global_imports, 0::BIGINT AS local_imports FROM im GROUP BY module_id")
 def source_import_profile(s, d):
-    return deg.import_profile(_family(s, d, "imports"))
+    parsed = parsed_sources(s, d)
+    return deg.import_profile(repo.family(parsed, "imports"), repo.modules(parsed))
+
+
+@query(f"""WITH {_BASE}, e AS (SELECT k, module_id, name, CASE WHEN way < 2 THEN 'function' WHEN way = 2 THEN 'class' ELSE 'global' END AS kind FROM df UNION ALL SELECT k, module_id, name, 'global' FROM vs), x AS (SELECT * FROM e WHERE k NOT IN (SELECT k FROM al) UNION ALL SELECT k, module_id, 'p' || x, 'function' FROM al)
+SELECT module_id, count(*) AS symbol_count, count_if(kind = 'function')::BIGINT AS function_count, count_if(kind = 'class')::BIGINT AS class_count, count_if(kind = 'global')::BIGINT AS constant_count, TRUE AS public_api FROM x GROUP BY module_id""")
+def source_export_summary(s, d):
+    """How much each module exports."""
+    parsed = parsed_sources(s, d)
+    return contracts.export_summary(repo.family(parsed, "exports"), repo.family(parsed, "symbols"), repo.modules(parsed))
 
 
-@query(f"WITH {_BASE}, t AS (SELECT 'p' || x AS symbol FROM fst WHERE k = 1) SELECT CAST(replace(sup.module_id, '.', '/') || '.py' AS VARCHAR) AS path, count(*) AS hits FROM sup JOIN nb ON nb.k = sup.k WHERE n % 2 = 0 GROUP BY ALL")
+@query(f"WITH {_BASE} SELECT CAST(replace(sup.module_id, '.', '/') || '.py' AS VARCHAR) AS path, count(*) AS hits FROM sup JOIN nb ON nb.k = sup.k WHERE n % 2 = 0 GROUP BY ALL")
 def source_call_lines(s, d):
     """Lines with a call of another module's part, found in the text."""
     texts = sources(s, d).select("path", F.col("content").cast("string").alias("text"))

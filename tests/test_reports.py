@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkarch.operators import reports
@@ -63,3 +64,31 @@ def test_revision(tmp_path):
     other.mkdir()
     (other / ".git").write_text("gitdir: ../.git\n")
     assert revision.header(str(other), "full", "now")["commit"] == "deadbeef"
+
+
+def test_orders_of_builders_and_their_errors(spark):
+    from sparkarch.operators import contracts
+
+    make = lambda *rows: spark.createDataFrame(rows, "name string, requires array<string>, provides array<string>")
+    got = contracts.build_order(make(("c", ["x", "y"], ["z"]), ("a", [], ["x"]), ("b", ["x"], ["y"]), ("d", [], ["w"])))
+    assert {r["name"]: r["step"] for r in got.collect()} == {"a": 0, "d": 0, "b": 1, "c": 2}
+    for rows, text in ((((1, [], ["x"]), (2, [], ["x"])), "twice"), (((1, ["q"], ["x"]),), "nothing provides"), (((1, ["y"], ["x"]), (2, ["x"], ["y"])), "ring")):
+        with pytest.raises(ValueError, match=text):
+            contracts.build_order(make(*[(str(n), r, p) for n, r, p in rows])).collect()
+
+
+def test_problems_of_consumption(spark):
+    from sparkarch.operators import contracts
+
+    rows = [("m", "p", ["a", "b"], {"a": ["direct_calls"]}), ("m", "q", ["b", "a"], {"c": ["direct_calls"]}), ("", "r", None, {}), ("m", "s", ["a", "a"], {"a": ["nothing"]}), ("m", "t", ["a"], {"a": ["inheritance", "api_imports"]}), ("m", "u", [], {})]
+    got = contracts.consumption_problems(spark.createDataFrame(rows, "definer string, symbol string, consumers array<string>, channels map<string, array<string>>")).collect()
+    assert sorted((r["symbol"], r["problem"]) for r in got) == [("q", "channel of no consumer"), ("q", "consumers"), ("r", "consumers"), ("r", "name"), ("s", "consumers"), ("s", "unknown channel"), ("t", "channels")]
+
+
+def test_freshness_goes_as_far_as_needs_do(spark):
+    from sparkarch.operators import contracts
+
+    states = spark.createDataFrame([("a", "fresh"), ("b", "stale"), ("c", "fresh"), ("d", "fresh"), ("e", "fresh"), ("f", None)], "family string, state string")
+    needs = spark.createDataFrame([("c", "b"), ("d", "c"), ("e", "gone"), ("a", "a")], "family string, needed string")
+    fresh = lambda **k: {r["family"] for r in contracts.freshness(states, needs, **k).collect() if r["is_fresh"]}
+    assert fresh() == {"a"} and fresh(resync=True) == set()
