@@ -9,7 +9,6 @@ import argparse
 import json
 import os
 import sys
-import tempfile
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,15 +28,16 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     from .plans.project import Project
     from .session import session
+    from .storage import new_path
 
     try:
-        with tempfile.TemporaryDirectory() as folder:
-            project = Project(session(), os.path.abspath(args.path), folder)
-            out = project.analyze_project()
-            if args.layer:
-                out = project.analyze_layer(args.layer)
-            elif args.file:
-                out = project.analyze_single_file(args.file)
+        spark = session()
+        project = Project(spark, os.path.abspath(args.path), new_path(spark, "state"))
+        out = project.analyze_project()
+        if args.layer:
+            out = project.analyze_layer(args.layer)
+        elif args.file:
+            out = project.analyze_single_file(args.file)
     except KeyboardInterrupt:
         return 130
     except Exception as e:  # the command line's edge

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
-from ..storage import shared_dir
+from ..storage import new_path
 from .project import Project
 from .registry import query
 from .source_queries import _BASE, _CODE, sources
@@ -21,7 +20,7 @@ def project(s, d) -> Project:
     key = (s.sparkContext.applicationId, d)
     if key not in _PROJECTS:
         _PROJECTS.clear()
-        made = Project(s, d, f"{shared_dir(s)}/project-{uuid.uuid4().hex}", layer_rules=[("pkg0", "ui"), ("pkg1", "cli"), ("pkg2", "engine"), ("pkg3", "runtime")], files=sources(s, d))
+        made = Project(s, d, new_path(s, "project"), layer_rules=[("pkg0", "ui"), ("pkg1", "cli"), ("pkg2", "engine"), ("pkg3", "runtime")], files=sources(s, d))
         made.state.rebuild(made.files())
         _PROJECTS[key] = made
     return _PROJECTS[key]
@@ -183,7 +182,7 @@ def project_layers(s, d):
 def file_update(s, d):
     """What one file's change does: all that it defined goes, one function comes; the state is the tables' tree again afterwards."""
     p, path = project(s, d), _path(s, d)
-    made = Project(s, d, f"{shared_dir(s)}/project-{uuid.uuid4().hex}", files=p._files)
+    made = Project(s, d, new_path(s, "project"), files=p._files)
     made.state.publish(1, {}, p.state.published()["tables"])
     made._files = p._files.withColumn("content", F.when(F.col("path") == path, F.lit("def fresh():\n    return 1\n").cast("binary")).otherwise(F.col("content")))
     found = made.update_file(path, limit=None)

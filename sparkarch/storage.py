@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     # read when a checkpoint is written, so it may be set on a running context
     df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on any file system that Spark knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is left there goes when the Python driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session has ended: the folder's owner clears it
+            pass
+
+    atexit.register(drop)
+    return path
