@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -15,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import cut, shared_dir
+from ..storage import cut, drop_path, new_path, shared_dir  # noqa: F401  the operators take them from here
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower-cased: every other ASCII character but digits and a-z.
@@ -32,26 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a file or folder on any file system that Spark knows."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; what is left there goes when the Python driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session has ended: the folder's owner clears it
-            pass
-
-    atexit.register(drop)
-    return path
-
-
 @contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark drops a query's shuffle files when the query ends, not when the driver next collects its garbage."""
