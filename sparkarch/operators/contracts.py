@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -89,3 +89,11 @@ def stale_excludes(items: DataFrame, files: DataFrame) -> DataFrame:
 
     there = files.select(F.explode(prefixes(F.col("path"), "/")).alias("original")).distinct()
     return items.select("original").distinct().join(there, "original", "left_semi")
+
+
+def expired(entries: DataFrame, owners: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """``path``, ``reason`` of ``entries(path, owner, used_at)`` to drop: an orphan if none of ``owners(owner)`` has it, else old if unused for so many days."""
+    known = owners.select("owner").distinct().withColumn("__known", F.lit(True))
+    old = F.col("used_at") < now - F.make_dt_interval(F.lit(days))
+    reason = F.when(F.col("__known").isNull(), "orphan").when(old, "old")
+    return entries.join(known, "owner", "left").select("path", reason.alias("reason")).filter("reason is not null")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import collisions as col
 from ..operators import consumption as con
 from ..operators import degrees as deg
-from ..operators import diffs, graphs, layers, search, similarity
+from ..operators import diffs, graphs, layers, reports, search, similarity
 from ..operators import hotspots as hot
+from ..sources import history, revision, sinks
 from ..sources import repository as repo
-from ..sources import sinks
 from ..streaming import executor, journal
 from . import dsl
 
@@ -200,6 +200,16 @@ class Project:
         reach = graphs.chains(deg.hard(edges), self.spark.createDataFrame([(module,)], "id string"), max_nodes=6).join(members.filter("is_test").select(F.col("module_id").alias("id")), "id", "left_semi")
         return {"context": self.module_context(module), "risk": risk["risk"] if risk else 0.0, "tests": collection(reach.select("id", F.array_join("path", " -> ").alias("path")), ["id"]), "violations": collection(layers.rule_violations(edges, members).filter((F.col("src") == module) | (F.col("dst") == module)), ["src", "dst"])}
 
+    def file_history(self, path: str) -> dict[str, Any]:
+        """A file's last commit, its churn of the last 30 days and what the last commit changed in it."""
+        commits = history.read(self.spark, self.root)
+        if commits is None:
+            return {"status": "non_git_repo"}
+        rows = reports.file_history(commits.filter(F.col("path") == path), F.current_timestamp()).drop("patch")
+        row = rows.first()
+        found = row.asDict() if row else dict.fromkeys(rows.columns) | {"path": path, "commits_recent": 0, "churn": 0.0}
+        return {"status": "ok", "branch": revision.branch(self.root), **found, "patch": history.last_patch(self.root, path)}
+
     def layer_isolation(self, layer: str, max_clusters: int = 5) -> dict[str, Any]:
         members = self.members()
         cells = deg.matrix(self.usage(), self.edges())

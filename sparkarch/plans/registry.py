@@ -649,4 +649,4 @@ def journal_windows(s, d):
     j = fx.journal(s, d)
     return j.groupBy(F.window("ts", "1 hour").start.alias("window_start"), "operation").agg(F.count("*").alias("events"))
 
-from . import detail_queries, more_queries, project_queries, source_queries  # noqa: E402, F401  register their queries
+from . import detail_queries, more_queries, project_queries, source_queries, upkeep_queries  # noqa: E402, F401  register their queries
