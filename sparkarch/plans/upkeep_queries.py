@@ -88,12 +88,12 @@ def reused_slots(s, d):
     return ids.reuse(own, retired).select("name", "generation")
 
 
-@query("""WITH b AS (SELECT DISTINCT 'c' || o_custkey AS name, o_orderkey // 8 || '/1' AS obj_id FROM orders UNION SELECT DISTINCT 'c' || c_custkey, c_custkey || '/1' FROM customer),
+@query("""WITH b AS (SELECT DISTINCT 'c' || o_custkey AS name, (o_custkey + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) || '/1' AS obj_id FROM orders UNION SELECT DISTINCT 'c' || c_custkey, c_custkey || '/1' FROM customer),
 n AS (SELECT name FROM b GROUP BY name HAVING count(*) = 1), i AS (SELECT obj_id FROM b GROUP BY obj_id HAVING count(*) = 1) SELECT name, obj_id FROM b WHERE name IN (SELECT name FROM n) AND obj_id IN (SELECT obj_id FROM i)""")
 def repaired_ids(s, d):
     """Mappings that names and objects don't contradict."""
     t = lambda c: F.col(c).cast("string")
-    names = fx.read(s, d, "orders").select(F.concat(F.lit("c"), t("o_custkey")).alias("name"), F.concat(F.expr("cast(o_orderkey div 8 as string)"), F.lit("/1")).alias("obj_id"))
+    names = fx.read(s, d, "orders").select(F.concat(F.lit("c"), t("o_custkey")).alias("name"), F.concat(F.expr("cast(o_custkey + if(o_custkey % 3 = 0, 1, 0) as string)"), F.lit("/1")).alias("obj_id"))
     objects = fx.read(s, d, "customer").select(F.concat(F.lit("c"), t("c_custkey")).alias("name"), F.concat(t("c_custkey"), F.lit("/1")).alias("obj_id"))
     return ids.repair(names, objects)
 
