@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sparkarch.operators import graphs
+from sparkarch.operators import graphs, similarity
 from sparkarch.plans import registry
 from sparkarch.sources import parse
 
@@ -67,3 +67,25 @@ def test_short_cycles_in_cells(spark):
 def test_refactor_plan_searches_no_cycles(spark, small, monkeypatch):
     monkeypatch.setattr(graphs, "cycles", lambda *_: pytest.fail("cycles were searched"))
     assert registry.QUERIES["refactor_plan"](spark, small).count()
+
+
+def test_clusters_of_copies_need_pairs_of_classes_only(spark):
+    r = random.Random(9)
+    sets = {f"u{i:02}": frozenset(r.sample("abcdefgh", 4)) for i in range(20)}
+    owners = {f"{u}{x}": s for u, s in sets.items() for x in "xyz"} | {"lone1": frozenset("Z"), "lone2": frozenset("Z"), "none": frozenset("Y")}
+    like = lambda a, b: len(owners[a] & owners[b]) / len(owners[a] | owners[b])
+    near = {a: {b for b in owners if b != a and like(a, b) >= 0.5} for a in owners}
+    want, taken = [], set()
+    for seed in sorted(owners):
+        if seed not in taken:
+            group = [seed]
+            group += [o for o in sorted(near[seed] - taken) if o > seed and all(o in near[g] for g in group) and not group.append(o)][:0]
+            taken.update(group)
+            group = sorted(sorted(group, key=lambda g: (-len(near[g]), g))[:5])
+            if len(group) > 1:
+                pairs = [like(a, b) for a, b in itertools.combinations(group, 2)]
+                want.append((group, round(sum(pairs) / len(pairs), 4)))
+    items = spark.createDataFrame([(o, x) for o, s in owners.items() for x in s], "owner string, item string")
+    classes = len(set(owners.values()))
+    found = similarity.clusters(items, 0.5, max_size=5, most_pairs=classes * (classes - 1) // 2).collect()
+    assert sorted((r["modules"], r["jaccard_similarity"]) for r in found) == sorted(want) and any("lone1" in g for g, _ in want)
