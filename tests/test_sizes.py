@@ -89,3 +89,10 @@ def test_clusters_of_copies_need_pairs_of_classes_only(spark):
     classes = len(set(owners.values()))
     found = similarity.clusters(items, 0.5, max_size=5, most_pairs=classes * (classes - 1) // 2).collect()
     assert sorted((r["modules"], r["jaccard_similarity"]) for r in found) == sorted(want) and any("lone1" in g for g, _ in want)
+
+
+def test_questions_about_files_and_events_analyse_nothing(spark, small, monkeypatch):
+    monkeypatch.setattr("sparkarch.streaming.executor.State.rebuild", lambda *_: pytest.fail("the tree was analysed"))
+    monkeypatch.setattr("sparkarch.plans.project_queries._PROJECTS", {})
+    for name in ("live_events", "file_range", "search_spans"):
+        assert registry.QUERIES[name](spark, small).count()
