@@ -96,3 +96,44 @@ def test_questions_about_files_and_events_analyse_nothing(spark, small, monkeypa
     monkeypatch.setattr("sparkarch.plans.project_queries._PROJECTS", {})
     for name in ("live_events", "file_range", "search_spans"):
         assert registry.QUERIES[name](spark, small).count()
+
+
+@pytest.mark.parametrize("name", ["module_context"])
+def test_questions_about_the_graph_resolve_no_uses(spark, small, monkeypatch, name):
+    from sparkarch.sources import repository
+
+    monkeypatch.setattr("sparkarch.plans.project_queries._PROJECTS", {})
+    monkeypatch.setattr(repository, "usage", lambda *_: pytest.fail("uses were resolved"))
+    read = repository.parse
+    monkeypatch.setattr(repository, "parse", lambda files, families=None: read(files, families) if families or files.count() == 1 else pytest.fail("all facts of all files were read"))
+    assert registry.QUERIES[name](spark, small).count()
+
+
+def test_import_statements_are_those_of_a_whole_walk():
+    code = "import a\ntry:\n import b\nexcept E:\n import c\nelse:\n import d\nfinally:\n import e\nif typing.TYPE_CHECKING:\n from f import g\n def h():\n  import i, j.k as l\nelse:\n from . import m\n"
+    code += "class N:\n match o:\n  case 1:\n   import p\n async def q(self):\n  for r in s:\n   import t\n  else:\n   with u: import v\n  while w: from ..x import *\n"
+    walk = parse._flat(ast.parse(code))
+    whole = [(x, y > 0, z) for x, y, z in zip(walk.nodes, walk.depths, walk.typed, strict=True) if isinstance(x, (ast.Import, ast.ImportFrom))]
+    found = list(parse._import_statements(ast.parse(code).body))
+    assert [(ast.dump(x), y, z) for x, y, z in found] == [(ast.dump(x), y, z) for x, y, z in whole] and len(found) == 12
+
+
+def test_a_state_of_some_tables_is_updated_and_refuses_the_others(spark, tmp_path):
+    from sparkarch.sources import repository
+    from sparkarch.streaming.executor import State, StateError
+
+    rows = [("a.py", "import b\n\ndef f():\n    return b.g()\n"), ("b.py", "def g():\n    return 1\n"), ("bad.py", "def (:\n")]
+    files = lambda x: spark.createDataFrame([(p, bytearray(t.encode())) for p, t in x], "path string, content binary")
+    some, whole = (State(spark, f"file://{tmp_path}/{n}", "r") for n in ("some", "whole"))
+    some.rebuild(files(rows), ("edges",), ("symbols",))
+    now = files([rows[0], ("b.py", "import a\n\ndef h():\n    return 1\n"), rows[2]])
+    some.update(now, spark.createDataFrame([("b.py", "edit")], "path string, change string"))
+    whole.rebuild(now)
+    same = lambda x, y: sorted(map(str, x.select(*y.columns).collect())) == sorted(map(str, y.collect()))
+    assert same(some.read("edges"), whole.read("edges")) and some.read("edges").count() == 2
+    for family in ("module", "imports", "symbols", "skipped"):
+        assert same(some.facts(family), whole.facts(family)) and some.facts(family).count()
+    for ask in (lambda: some.read("usage"), lambda: some.read("collisions"), lambda: some.facts("api")):
+        with pytest.raises(StateError):
+            ask()
+    assert whole.facts("api").count() and repository.usage(whole.read("facts")).count() == whole.read("usage").count()
