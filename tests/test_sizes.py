@@ -98,7 +98,7 @@ def test_questions_about_files_and_events_analyse_nothing(spark, small, monkeypa
         assert registry.QUERIES[name](spark, small).count()
 
 
-@pytest.mark.parametrize("name", ["module_context", "analyze_single_file"])
+@pytest.mark.parametrize("name", ["module_context", "analyze_single_file", "file_edit_context"])
 def test_questions_about_the_graph_resolve_no_uses(spark, small, monkeypatch, name):
     from sparkarch.sources import repository
 
