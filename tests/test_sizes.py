@@ -137,3 +137,17 @@ def test_a_state_of_some_tables_is_updated_and_refuses_the_others(spark, tmp_pat
         with pytest.raises(StateError):
             ask()
     assert whole.facts("api").count() and repository.usage(whole.read("facts")).count() == whole.read("usage").count()
+
+
+def test_whole_summary_resolves_no_uses_and_keeps_no_rings_in_memory(spark, small, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from sparkarch.sources import repository
+
+    searched, kept, cycles, persist = [], [], graphs.cycles, DataFrame.persist
+    monkeypatch.setattr("sparkarch.plans.project_queries._PROJECTS", {})
+    monkeypatch.setattr(repository, "usage", lambda *_: pytest.fail("uses were resolved"))
+    monkeypatch.setattr(graphs, "cycles", lambda *x: searched.append(1) or cycles(*x))
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *x: kept.append(df.columns) or persist(df, *x))
+    assert registry.QUERIES["analyze_project"](spark, small).count() == 1 and searched
+    assert ["nodes"] not in kept
