@@ -151,3 +151,14 @@ def test_whole_summary_resolves_no_uses_and_keeps_no_rings_in_memory(spark, smal
     monkeypatch.setattr(DataFrame, "persist", lambda df, *x: kept.append(df.columns) or persist(df, *x))
     assert registry.QUERIES["analyze_project"](spark, small).count() == 1 and searched
     assert ["nodes"] not in kept
+
+
+def test_file_update_reads_and_resolves_no_uses(spark, small, monkeypatch):
+    from sparkarch.sources import repository
+
+    monkeypatch.setattr("sparkarch.plans.project_queries._PROJECTS", {})
+    monkeypatch.setattr(repository, "usage", lambda *_: pytest.fail("uses were resolved"))
+    asked, read = [], repository.parse
+    monkeypatch.setattr(repository, "parse", lambda files, families=None: asked.append(families) or read(files, families))
+    assert registry.QUERIES["file_update"](spark, small).filter("symbol = 'fresh' and change = 'added'").count() == 1
+    assert len(asked) == 2 and all(x and "usage" not in x for x in asked)
