@@ -162,3 +162,25 @@ def test_file_update_reads_and_resolves_no_uses(spark, small, monkeypatch):
     monkeypatch.setattr(repository, "parse", lambda files, families=None: asked.append(families) or read(files, families))
     assert registry.QUERIES["file_update"](spark, small).filter("symbol = 'fresh' and change = 'added'").count() == 1
     assert len(asked) == 2 and all(x and "usage" not in x for x in asked)
+
+
+def test_what_is_asked_of_cycles_is_told_without_their_rings(spark, small, monkeypatch):
+    from pyspark.sql import functions as F
+
+    one, two = two_graphs()
+    named = lambda x: [(f"{'p' if int(a[1:]) % 4 else 'q'}.{a}", f"{'p' if int(b[1:]) % 4 else 'q'}.{b}") for a, b in x]
+    e = spark.createDataFrame(named(one + two), "src string, dst string")
+    monkeypatch.setattr(graphs, "PART_NAMES", 50)  # many parts
+    monkeypatch.setattr(graphs, "PART_STEPS", 20)
+    rings = [r["nodes"] for r in graphs.cycles(e).collect()]
+    assert len({tuple(r) for r in rings}) == len(rings) > 50
+    assert {r["id"] for r in graphs.cycles(e, give="members").collect()} == {x for r in rings for x in r}
+    for inside in ("", "p"):
+        want = [r for r in rings if not inside or all(x.startswith("p.") for x in r)]
+        got = graphs.cycles(e, graphs.MOST_EDGES, "summary", inside).agg(F.sum("rings"), F.sum("entries"), F.flatten(F.collect_list("first"))).first()
+        assert (got[0], got[1]) == (len(want), sum(map(len, want)))
+        assert sorted(got[2])[:20] == sorted(" -> ".join(r) for r in want)[:20]
+    # reports do not have them written out
+    monkeypatch.setattr(graphs, "_written_rings", lambda *_: pytest.fail("rings were written"))
+    for name in ("architecture_signals", "debt"):
+        assert registry.QUERIES[name](spark, small).count()
