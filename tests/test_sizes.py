@@ -184,3 +184,25 @@ def test_what_is_asked_of_cycles_is_told_without_their_rings(spark, small, monke
     monkeypatch.setattr(graphs, "_written_rings", lambda *_: pytest.fail("rings were written"))
     for name in ("architecture_signals", "debt"):
         assert registry.QUERIES[name](spark, small).count()
+
+
+def test_uses_of_one_module_are_those_of_all(spark, small):
+    from pyspark.sql import functions as F
+
+    from sparkarch.plans import project_queries as pq
+
+    whole, some = pq.project(spark, small), pq.project(spark, small, ("edges",), ("usage",))
+    for module in [r["module_id"] for r in whole.facts("module").orderBy("module_id").limit(2).collect()]:
+        want = whole.usage().filter(F.col("definer") == module)
+        got = some.usage_of(module)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and got.count()
+
+
+@pytest.mark.parametrize("name", ["analyze_layer", "project_layers", "module_artifacts", "artifact_blast_radius", "layer_isolation", "search_artifacts", "canonical_projection"])
+def test_a_question_resolves_no_uses_it_does_not_ask(spark, small, monkeypatch, name):
+    from sparkarch.sources import repository
+
+    monkeypatch.setattr("sparkarch.plans.project_queries._PROJECTS", {})
+    monkeypatch.setattr(repository, "usage", lambda *_: pytest.fail("all uses were resolved"))
+    monkeypatch.setattr(graphs, "_written_rings", lambda *_: pytest.fail("rings were written"))
+    assert registry.QUERIES[name](spark, small).count()
